@@ -2,7 +2,7 @@
 
 from tiersmith.functions.numbers import parse_integer
 from tiersmith.functions.presence import PRESENCE_RULES, is_present, ladder
-from tiersmith.functions.sizes import overhead_mib, size_mib, size_ok
+from tiersmith.functions.sizes import overhead_mib, size_mib, whole_mib
 from tiersmith.functions.text import (
     base_name,
     escape_value,
@@ -23,7 +23,7 @@ __all__ = [
     "overhead_mib",
     "parse_integer",
     "size_mib",
-    "size_ok",
     "strip_newlines",
     "unescape",
+    "whole_mib",
 ]

@@ -7,45 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tiersmith.functions.numbers import parse_integer
 from tiersmith.functions.presence import ladder
 
-# Units in MiB, overhead factors by runtime, least overhead in MiB.
-UNIT_MIB = {"M": 1, "G": 1024, "T": 1024 * 1024}
-KIB_PER_MIB_BITS = 10
+# Units in KiB, overhead factors by runtime, least overhead in MiB.
+UNIT_KIB = {"K": 1, "M": 1024, "G": 1024**2, "T": 1024**3}
+DEFAULT_UNIT = "M"
 JVM_RUNTIMES = ("Java", "Scala")
 JVM_OVERHEAD_FACTOR = "0.10"
 OTHER_OVERHEAD_FACTOR = "0.40"
 LEAST_OVERHEAD_MIB = 384
 
+# An integer, then nothing or a unit letter; text after the unit does not
+# count, but a second, different unit letter makes the size malformed.
+SIZE = r"(?i)^\s*([+-]?[0-9]+)(?:([KMGT])(?:[^KMGT]|\2)*|\s*)\z"
+
+KIB_TYPE = "decimal(20,0)"
 MIB_TYPE = "decimal(20,0)"
 FACTOR_TYPE = "decimal(9,4)"
 
 
-def _whole_mib(text: Column) -> Column:
-    """MiB as long; null where the text is absent, malformed or has two units."""
-    clean = F.upper(F.regexp_replace(text, r"^\s+|\s+\z", ""))
-    unit = F.regexp_extract(clean, "[KMGT]", 0)
-    number = parse_integer(F.regexp_extract(clean, r"(?s)^[^KMGT]*", 0), "bigint")
-    kib = F.when(number >= 0, F.shiftright(number, KIB_PER_MIB_BITS)).otherwise(
-        -F.shiftright(-number, KIB_PER_MIB_BITS)
-    )
-    mib = F.when(unit == "", number).when(unit == "K", kib)
-    for letter, factor in UNIT_MIB.items():
-        mib = mib.when(unit == letter, F.try_multiply(number, F.lit(factor).cast("bigint")))
-    one_unit = (unit == "") | ~F.replace(clean, unit, F.lit("")).rlike("[KMGT]")
-    return F.when(one_unit, mib)
-
+def whole_mib(text: Column) -> Column:
+    """Whole MiB of a size text; null where it is absent or malformed.
 
-def size_mib(text: Column) -> Column:
-    """MiB of a size text: the first unit letter ends the number, no unit means
-    MiB, KiB are cut to whole MiB, malformed text is 0 and absent text is null."""
-    return F.when(text.isNotNull(), F.coalesce(_whole_mib(text), F.lit(0).cast("bigint")))
+    The number ends at the first unit letter, no unit means MiB, and KiB are cut
+    towards zero. Sizes beyond 64 bits of KiB are malformed.
+    """
+    number = F.regexp_extract(text, SIZE, 1).try_cast("bigint")
+    unit = F.upper(F.regexp_extract(text, SIZE, 2))
+    units = {"": UNIT_KIB[DEFAULT_UNIT], **UNIT_KIB}
+    factors = F.create_map(*[F.lit(x) for unit_kib in units.items() for x in unit_kib])
+    kib = F.try_multiply(number, F.element_at(factors, unit).cast("bigint"))
+    exact = kib.cast(KIB_TYPE) / F.lit(UNIT_KIB[DEFAULT_UNIT])
+    return exact.cast("bigint")
 
 
-def size_ok(text: Column) -> Column:
-    """Whether ``size_mib`` could read the text; null for absent text."""
-    return F.when(text.isNotNull(), _whole_mib(text).isNotNull())
+def size_mib(text: Column) -> Column:
+    """``whole_mib``, with 0 for malformed text; absent text stays null."""
+    return F.when(text.isNotNull(), F.coalesce(whole_mib(text), F.lit(0).cast("bigint")))
 
 
 def overhead_mib(

@@ -50,8 +50,6 @@ def base_name(location: Column) -> Column:
 
     A location without a path gives ``.``, a path of slashes only gives ``/``.
     """
-    bare = F.regexp_replace(location, r"(?s)[?#].*\z", "")
-    path = F.regexp_replace(bare, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:(//[^/]*)?", "")
-    trimmed = F.regexp_replace(path, r"/+\z", "")
-    name = F.substring_index(trimmed, "/", -1)
-    return F.when(path == "", F.lit(".")).when(trimmed == "", F.lit("/")).otherwise(name)
+    name = F.regexp_extract(location, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:(?://[^/?#]*)?)?(?:[^?#]*?/)?([^/?#]*)/*(?:[?#]|\z)", 1)
+    slashes = location.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:(?://[^/?#]*)?)?/")
+    return F.coalesce(F.nullif(name, F.lit("")), F.when(slashes, "/").otherwise("."))

@@ -3,6 +3,7 @@
 from tiersmith.operators.documents import document_lines, load_documents, render_documents
 from tiersmith.operators.match import (
     attach_matching,
+    attached_children,
     match_split,
     mount_lists,
     number_and_join,
@@ -41,6 +42,7 @@ __all__ = [
     "VOLUME_OPTIONS",
     "apply_plan",
     "attach_matching",
+    "attached_children",
     "classify_locations",
     "collect_sources",
     "document_lines",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiersmith.functions.text import escape_value, strip_newlines, unescape
-from tiersmith.operators.ordering import BUCKET_ROWS, hot_cuts, with_part
+from tiersmith.operators.ordering import PART_ROWS, hot_cuts, with_part
 
 # Comment marks, and the key of a line up to its first separator.
 COMMENT = r"^\s*[#!]"
@@ -24,7 +24,7 @@ def render_documents(
     entity: str = "entity",
     key: str = "key",
     value: str = "value",
-    part_lines: int = BUCKET_ROWS,
+    part_lines: int = PART_ROWS,
 ) -> DataFrame:
     """One ordered property text per entity: (entity, part, n_lines, document).
 
@@ -68,9 +68,8 @@ def load_documents(lines: DataFrame, line: str = "line") -> DataFrame:
     """
     text = F.col(line)
     kept = lines.where((F.trim(text) != "") & ~text.rlike(COMMENT))
-    key = unescape(F.regexp_extract(text, KEY, 1))
-    value = unescape(F.regexp_replace(text, SEPARATOR, ""))
-    return kept.withColumns({"key": key, "value": value}).drop(line)
+    raw = kept.withColumns({"key": F.regexp_extract(text, KEY, 1), "value": F.regexp_replace(text, SEPARATOR, "")})
+    return raw.withColumns({"key": unescape(F.col("key")), "value": unescape(F.col("value"))}).drop(line)
 
 
 def document_lines(documents: DataFrame, entity: str = "entity") -> DataFrame:

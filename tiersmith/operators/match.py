@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.operators.ordering import BUCKET_ROWS, hot_cuts, number_rows, running_total
+from tiersmith.operators.ordering import BUCKET_ROWS, PART_ROWS, hot_cuts, number_rows, running_total
 
-PART_ROWS = 1_000
+# Rows of a running list, of which every child has its own copy.
+RUNNING_ROWS = 1_000
 
 
 def match_split(
@@ -42,95 +43,92 @@ def attach_matching(
     cumulative: bool = True,
     parent_mounts: DataFrame | None = None,
     bucket_rows: int = BUCKET_ROWS,
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """Attach to each child the mounts whose (parent, name) has a volume.
 
-    Returns two tables. ``attached`` has one row (parent, child, pos, name, path)
-    per kept mount, ``pos`` numbering the kept mounts of a parent in the order
-    of (child, ``order``); mounts of the parent itself come first, are kept
-    unseen and have a null child. ``children`` has one row (parent, child,
-    n_shared, n_own, n_mounts, last_pos) per child, also for those without a match.
-
-    With ``cumulative`` a child owns the mounts of all children up to itself:
-    the positions 1..n_mounts of its parent. Otherwise it owns the ``n_shared``
-    first positions (those of the parent) and its own, which end at
-    ``last_pos``. Either way every mount is stored once, where writing out the
-    running lists would grow with the square of the children.
+    Returns the rows (parent, child, name, path, shared, known, pos) of all
+    mounts with a parent. ``known`` rows have a volume and are attached; the others only tell which children
+    exist. ``shared`` rows are mounts of the parent itself: they are attached
+    unseen, have a null child and come first in the list of every child.
+
+    With ``cumulative`` a child also has the mounts of all children before it.
+    ``pos`` then counts the attached rows of a parent in the order of (child,
+    ``order``), and the list of a child is 1..pos of its last row. Otherwise
+    ``pos`` counts within the child, and its list is the shared rows and then
+    its own. Either way a mount is stored once, where writing out the running
+    lists would grow with the square of the children; see ``mount_lists``.
     """
-    rows = mounts.select("parent", "child", *[c for c in order if c != "child"], "name", "path")
-    known = volumes.select("parent", "name").withColumn("known", F.lit(True)).distinct()
-    tagged = rows.join(known, ["parent", "name"], "left").withColumns(
-        {"shared": F.lit(False), "known": F.coalesce("known", F.lit(False))}
-    )
-    sizing = rows.withColumn("shared", F.lit(False))
+    place = ["child", *[c for c in order if c != "child"]]
+    rows = mounts.where(F.col("parent").isNotNull())
+    rows = rows.select("parent", *place, "name", "path").withColumn("shared", F.lit(False))
+    existing = volumes.select("parent", "name").distinct().withColumn("known", F.lit(True))
+    tagged = rows.join(existing, ["parent", "name"], "left").fillna(False, ["known"])
+    sizing = rows
     if parent_mounts is not None:
-        own = parent_mounts.withColumns({"child": F.lit(None).cast(mounts.schema["child"].dataType)})
-        own = own.withColumns({"shared": F.lit(True), "known": F.lit(True)})
+        own = parent_mounts.where(F.col("parent").isNotNull()).withColumns(
+            {"child": F.lit(None).cast(mounts.schema["child"].dataType), "shared": F.lit(True), "known": F.lit(True)}
+        )
         tagged = tagged.unionByName(own, allowMissingColumns=True)
         sizing = sizing.unionByName(own.drop("known"), allowMissingColumns=True)
-    # A parent's own mounts have a null child and so sort before its children.
-    place = ["child", *[c for c in order if c != "child"]]
-    cuts = hot_cuts(sizing, ["parent"], place, bucket_rows)
-    placed = running_total(tagged, ["parent"], place, F.col("known").cast("int"), "pos", cuts)
+    # A null child sorts first, so shared rows come before all children.
+    group = ["parent"] if cumulative else ["parent", "child"]
+    cuts = hot_cuts(sizing, group, place, bucket_rows)
+    placed = running_total(tagged, group, place, F.col("known").cast("int"), "pos", cuts)
+    return placed.select("parent", "child", "name", "path", "shared", "known", "pos")
+
 
-    attached = placed.where("known").select("parent", "child", "pos", "name", "path")
-    children = (
+def attached_children(placed: DataFrame) -> DataFrame:
+    """Children of ``attach_matching``, with or without a match: (parent, child,
+    n_own, last_pos). With ``cumulative`` the list of a child has ``last_pos``
+    mounts."""
+    return (
         placed.where(~F.col("shared"))
         .groupBy("parent", "child")
-        .agg(F.sum(F.col("known").cast("bigint")).alias("n_own"), F.max("pos").alias("last_pos"))
+        .agg(F.count_if("known").alias("n_own"), F.max("pos").alias("last_pos"))
     )
-    if parent_mounts is None:
-        children = children.withColumn("n_shared", F.lit(0).cast("bigint"))
-    else:
-        shared = parent_mounts.groupBy("parent").agg(F.count("*").alias("n_shared"))
-        children = children.join(shared, "parent", "left").fillna(0, ["n_shared"])
-    total = F.col("last_pos") if cumulative else F.col("n_shared") + F.col("n_own")
-    children = children.withColumn("n_mounts", total)
-    return children.select("parent", "child", "n_shared", "n_own", "n_mounts", "last_pos"), attached
 
 
-def mount_lists(
-    children: DataFrame, attached: DataFrame, cumulative: bool = True, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Lists of mounts per child: (parent, child, part, complete, mounts).
-
-    A child whose list has a prefix in common with others (``attach_matching``)
-    of at most ``part_rows`` mounts gets it written out, and ``complete`` is
-    true: its mounts over all parts are its whole list. A longer prefix is not
-    copied to every child: ``complete`` is false and the list is the first
-    ``last_pos - n_own`` (``cumulative``) or ``n_shared`` positions of the parent
-    in ``attached``, then the mounts given here. No part has more than
-    ``part_rows`` mounts of its own.
+def mount_lists(placed: DataFrame, cumulative: bool = True, part_rows: int = RUNNING_ROWS) -> DataFrame:
+    """Lists of ``attach_matching`` per child: (parent, child, from_pos, mounts).
+
+    ``mounts`` is the list of the child from position ``from_pos`` on. A list of
+    up to ``part_rows`` mounts is one row with from_pos 1. A longer one comes in
+    parts, and what it has in common with other children is written out up to
+    ``part_rows`` mounts only: positions before the first ``from_pos`` of a child
+    are found with the earlier children of the parent (``cumulative``), or with
+    the null child (shared mounts).
     """
     item = F.struct("pos", "name", "path")
-    none = F.array().cast(f"array<struct<pos:bigint,name:{_type(attached, 'name')},path:{_type(attached, 'path')}>>")
-    own_index = F.col("pos") - (F.col("last_pos") - F.col("n_own")) - 1
+    part = F.floor(F.greatest(F.col("pos") - 1, F.lit(0)) / F.lit(part_rows)).cast("int")
     own = (
-        attached.join(children.select("parent", "child", "n_own", "last_pos"), ["parent", "child"], "inner")
-        .withColumn("part", F.floor(own_index / F.lit(part_rows)).cast("int"))
+        placed.withColumn("part", part)
         .groupBy("parent", "child", "part")
-        .agg(F.array_sort(F.collect_list(item)).alias("own"))
+        .agg(
+            F.array_sort(F.collect_list(F.when(F.col("known"), item))).alias("own"),
+            F.max("pos").alias("last_pos"),
+            F.first("shared").alias("shared"),
+        )
     )
-    first = (
-        attached.where(F.col("pos") <= part_rows)
-        .groupBy("parent")
-        .agg(F.array_sort(F.collect_list(item)).alias("first"))
-    )
-    prefix = F.col("last_pos") - F.col("n_own") if cumulative else F.col("n_shared")
-    complete = prefix <= part_rows
-    copied = F.when(
-        complete & (F.col("part") == 0), F.slice(F.coalesce("first", none), 1, prefix.cast("int"))
-    ).otherwise(none)
-    return (
-        children.join(own, ["parent", "child"], "left")
-        .join(first, "parent", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .select("parent", "child", "part", complete.alias("complete"), F.concat(copied, F.coalesce("own", none)).alias("mounts"))
+    head = placed.where(F.col("known") & (F.col("pos") <= part_rows) if cumulative else F.col("shared"))
+    head = head.groupBy("parent").agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos") <= part_rows, item))).alias("head"),
+        F.max("pos").alias("n_head"),
     )
-
-
-def _type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
+    lists = own.join(head, "parent", "left").withColumn("head", F.coalesce("head", F.slice("own", 1, 0)))
+    begins = F.col("part") == 0
+    if cumulative:
+        # The head reaches every row of part 0; later parts give their own mounts.
+        rows = lists.where(~F.col("shared"))
+        mounts = F.when(begins, F.slice("head", 1, F.col("last_pos").cast("int"))).otherwise(F.col("own"))
+        from_pos = F.when(begins, F.lit(1)).otherwise(F.col("last_pos") - F.size("own") + 1)
+    else:
+        n_shared = F.coalesce("n_head", F.lit(0))
+        rows = lists.where(~F.col("shared") | (n_shared > part_rows))
+        copied = begins & ~F.col("shared") & (n_shared <= part_rows)
+        before = F.col("part") * part_rows + F.when(F.col("shared"), F.lit(0)).otherwise(n_shared)
+        mounts = F.when(copied, F.concat("head", "own")).otherwise(F.col("own"))
+        from_pos = F.when(copied, F.lit(1)).otherwise(before + 1)
+    return rows.select("parent", "child", from_pos.cast("bigint").alias("from_pos"), mounts.alias("mounts"))
 
 
 def number_and_join(
@@ -139,7 +137,7 @@ def number_and_join(
     order: Sequence[str],
     prefix: str,
     entity: str = "entity",
-    part_rows: int = BUCKET_ROWS,
+    part_rows: int = PART_ROWS,
     bucket_rows: int = BUCKET_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Number the rows of an entity 1..n in order and name the slots

@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from tiersmith.session import ensure_checkpoint_dir
 
+# Rows of one window, and of one collected list, map or document.
 BUCKET_ROWS = 4_000_000
+PART_ROWS = 100_000
+
 OVERSAMPLE = 16
 MAX_CUT_BITS = 24
 BROADCAST_CUTS = 200_000

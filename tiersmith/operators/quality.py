@@ -49,20 +49,21 @@ def parse_or_quarantine(
     the row out of ``good``, ``fail`` stops the job that reads ``good``.
     ``good`` has a ``status`` of parsed, absent or defaulted.
     """
-    number = parse_integer(F.col(col), target)
-    malformed = F.col(col).isNotNull() & number.isNull()
-    bad = df.where(malformed)
+    read = df.withColumn("_number", parse_integer(F.col(col), target))
+    malformed = F.col(col).isNotNull() & F.col("_number").isNull()
+    bad = read.where(malformed).drop("_number")
     status = F.when(F.col(col).isNull(), "absent").when(malformed, "defaulted").otherwise("parsed")
     if policy == "quarantine":
-        rows = df.where(~malformed)
+        rows = read.where(~malformed)
     elif policy == "fail":
         message = F.concat(F.lit(f"{col} is not an integer: "), F.col(col))
-        rows = df.where(F.when(malformed, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+        rows = read.where(F.when(malformed, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     elif policy == "default":
-        rows = df
+        rows = read
     else:
         raise ValueError(f"unknown policy {policy!r}")
-    return rows.withColumns({out: F.coalesce(number, F.lit(default).cast(target)), "status": status}), bad
+    value = F.coalesce("_number", F.lit(default).cast(target))
+    return rows.withColumns({out: value, "status": status}).drop("_number"), bad
 
 
 def classify_locations(df: DataFrame, col: str = "location") -> DataFrame:
@@ -72,7 +73,7 @@ def classify_locations(df: DataFrame, col: str = "location") -> DataFrame:
     (empty text) and absent (null).
     """
     place = F.col(col)
-    scheme = location_scheme(place)
+    scheme = F.col("scheme")
     route = (
         F.when(place.isNull(), "absent")
         .when(place == "", "error")
@@ -81,7 +82,7 @@ def classify_locations(df: DataFrame, col: str = "location") -> DataFrame:
         .otherwise("unsupported")
     )
     name = F.when(place != "", base_name(place))
-    return df.withColumns({"scheme": scheme, "route": route, "base_name": name})
+    return df.withColumn("scheme", location_scheme(place)).withColumns({"route": route, "base_name": name})
 
 
 def location_summary(classified: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiersmith.functions.presence import is_present
-from tiersmith.operators.ordering import BUCKET_ROWS, hot_cuts, with_part
+from tiersmith.operators.ordering import PART_ROWS, hot_cuts, with_part
 
 LayerOrder = Sequence[str] | DataFrame
 
@@ -137,7 +137,7 @@ def merge_layers(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return _winner(writes, ["entity", "key"], [F.col("layer_rank"), F.col("seq")], ["value", "layer"])
 
 
-def merge_layer_maps(df: DataFrame, order: Sequence[str], part_keys: int = BUCKET_ROWS) -> DataFrame:
+def merge_layer_maps(df: DataFrame, order: Sequence[str], part_keys: int = PART_ROWS) -> DataFrame:
     """``merge_layers`` as maps with sorted keys: (entity, part, n_keys, settings).
 
     An ordinary entity is one map with part 0. An entity with far more keys

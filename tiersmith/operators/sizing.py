@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.functions.sizes import MIB_TYPE, overhead_mib, size_mib, size_ok
+from tiersmith.functions.sizes import MIB_TYPE, overhead_mib, whole_mib
 
 
 def resource_requests(
@@ -21,9 +21,17 @@ def resource_requests(
     ``request_mib``; rows without an explicit size have none of them."""
     mib = F.col("size_mib")
     extra = overhead_mib(mib, F.col(runtime), [F.col(c) for c in overheads], [F.col(c) for c in factors])
-    sized = df.withColumns({"size_mib": size_mib(F.col(size)), "size_ok": size_ok(F.col(size))})
-    return sized.withColumn("overhead_mib", F.when(mib.isNotNull(), extra)).withColumn(
-        "request_mib", mib.cast(MIB_TYPE) + F.col("overhead_mib")
+    given = F.col(size).isNotNull()
+    sized = df.withColumn("_whole", whole_mib(F.col(size))).withColumns(
+        {
+            "size_mib": F.when(given, F.coalesce("_whole", F.lit(0).cast("bigint"))),
+            "size_ok": F.when(given, F.col("_whole").isNotNull()),
+        }
+    )
+    return (
+        sized.withColumn("overhead_mib", F.when(mib.isNotNull(), extra))
+        .withColumn("request_mib", mib.cast(MIB_TYPE) + F.col("overhead_mib"))
+        .drop("_whole")
     )
 
 

@@ -524,12 +524,14 @@ ATTACH_SQL = """
 
 
 def _attach(spark: SparkSession, sf_dir: str, cumulative: bool) -> DataFrame:
-    children, attached = ops.attach_matching(
+    return ops.attach_matching(
         t.mounts(spark, sf_dir), t.volumes(spark, sf_dir), MOUNT_ORDER, cumulative=cumulative
     )
-    lists = ops.mount_lists(children, attached, cumulative)
+
+
+def _mount_text(lists: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("mounts", lambda m: F.concat_ws(":", m["name"], m["path"])), ",")
-    return lists.select("parent", "child", "part", "complete", text.alias("mounts")).withColumns(_long("child", "part"))
+    return lists.withColumn("mounts", text).withColumns(_long("child"))
 
 
 @query(
@@ -537,24 +539,24 @@ def _attach(spark: SparkSession, sf_dir: str, cumulative: bool) -> DataFrame:
     "mounts volumes",
     ATTACH_SQL
     + """
-    select parent, child, 0 as part, true as complete,
+    select parent, child, 1 as from_pos,
            coalesce(array_to_string(flatten(list(coalesce(items, [])) over (
                partition by parent order by child rows between unbounded preceding and current row)), ','), '') as mounts
     from own
     """,
 )
 def attach_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _attach(spark, sf_dir, True)
+    return _mount_text(ops.mount_lists(_attach(spark, sf_dir, True)))
 
 
 @query(
     "attach_matching_own",
     "mounts volumes",
     ATTACH_SQL
-    + "select parent, child, 0 as part, true as complete, coalesce(array_to_string(items, ','), '') as mounts from own",
+    + "select parent, child, 1 as from_pos, coalesce(array_to_string(items, ','), '') as mounts from own",
 )
 def attach_matching_own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _attach(spark, sf_dir, False)
+    return _mount_text(ops.mount_lists(_attach(spark, sf_dir, False), cumulative=False))
 
 
 @query(
@@ -569,8 +571,8 @@ def attach_matching_own(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def attach_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    children, _ = ops.attach_matching(t.mounts(spark, sf_dir), t.volumes(spark, sf_dir), MOUNT_ORDER)
-    return children.select("parent", "child", "n_own", "n_mounts").withColumns(_long("child"))
+    children = ops.attached_children(_attach(spark, sf_dir, True))
+    return children.withColumnRenamed("last_pos", "n_mounts").withColumns(_long("child"))
 
 
 @query(

@@ -23,14 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per write; some values are null and some are empty."""
-    number = F.regexp_extract("props", "([0-9]+)", 1)
-    n = number.cast("int")
+    n = F.col("number").cast("int")
     amount = F.col("value").cast("decimal(10,2)").cast("string")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").withColumn("number", F.regexp_extract("props", "([0-9]+)", 1))
+    return events.select(
         F.col("event_id").alias("seq"),
         F.col("user_id").alias("entity"),
         F.col("event_type").alias("key"),
-        F.concat(F.lit("app."), F.col("event_type"), F.lit(".label."), number).alias("conf_key"),
+        F.concat(F.lit("app."), F.col("event_type"), F.lit(".label."), F.col("number")).alias("conf_key"),
         F.when(n % 4 == 0, "override").when(n % 4 == 1, "spec").when(n % 4 == 2, "conf").otherwise("default").alias("layer"),
         F.when(n % 10 == 0, "").when(n % 10 == 1, None).otherwise(amount).alias("value"),
     )
