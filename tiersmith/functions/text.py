@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # The separators that a property value escapes.
 ESCAPED_SEPARATORS = (":", "=")
 
+SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
+AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:(?://[^/?#]*)?+)?+"
+
 
 def escape_value(value: Column, backslash: bool = True) -> Column:
     """Put a backslash before ``:`` and ``=``, and before backslashes first."""
@@ -42,7 +45,7 @@ def last_segment(key: Column, separator: str = ".") -> Column:
 
 def location_scheme(location: Column) -> Column:
     """Lower-case URI scheme, empty where there is none."""
-    return F.lower(F.regexp_extract(location, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
+    return F.lower(F.regexp_extract(location, SCHEME, 1))
 
 
 def base_name(location: Column) -> Column:
@@ -50,6 +53,6 @@ def base_name(location: Column) -> Column:
 
     A location without a path gives ``.``, a path of slashes only gives ``/``.
     """
-    name = F.regexp_extract(location, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:(?://[^/?#]*)?)?(?:[^?#]*?/)?([^/?#]*)/*(?:[?#]|\z)", 1)
-    slashes = location.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:(?://[^/?#]*)?)?/")
+    name = F.regexp_extract(location, AUTHORITY + r"(?:[^?#]*?/)?([^/?#]*)/*(?:[?#]|\z)", 1)
+    slashes = location.rlike(AUTHORITY + "/")
     return F.coalesce(F.nullif(name, F.lit("")), F.when(slashes, "/").otherwise("."))

@@ -1,6 +1,7 @@
 """The operators: functions from DataFrames to DataFrames."""
 
 from tiersmith.operators.documents import document_lines, load_documents, render_documents
+from tiersmith.operators.joins import split_join
 from tiersmith.operators.match import (
     attach_matching,
     attached_children,
@@ -70,6 +71,7 @@ __all__ = [
     "running_total",
     "secret_rules",
     "select_named_or_all",
+    "split_join",
     "split_volumes",
     "unpivot_present",
     "upsert_plan",

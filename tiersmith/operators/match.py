@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiersmith.operators.joins import split_join
 from tiersmith.operators.ordering import BUCKET_ROWS, PART_ROWS, hot_cuts, number_rows, running_total
 
 # Rows of a running list, of which every child has its own copy.
@@ -25,8 +26,8 @@ def match_split(
     """
     name = keys[-1]
     special = volumes.where(F.col(name).startswith(prefix))
-    matched = mounts.where(F.col(name).startswith(prefix)).join(special, list(keys), "inner")
-    residual = mounts.join(special.select(*keys), list(keys), "left_anti")
+    matched = split_join(mounts.where(F.col(name).startswith(prefix)), special, keys, "inner")
+    residual = split_join(mounts, special.select(*keys), keys, "left_anti")
     return matched, residual
 
 
@@ -62,7 +63,7 @@ def attach_matching(
     rows = mounts.where(F.col("parent").isNotNull())
     rows = rows.select("parent", *place, "name", "path").withColumn("shared", F.lit(False))
     existing = volumes.select("parent", "name").distinct().withColumn("known", F.lit(True))
-    tagged = rows.join(existing, ["parent", "name"], "left").fillna(False, ["known"])
+    tagged = split_join(rows, existing, ["parent", "name"], "left").fillna(False, ["known"])
     sizing = rows
     if parent_mounts is not None:
         own = parent_mounts.where(F.col("parent").isNotNull()).withColumns(
@@ -114,7 +115,7 @@ def mount_lists(placed: DataFrame, cumulative: bool = True, part_rows: int = RUN
         F.array_sort(F.collect_list(F.when(F.col("pos") <= part_rows, item))).alias("head"),
         F.max("pos").alias("n_head"),
     )
-    lists = own.join(head, "parent", "left").withColumn("head", F.coalesce("head", F.slice("own", 1, 0)))
+    lists = split_join(own, head, ["parent"], "left").withColumn("head", F.coalesce("head", F.slice("own", 1, 0)))
     begins = F.col("part") == 0
     if cumulative:
         # The head reaches every row of part 0; later parts give their own mounts.
@@ -170,5 +171,5 @@ def select_named_or_all(
     if not target:
         return df
     first = df.where(F.col(name) == target).groupBy(parent).agg(F.min(pos).alias("_first"))
-    joined = df.join(first, parent, "left")
+    joined = split_join(df, first, [parent], "left")
     return joined.where(F.col("_first").isNull() | (F.col(pos) == F.col("_first"))).drop("_first")

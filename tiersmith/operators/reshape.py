@@ -93,19 +93,19 @@ def expand_options(
     ``rules`` lists (option, column) by kind; an option without a value is left
     out, a kind without a rule gives no rows.
     """
-    options = []
+    rows = None
     for tag, pairs in rules.items():
-        for option, source in pairs:
-            value = source if isinstance(source, Column) else F.col(source)
-            options.append(
-                F.struct(
-                    F.lit(option).alias("option"),
-                    F.when(F.col(kind) == tag, value.cast("string")).alias("value"),
-                )
-            )
-    rows = F.filter(F.array(*options), lambda r: r["value"].isNotNull())
+        options = [
+            F.struct(F.lit(option).alias("option"), _column(source).cast("string").alias("value"))
+            for option, source in pairs
+        ]
+        rows = (F if rows is None else rows).when(F.col(kind) == tag, F.array(*options))
     known = df.where(F.col(kind).isin(*rules))
-    return known.select(*keep, F.inline(rows))
+    return known.select(*keep, F.inline(rows)).where(F.col("value").isNotNull())
+
+
+def _column(source: str | Column) -> Column:
+    return source if isinstance(source, Column) else F.col(source)
 
 
 def secret_rules(

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiersmith.functions.presence import is_present
+from tiersmith.operators.joins import split_join
 from tiersmith.operators.ordering import PART_ROWS, hot_cuts, with_part
 
 LayerOrder = Sequence[str] | DataFrame
@@ -162,14 +163,14 @@ def first_nonempty_layer(
     entity without rows gets ``default_rows``. Returns (entity, key, value,
     layer, seq).
 
-    The deciding rank is an aggregate of one row per entity. Joining it back
-    leaves a hot entity to Spark's skew join, where a window would hold all its
+    The deciding rank is an aggregate of one row per entity. Rows are joined to
+    it, so that Spark can split a hot entity, where a window would hold all its
     rows in one task.
     """
     rows = with_rank(df.where(is_present(F.col("value"), presence)), layer_order)
     rows = rows.select("entity", "key", "value", "layer", "seq", "layer_rank")
-    first = rows.groupBy("entity").agg(F.min("layer_rank").alias("first_rank"))
-    supplied = rows.join(first, "entity", "inner").where(F.col("layer_rank") == F.col("first_rank"))
+    first = rows.groupBy("entity").agg(F.min("layer_rank").alias("layer_rank"))
+    supplied = split_join(rows, first, ["entity", "layer_rank"], "left_semi")
     fallback = (
         entities.select("entity")
         .join(first, "entity", "left_anti")
