@@ -56,9 +56,34 @@ def test_ordinary_groups_are_not_split(spark):
     assert ops.hot_cuts(df, ["g"], ["a"], 16) is None
 
 
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = [("hot", 50, i % 3) for i in range(3000)] + [("hot", i % 100, 9) for i in range(1500)]
+    rows += [(f"g{i % 700}", 1, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, a long, b long").repartition(6)
+    cuts = ops.hot_cuts(df, ["g"], ["a"], 160)
+    assert cuts.ties
+    sizes = [r["count"] for r in ops.with_part(df, cuts).where("g = 'hot'").groupBy("part").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 5 * 160
+    numbered = ops.number_rows(df, ["g"], ["a"], bucket_rows=160).collect()
+    assert sorted((r.g, r.a, r.b) for r in numbered) == sorted(rows)
+    groups = defaultdict(list)
+    for r in numbered:
+        groups[r.g].append((r.pos, r.a))
+    for members in groups.values():
+        members.sort()
+        assert [pos for pos, _ in members] == list(range(1, len(members) + 1))
+        assert [a for _, a in members] == sorted(a for _, a in members)
+
+
+def test_many_writes_of_few_keys_stay_one_part(spark):
+    df = spark.range(20000).selectExpr("1 as g", "id % 10 as a")
+    assert ops.hot_cuts(df, ["g"], ["a"], 320, distinct=True) is None
+    assert ops.hot_cuts(df, ["g"], ["a"], 320).ties
+
+
 def test_parts_are_consecutive_and_bounded(spark):
     df = spark.range(20000).selectExpr("int(id % 3 = 0) as g", "format_number(id * 7919 % 20011, '00000') as a")
-    cuts = ops.hot_cuts(df, ["g"], ["a"], 320)
+    cuts = ops.hot_cuts(df, ["g"], ["a"], 320, distinct=True)
     spans = defaultdict(list)
     for row in ops.with_part(df, cuts).collect():
         spans[(row.g, row.part)].append(row.a)

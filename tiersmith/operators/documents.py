@@ -47,7 +47,7 @@ def render_documents(
     checked = F.when(text.rlike(r"[\r\n]"), F.raise_error(broken).cast("string")).otherwise(plain)
     lines = df.select(entity, key, F.concat(F.col(key), F.lit("="), checked, F.lit("\n")).alias("line"))
 
-    cuts = hot_cuts(df, [entity], [key], part_lines)
+    cuts = hot_cuts(df, [entity], [key], part_lines, distinct=True)
     ordered = F.array_sort(F.collect_list(F.struct(key, "line")))
     return (
         with_part(lines, cuts)

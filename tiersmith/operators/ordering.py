@@ -5,14 +5,13 @@ fine until one entity owns a third of the table. The helpers here cut such a
 group into consecutive ranges of its order columns: every range is its own
 window or list, and the ranges are put together again through their totals.
 
-The cuts come from a content hash of the rows, so a recomputed partition finds
-the same cuts. They only decide where a group is split: results are exact
-whatever the cuts are.
+The cuts come from a sample, but they only decide where a group is split:
+results are exact whatever the cuts are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +40,7 @@ class Cuts(NamedTuple):
     group: tuple[str, ...]
     order: tuple[str, ...]
     points: int
+    ties: bool
 
     def joinable(self, df: DataFrame) -> DataFrame:
         """Broadcast ``df`` if the number of cut points bounds it."""
@@ -48,20 +48,31 @@ class Cuts(NamedTuple):
 
 
 def hot_cuts(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], bucket_rows: int = BUCKET_ROWS
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    bucket_rows: int = BUCKET_ROWS,
+    distinct: bool = False,
 ) -> Cuts | None:
-    """Cut points for the groups with clearly more than ``bucket_rows`` distinct
-    order values, or None when no group is that large.
+    """Cut points for the groups with clearly more than ``bucket_rows`` rows, or
+    with ``distinct`` that many distinct order values; None when no group is
+    that large.
 
     One scan of the group and order columns; only the sampled points are
     shuffled. The answer is needed before the plan can be built, so this runs a
-    job. The (small) table of cuts is checkpointed to keep every use of it equal.
+    job. The (small) table of cuts is checkpointed, which makes every use of it
+    see the same cuts.
+
+    Order values that fill several ranges by themselves are cut points several
+    times over.
     """
     rate = max(1, bucket_rows // OVERSAMPLE)
-    sampled = df.where(F.pmod(F.xxhash64(*group, *order), F.lit(rate)) == 0)
-    points = F.array_sort(F.collect_set(F.struct(*order)))
+    chosen = F.pmod(F.xxhash64(*group, *order), F.lit(rate)) == 0 if distinct else F.rand(rate) < 1 / rate
+    point = F.struct(*order)
+    points = F.array_sort(F.collect_set(point) if distinct else F.collect_list(point))
     cuts = (
-        sampled.groupBy(*group)
+        df.where(chosen)
+        .groupBy(*group)
         .agg(points.alias(_CUTS))
         .where(F.size(_CUTS) >= 2 * OVERSAMPLE)
         .withColumn(_CUTS, F.filter(_CUTS, lambda _, i: i % OVERSAMPLE == OVERSAMPLE - 1))
@@ -70,22 +81,38 @@ def hot_cuts(
         return None
     ensure_checkpoint_dir(df.sparkSession)
     cuts = cuts.checkpoint()
-    total = cuts.agg(F.sum(F.size(_CUTS)).alias("n")).first()["n"]
-    return Cuts(cuts, tuple(group), tuple(order), total)
+    single = F.size(F.array_distinct(_CUTS))
+    size = cuts.agg(F.sum(F.size(_CUTS)).alias("n"), F.max(F.size(_CUTS) - single).alias("ties")).first()
+    return Cuts(cuts, tuple(group), tuple(order), size["n"], size["ties"] > 0)
 
 
-def _cuts_up_to(point: Column) -> Column:
-    """Number of cut points not above ``point``, by halving steps."""
+def _cuts_where(holds: Callable[[Column], Column]) -> Column:
+    """Number of leading cut points for which ``holds``, by halving steps."""
 
     def step(count: Column, width: Column) -> Column:
         reach = count + width
-        fits = (reach <= F.size(_CUTS)) & (F.get(F.col(_CUTS), reach - 1) <= point)
+        fits = (reach <= F.size(_CUTS)) & holds(F.get(F.col(_CUTS), reach - 1))
         return F.when(fits, reach).otherwise(count)
 
     widths = F.array(*[F.lit(1 << bit) for bit in reversed(range(MAX_CUT_BITS))])
     return F.aggregate(widths, F.lit(0), step)
 
 
+def _part_number(cuts: Cuts) -> Column:
+    """Range of a row: the number of cut points that are not above it.
+
+    Rows that equal a repeated cut point may go to any of the ranges that the
+    point opens, in any order; they are dealt out evenly.
+    """
+    point = F.struct(*cuts.order)
+    upto = _cuts_where(lambda cut: cut <= point)
+    if not cuts.ties:
+        return upto
+    below = _cuts_where(lambda cut: cut < point)
+    dealt = below + 1 + F.pmod(F.monotonically_increasing_id(), (upto - below).cast("bigint")).cast("int")
+    return F.when(upto - below > 1, dealt).otherwise(upto)
+
+
 def _join_groups(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on ``keys`` where null equals null, keeping the columns of ``df``."""
     renamed = right.withColumnsRenamed({k: f"_ts_r_{k}" for k in keys})
@@ -95,12 +122,17 @@ def _join_groups(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
 
 def with_part(df: DataFrame, cuts: Cuts | None, out: str = "part") -> DataFrame:
     """Add the number of the consecutive range a row belongs to, 0 for all rows
-    of ordinary groups. Needs no shuffle."""
+    of ordinary groups. Needs no shuffle.
+
+    Rows that are dealt out are checkpointed, since another evaluation could
+    deal them differently.
+    """
     if cuts is None:
         return df.withColumn(out, F.lit(0))
     joined = _join_groups(df, cuts.joinable(cuts.table), cuts.group, "left")
-    part = F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(_cuts_up_to(F.struct(*cuts.order)))
-    return joined.withColumn(out, part).drop(_CUTS)
+    part = F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(_part_number(cuts))
+    placed = joined.withColumn(out, part).drop(_CUTS)
+    return placed.checkpoint() if cuts.ties else placed
 
 
 def running_total(
@@ -127,8 +159,8 @@ def running_total(
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)
     inside = parts.withColumn(out, F.sum(_STEP).over(within))
 
-    hot = _join_groups(stepped, cuts.joinable(cuts.table.select(*group)), group, "left_semi")
-    totals = with_part(hot, cuts, _PART).groupBy(*keys).agg(F.sum(_STEP).alias(_STEP))
+    hot = _join_groups(parts, cuts.joinable(cuts.table.select(*group)), group, "left_semi")
+    totals = hot.groupBy(*keys).agg(F.sum(_STEP).alias(_STEP))
     earlier = Window.partitionBy(*group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.withColumn(_BEFORE, F.sum(_STEP).over(earlier)).drop(_STEP)
 
