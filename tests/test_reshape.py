@@ -38,6 +38,9 @@ def test_unset_columns_and_flags(spark):
         (4, 1, "enabled", "true"),
         (4, 2, "tracked", "true"),
     ]
+    lists = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "entity long, jars array<string>")
+    joined = ops.unpivot_present(lists, {"jars": "jars"})
+    assert [tuple(r) for r in joined.collect()] == [(1, 1, "jars", "a,b")]
     always = ops.unpivot_present(df, {"text": "note"})
     assert sorted((r.entity, r.value) for r in always.collect()) == [(2, "x"), (3, "y")]
 

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tiersmith import operators as ops
 from tiersmith.functions import ladder
-from tiersmith.plans import service_labels
+from tiersmith.plans import local_directories, service_labels
 
 LOG = "seq long, entity long, key string, layer string, value string"
 ORDER = ["override", "spec", "conf"]
@@ -130,6 +130,28 @@ def test_prefixed_labels_override_layers(spark):
     assert got == {"version": "3", "team": "3"}
 
 
+def test_later_prefixed_write_wins_across_prefixes(spark):
+    df = spark.createDataFrame(
+        [(1, 1, "k", "p2.team", "app", "old"), (2, 1, "k", "p1.team", "app", "new")],
+        "seq long, entity long, key string, conf_key string, layer string, value string",
+    )
+    got = {r.key: r.value for r in service_labels(df, ["app"], ["p1.", "p2."]).collect()}
+    assert got == {"k": "new", "team": "new"}
+
+
+def test_local_directories_fall_back(spark):
+    mounts = spark.createDataFrame(
+        [(1, "my-scratch-a", "/m2", 2), (1, "scratch-b", "/m1", 1), (1, "data", "/d", 3), (2, "data", "/d", 1)],
+        "entity long, name string, path string, pos int",
+    )
+    env = spark.createDataFrame([(1, "/e"), (2, "/e1,/e2"), (3, None)], "entity long, text string")
+    conf = spark.createDataFrame([(2, "/c"), (3, "/c1,/c1")], "entity long, text string")
+    people = spark.createDataFrame([(1,), (2,), (3,), (4,)], "entity long")
+    rows, lists = local_directories(mounts, {"env": env, "conf": conf}, people, "scratch-", "/tmp/x", "scratch-")
+    assert {r.entity: r.list for r in lists.collect()} == {1: "/m1,/m2", 2: "/e1,/e2", 3: "/c1,/c1", 4: "/tmp/x"}
+    assert sorted((r.slot, r.value) for r in rows.where("entity = 2").collect()) == [("scratch-1", "/e1"), ("scratch-2", "/e2")]
+
+
 def test_ladders_of_a_wide_record(spark):
     df = spark.createDataFrame(
         [("a", "ns", "c"), ("b", "", "c"), ("c", None, ""), ("d", None, None)], "name string, given string, conf string"

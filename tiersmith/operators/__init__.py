@@ -25,6 +25,7 @@ from tiersmith.operators.reshape import (
     expand_options,
     explode_list,
     extract_prefixed,
+    prefixed_rows,
     secret_rules,
     unpivot_present,
 )
@@ -64,6 +65,7 @@ __all__ = [
     "number_and_join",
     "number_rows",
     "parse_or_quarantine",
+    "prefixed_rows",
     "render_documents",
     "resolve_layers",
     "resource_requests",

@@ -40,7 +40,10 @@ def apply_plan(
     payload: Sequence[str] = ("payload",),
 ) -> DataFrame:
     """State after the plan. An update replaces the payload columns only; other
-    columns, and rows without a plan, stay as they are."""
+    columns, and rows without a plan, stay as they are.
+
+    Only the keys and the payload of a plan matter here, so desired rows with
+    unique keys do as well and save the join that finds the actions."""
     planned = plan.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in payload], F.lit(True).alias("_planned"))
     joined = existing.join(planned, list(keys), "full")
     replaced = {c: F.when(F.col("_planned"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in payload}

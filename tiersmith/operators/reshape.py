@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tiersmith.functions.text import last_segment
 
@@ -25,30 +26,35 @@ SECRET_FILES = {
 }
 
 
-def extract_prefixed(df: DataFrame, prefixes: Sequence[str], mode: str = "last_segment") -> DataFrame:
-    """(entity, prefix, subkey, value) of the keys that contain a prefix.
+def prefixed_rows(df: DataFrame, prefixes: Sequence[str], mode: str = "last_segment", key: str = "key") -> DataFrame:
+    """(entity, prefix, subkey, value, seq) of all writes whose key contains a
+    prefix, one row per prefix.
 
     The sub-key is the text after the last dot, or with ``after_prefix`` all
-    text after the prefix. Where two keys give the same sub-key, the write with
-    the largest ``seq`` wins. The prefixes are part of the expression, so a key
-    is tested during the scan and no join is needed.
+    text after the prefix. The prefixes are part of the expression, so a key is
+    tested during the scan and no join is needed.
     """
-    key = F.col("key")
-    wanted = F.array(*[F.lit(p) for p in prefixes])
     if mode == "last_segment":
-        subkey = last_segment(key)
+        subkey = last_segment(F.col("_key"))
     elif mode == "after_prefix":
-        start = F.expr("locate(prefix, key) + char_length(prefix)")
-        subkey = F.substr(key, start)
+        subkey = F.expr("substring(_key, locate(prefix, _key) + char_length(prefix))")
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    matches = (
-        df.where(F.col("value").isNotNull() & _contains_any(key, prefixes))
-        .select("entity", "key", "value", "seq", F.explode(F.filter(wanted, lambda p: key.contains(p))).alias("prefix"))
-        .withColumn("subkey", subkey)
+    wanted = F.array(*[F.lit(p) for p in prefixes])
+    found = F.filter(wanted, lambda p: F.col(key).contains(p))
+    return (
+        df.where(F.col("value").isNotNull() & _contains_any(F.col(key), prefixes))
+        .select("entity", F.col(key).alias("_key"), "value", "seq", F.explode(found).alias("prefix"))
+        .select("entity", "prefix", subkey.alias("subkey"), "value", "seq")
     )
+
+
+def extract_prefixed(df: DataFrame, prefixes: Sequence[str], mode: str = "last_segment", key: str = "key") -> DataFrame:
+    """(entity, prefix, subkey, value) of the keys that contain a prefix. Where
+    two keys give the same sub-key, the write with the largest ``seq`` wins."""
     top = F.max(F.struct("seq", "value")).alias("top")
-    return matches.groupBy("entity", "prefix", "subkey").agg(top).select("entity", "prefix", "subkey", "top.value")
+    settled = prefixed_rows(df, prefixes, mode, key).groupBy("entity", "prefix", "subkey").agg(top)
+    return settled.select("entity", "prefix", "subkey", "top.value")
 
 
 def _contains_any(key: Column, prefixes: Sequence[str]) -> Column:
@@ -68,11 +74,12 @@ def unpivot_present(
     """(entity, pos, key, value) for every column that is set.
 
     ``constants`` come first and only where ``flag`` is on; nothing comes out
-    where it is off. ``pos`` numbers the emitted rows of a record from 1.
+    where it is off. A list is set if it has items, and they are joined with
+    commas. ``pos`` numbers the emitted rows of a record from 1.
     """
     fixed = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (constants or {}).items()]
     given = [
-        F.struct(F.lit(key).alias("key"), F.col(name).cast("string").alias("value"))
+        F.struct(F.lit(key).alias("key"), _text(df, name).alias("value"))
         for name, key in columns.items()
     ]
     on = df if flag is None else df.where(F.col(flag))
@@ -82,6 +89,12 @@ def unpivot_present(
     )
 
 
+def _text(df: DataFrame, name: str) -> Column:
+    if isinstance(df.schema[name].dataType, ArrayType):
+        return F.when(F.size(name) > 0, F.array_join(name, ","))
+    return F.col(name).cast("string")
+
+
 def expand_options(
     df: DataFrame,
     rules: Mapping[str, Sequence[tuple[str, str | Column]]],

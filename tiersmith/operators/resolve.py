@@ -171,9 +171,11 @@ def first_nonempty_layer(
     rows = rows.select("entity", "key", "value", "layer", "seq", "layer_rank")
     first = rows.groupBy("entity").agg(F.min("layer_rank").alias("layer_rank"))
     supplied = split_join(rows, first, ["entity", "layer_rank"], "left_semi")
+    # Asking for the rank here too lets both joins share one shuffle.
+    ranked = first.where(F.col("layer_rank").isNotNull())
     fallback = (
         entities.select("entity")
-        .join(first, "entity", "left_anti")
+        .join(ranked, "entity", "left_anti")
         .select("entity", F.inline(_constant_rows(default_rows)))
         .withColumns(
             {

@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 
 from tiersmith.operators import (
     collect_sources,
-    extract_prefixed,
+    explode_list,
+    first_nonempty_layer,
     latest_setting,
     layer_usage,
     merge_layers,
     normalise_codes,
+    number_and_join,
     parse_or_quarantine,
+    prefixed_rows,
     render_documents,
     resolve_layers,
     unpivot_present,
 )
 
+# Layer of the settings that come from prefixed keys.
+PREFIXED = "prefixed"
+
 
 def layer_report(
     log: DataFrame, layer_order: Sequence[str], entities: DataFrame, defaults: Mapping[str, str]
@@ -31,16 +37,33 @@ def layer_report(
 def service_labels(log: DataFrame, order: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
     """Labels of an entity: those of its layers merged in ``order``, overridden
     by labels given through prefixed keys."""
-    labelled = extract_prefixed(log.drop("key").withColumnRenamed("conf_key", "key"), prefixes)
-    prefixed = labelled.select(
-        "entity", F.col("subkey").alias("key"), "value", F.lit("prefixed").alias("layer"), F.col("prefix").alias("origin")
+    prefixed = prefixed_rows(log, prefixes, key="conf_key").withColumnRenamed("subkey", "key")
+    columns = ["entity", "key", "value", "seq", "layer"]
+    layers = log.select(*columns).unionByName(prefixed.withColumn("layer", F.lit(PREFIXED)).select(*columns))
+    return merge_layers(layers, [*order, PREFIXED]).select("entity", "key", "value")
+
+
+def local_directories(
+    mounts: DataFrame, lists: Mapping[str, DataFrame], entities: DataFrame, prefix: str, default: str, slot: str
+) -> tuple[DataFrame, DataFrame]:
+    """Scratch directories of an entity: its mounts whose name contains
+    ``prefix``, or else the items of its first list, or else ``default``.
+
+    ``mounts`` has (entity, name, path, pos), every list (entity, text) by name
+    in order of preference. Returns the numbered slots and the joined lists.
+    """
+    named = mounts.where(F.col("name").contains(prefix)).select(
+        "entity", "name", F.col("path").alias("value"), F.col("pos").cast("bigint").alias("seq")
     )
-    plain = log.select("entity", "key", "value", "layer", "seq")
-    winners = merge_layers(plain, order).withColumn("origin", F.lit(""))
-    both = collect_sources({"layers": winners, "prefixed": prefixed})
-    # The origin breaks ties between prefixes that give the same label.
-    priority = both.withColumn("seq", F.struct("source_pos", "origin"))
-    return latest_setting(priority)
+    sources = {"mounts": named}
+    for name, texts in lists.items():
+        items = explode_list(texts, "text")
+        sources[name] = items.select(
+            "entity", F.lit("").alias("name"), F.col("item").alias("value"), F.col("pos").cast("bigint").alias("seq")
+        )
+    rows = collect_sources(sources).withColumnsRenamed({"source": "layer", "name": "key"})
+    supplied = first_nonempty_layer(rows, list(sources), entities, [("", default)])
+    return number_and_join(supplied, "value", ["seq"], slot)
 
 
 def settings_documents(

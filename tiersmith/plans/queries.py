@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiersmith import operators as ops
+from tiersmith.functions import ladder as first_present
 from tiersmith.plans import flows
 from tiersmith.sources import tables as t
 from tiersmith.sources.tables import LAYERS, MOUNT_ORDER
@@ -255,6 +256,17 @@ def service_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.service_labels(t.settings_log(spark, sf_dir), LAYERS, ["app.click.label."])
 
 
+@query(
+    "ladder",
+    "entities",
+    "select entity, coalesce(nullif(port_text, ''), concat(name, '-driver')) as label from entities",
+)
+def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    default = F.concat("name", F.lit("-driver"))
+    label = first_present([(F.col("port_text"), "non_empty")], default)
+    return t.entities(spark, sf_dir).select("entity", label.alias("label"))
+
+
 # Rows in.
 
 
@@ -272,8 +284,7 @@ def _prefix_sql(subkey: str) -> str:
 
 
 def _prefixed(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    log = t.settings_log(spark, sf_dir).drop("key").withColumnRenamed("conf_key", "key")
-    return ops.extract_prefixed(log, PREFIXES, mode)
+    return ops.extract_prefixed(t.settings_log(spark, sf_dir), PREFIXES, mode, "conf_key")
 
 
 @query("extract_prefixed", "settings_log", _prefix_sql("split_part(conf_key, '.', -1)"))
@@ -598,6 +609,30 @@ def number_and_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.withColumns(_long("part"))
 
 
+@query(
+    "local_directories",
+    "mounts lists",
+    """
+    , mounted as (select parent as entity, path as item, pos, 1 as layer from mounts where contains(name, 'scratch-')),
+    split as (select entity, string_split(list_text, ',') as items from lists where list_text is not null),
+    listed as (select entity, unnest(items) as item, generate_subscripts(items, 1) as pos, 2 as layer from split),
+    given as (select * from mounted union all select * from listed),
+    supplied as (select * from given qualify layer = min(layer) over (partition by entity)),
+    filled as (
+        select entity, item, pos from supplied
+        union all
+        select o_orderkey, '/var/data/default', 1 from orders where o_orderkey not in (select entity from given))
+    select entity, 0 as part, count(*) as n_items, string_agg(item, ',' order by pos) as list from filled group by entity
+    """,
+)
+def local_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mounts = t.numbered_mounts(spark, sf_dir).withColumnRenamed("parent", "entity")
+    texts = t.lists(spark, sf_dir).withColumnRenamed("list_text", "text")
+    people = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity"))
+    _, lists = flows.local_directories(mounts, {"listed": texts}, people, "scratch-", "/var/data/default", "dir-")
+    return lists.withColumns(_long("part"))
+
+
 @query(
     "select_named_or_all",
     "children",
@@ -754,5 +789,4 @@ def upsert_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def apply_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    existing = t.existing(spark, sf_dir)
-    return ops.apply_plan(ops.upsert_plan(t.desired(spark, sf_dir), existing), existing)
+    return ops.apply_plan(t.desired(spark, sf_dir), t.existing(spark, sf_dir))
