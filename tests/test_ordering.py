@@ -106,6 +106,14 @@ def test_broadcast_only_below_the_checked_size(spark):
     assert got == ops.with_part(df, cuts).groupBy("part").count().count()
 
 
+def test_large_groups_are_found_in_another_table(spark):
+    rows = sample(3, 3000)
+    df = spark.createDataFrame(rows, "g string, a long, b long, c int")
+    kept = df.where("c > 0")
+    out = ops.number_rows(kept, ["g"], ["a", "b"], bucket_rows=64, sizing=df)
+    assert {r.b: r.pos for r in out.collect()} == brute([r for r in rows if r[3] > 0], lambda r: 1)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([16, 48, 200]))
 def test_split_and_plain_numbers_agree(spark, seed, bucket_rows):

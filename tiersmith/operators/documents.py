@@ -24,7 +24,8 @@ def render_documents(
     entity: str = "entity",
     key: str = "key",
     value: str = "value",
-    part_lines: int = PART_ROWS,
+    part_lines: int | None = PART_ROWS,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """One ordered property text per entity: (entity, part, n_lines, document).
 
@@ -35,7 +36,9 @@ def render_documents(
 
     An ordinary entity is one document with part 0. One with far more lines
     than ``part_lines`` comes in parts over consecutive key ranges, to be put
-    one after the other.
+    one after the other. Where ``df`` is costly to compute, ``sizing`` names a
+    cheaper table with at least its (entity, key) pairs, in which to look for
+    such entities; ``part_lines`` None says that there are none.
     """
     text = F.coalesce(F.col(value), F.lit(""))
     if strip_keys:
@@ -47,7 +50,9 @@ def render_documents(
     checked = F.when(text.rlike(r"[\r\n]"), F.raise_error(broken).cast("string")).otherwise(plain)
     lines = df.select(entity, key, F.concat(F.col(key), F.lit("="), checked, F.lit("\n")).alias("line"))
 
-    cuts = hot_cuts(df, [entity], [key], part_lines, distinct=True)
+    cuts = None
+    if part_lines is not None:
+        cuts = hot_cuts(df if sizing is None else sizing, [entity], [key], part_lines, distinct=True)
     ordered = F.array_sort(F.collect_list(F.struct(key, "line")))
     return (
         with_part(lines, cuts)

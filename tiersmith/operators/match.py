@@ -140,14 +140,16 @@ def number_and_join(
     entity: str = "entity",
     part_rows: int = PART_ROWS,
     bucket_rows: int = BUCKET_ROWS,
+    sizing: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Number the rows of an entity 1..n in order and name the slots
     ``<prefix>n``; returns the rows and the comma-joined lists.
 
     Duplicates stay and there is no trailing comma. The list of an entity with
-    more than ``part_rows`` values comes in several parts.
+    more than ``part_rows`` values comes in several parts. For ``sizing`` see
+    ``number_rows``.
     """
-    rows = number_rows(df, [entity], order, "pos", bucket_rows)
+    rows = number_rows(df, [entity], order, "pos", bucket_rows, sizing)
     rows = rows.withColumn("slot", F.concat(F.lit(prefix), F.col("pos").cast("string")))
     part = F.floor((F.col("pos") - 1) / F.lit(part_rows)).cast("int")
     items = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(value).cast("string").alias("item"))))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tiersmith.session import ensure_checkpoint_dir
 
 # Rows of one window, and of one collected list, map or document.
-BUCKET_ROWS = 4_000_000
+BUCKET_ROWS = 2_000_000
 PART_ROWS = 100_000
 
 OVERSAMPLE = 16
@@ -175,10 +175,13 @@ def number_rows(
     order: Sequence[str],
     out: str = "pos",
     bucket_rows: int = BUCKET_ROWS,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each group 1..n in ascending order, at any group size.
 
     Rows that are equal in all order columns get their numbers in any order.
+    Where ``df`` is costly to compute, ``sizing`` names a cheaper table with at
+    least its rows, in which to look for large groups.
     """
-    cuts = hot_cuts(df, group, order, bucket_rows)
+    cuts = hot_cuts(df if sizing is None else sizing, group, order, bucket_rows)
     return running_total(df, group, order, F.lit(1), out, cuts)

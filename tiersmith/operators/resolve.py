@@ -144,7 +144,7 @@ def merge_layer_maps(df: DataFrame, order: Sequence[str], part_keys: int = PART_
     An ordinary entity is one map with part 0. An entity with far more keys
     than ``part_keys`` comes as several maps over consecutive key ranges.
     """
-    cuts = hot_cuts(df.where(F.col("value").isNotNull()), ["entity"], ["key"], part_keys, distinct=True)
+    cuts = hot_cuts(df, ["entity"], ["key"], part_keys, distinct=True)
     merged = with_part(merge_layers(df, order), cuts)
     entries = F.array_sort(F.collect_list(F.struct("key", "value")))
     return merged.groupBy("entity", "part").agg(

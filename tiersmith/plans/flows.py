@@ -63,7 +63,7 @@ def local_directories(
         )
     rows = collect_sources(sources).withColumnsRenamed({"source": "layer", "name": "key"})
     supplied = first_nonempty_layer(rows, list(sources), entities, [("", default)])
-    return number_and_join(supplied, "value", ["seq"], slot)
+    return number_and_join(supplied, "value", ["seq"], slot, sizing=rows)
 
 
 def settings_documents(
@@ -83,4 +83,5 @@ def settings_documents(
     rows = collect_sources(
         {"identity": identity.select("entity", "key", "value"), "settings": resolved.select("entity", "key", "value")}
     )
-    return render_documents(latest_setting(rows, seq="source_pos"), escape_keys)
+    # A document has no more lines than the defaults and the identity.
+    return render_documents(latest_setting(rows, seq="source_pos"), escape_keys, part_lines=None)

@@ -398,7 +398,7 @@ def collect_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ns").alias("entity"), F.col("name").alias("key"), F.col("payload").alias("value")
     )
     rows = ops.collect_sources({"settings": settings, "profile": profile, "jobs": jobs})
-    return rows.withColumns(_long("source_pos"))
+    return rows
 
 
 # Cleaning.
@@ -507,7 +507,7 @@ def location_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_split_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched, _ = ops.match_split(t.mounts(spark, sf_dir), t.volumes(spark, sf_dir), "scratch-")
-    return matched.drop(*MOUNT_ORDER).withColumns(_long("child"))
+    return matched.drop(*MOUNT_ORDER)
 
 
 @query(
@@ -520,7 +520,7 @@ def match_split_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_split_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, residual = ops.match_split(t.mounts(spark, sf_dir), t.volumes(spark, sf_dir), "scratch-")
-    return residual.drop(*MOUNT_ORDER).withColumns(_long("child"))
+    return residual.drop(*MOUNT_ORDER)
 
 
 ATTACH_SQL = """
@@ -542,7 +542,7 @@ def _attach(spark: SparkSession, sf_dir: str, cumulative: bool) -> DataFrame:
 
 def _mount_text(lists: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("mounts", lambda m: F.concat_ws(":", m["name"], m["path"])), ",")
-    return lists.withColumn("mounts", text).withColumns(_long("child"))
+    return lists.withColumn("mounts", text)
 
 
 @query(
@@ -550,7 +550,7 @@ def _mount_text(lists: DataFrame) -> DataFrame:
     "mounts volumes",
     ATTACH_SQL
     + """
-    select parent, child, 1 as from_pos,
+    select parent, child, cast(1 as bigint) as from_pos,
            coalesce(array_to_string(flatten(list(coalesce(items, [])) over (
                partition by parent order by child rows between unbounded preceding and current row)), ','), '') as mounts
     from own
@@ -564,7 +564,7 @@ def attach_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     "attach_matching_own",
     "mounts volumes",
     ATTACH_SQL
-    + "select parent, child, 1 as from_pos, coalesce(array_to_string(items, ','), '') as mounts from own",
+    + "select parent, child, cast(1 as bigint) as from_pos, coalesce(array_to_string(items, ','), '') as mounts from own",
 )
 def attach_matching_own(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mount_text(ops.mount_lists(_attach(spark, sf_dir, False), cumulative=False))
@@ -583,7 +583,7 @@ def attach_matching_own(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def attach_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     children = ops.attached_children(_attach(spark, sf_dir, True))
-    return children.withColumnRenamed("last_pos", "n_mounts").withColumns(_long("child"))
+    return children.withColumnRenamed("last_pos", "n_mounts")
 
 
 @query(
@@ -606,7 +606,7 @@ def number_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def number_and_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lists = ops.number_and_join(t.mounts(spark, sf_dir), "path", MOUNT_ORDER, "dir-", "parent")
-    return lists.withColumns(_long("part"))
+    return lists
 
 
 @query(
@@ -630,7 +630,7 @@ def local_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = t.lists(spark, sf_dir).withColumnRenamed("list_text", "text")
     people = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity"))
     _, lists = flows.local_directories(mounts, {"listed": texts}, people, "scratch-", "/var/data/default", "dir-")
-    return lists.withColumns(_long("part"))
+    return lists
 
 
 @query(
@@ -684,7 +684,7 @@ def resource_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sizes",
     SIZE_SQL
     + """
-    select grp, count(*) as n, 0 as n_unsized, count(*) filter (not size_ok) as n_malformed,
+    select grp, count(*) as n, cast(0 as bigint) as n_unsized, count(*) filter (not size_ok) as n_malformed,
            cast(sum(instances) as bigint) as instances, cast(sum(request_mib * instances) as double) as request_mib
     from requests group by grp
     """,
@@ -710,8 +710,8 @@ def resource_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = ops.latest_setting(t.settings_log(spark, sf_dir))
-    return ops.render_documents(latest, list(DEFAULTS)).withColumns(_long("part"))
+    log = t.settings_log(spark, sf_dir)
+    return ops.render_documents(ops.latest_setting(log), list(DEFAULTS), sizing=log)
 
 
 @query(
@@ -733,8 +733,8 @@ def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select entity, key, arg_max(value, seq) as value from settings_log where value is not null group by entity, key",
 )
 def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = ops.latest_setting(t.settings_log(spark, sf_dir))
-    documents = ops.render_documents(latest, list(DEFAULTS))
+    log = t.settings_log(spark, sf_dir)
+    documents = ops.render_documents(ops.latest_setting(log), list(DEFAULTS), sizing=log)
     return ops.load_documents(ops.document_lines(documents)).select("entity", "key", "value")
 
 
@@ -761,7 +761,7 @@ def settings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = flows.settings_documents(
         t.settings_log(spark, sf_dir), t.entities(spark, sf_dir), LAYERS, DEFAULTS, PORT
     )
-    return documents.withColumns(_long("part"))
+    return documents
 
 
 # Reconciliation.
