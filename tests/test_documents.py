@@ -103,6 +103,14 @@ def test_files_round_trip(spark, tmp_path):
     assert keys == sorted(keys) and len(keys) == 1000
 
 
+def test_entities_of_folders_stay_text(spark, tmp_path):
+    rows = [("007", "a", "1"), ("1e3", "a", "2"), ("x/y=z w", "a", "3"), ("2024-01-01", "a", "4")]
+    path = str(tmp_path / "documents")
+    write_documents(ops.render_documents(spark.createDataFrame(rows, "entity string, key string, value string")), path)
+    loaded = ops.load_documents(read_property_lines(spark, path))
+    assert sorted((r.entity, r.key, r.value) for r in loaded.collect()) == sorted(rows)
+
+
 def test_lines_of_split_files_stay_in_order(spark, tmp_path):
     file = tmp_path / "large.conf"
     file.write_text("".join(f"k{i} {i}\n" for i in range(20000)))

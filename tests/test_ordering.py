@@ -37,7 +37,7 @@ def test_numbers_of_a_split_group(spark, hot_group):
     rows = [(hot_group if g == "hot" else g, a, b, c) for g, a, b, c in sample(1, 6000)]
     df = spark.createDataFrame(rows, "g string, a long, b long, c int").repartition(5)
     cuts = ops.hot_cuts(df, ["g"], ["a", "b"], 128)
-    assert cuts is not None and cuts.points > 5
+    assert cuts is not None and not cuts.ties and 100 < cuts.size < 100_000
     assert [r.g for r in cuts.table.collect()] == [hot_group]
     got = {r.b: r.pos for r in ops.number_rows(df, ["g"], ["a", "b"], bucket_rows=128).collect()}
     assert got == brute(rows, lambda r: 1)
@@ -99,7 +99,7 @@ def test_broadcast_only_below_the_checked_size(spark):
     cuts = ops.hot_cuts(df, ["g"], ["a"], 64)
     marked = cuts.joinable(cuts.table)._jdf.queryExecution().logical().toString()
     assert "Hint broadcast" in marked
-    large = cuts._replace(points=10**9)
+    large = cuts._replace(size=10**9)
     plain = large.joinable(large.table)._jdf.queryExecution().logical().toString()
     assert "Hint" not in plain
     got = ops.with_part(df, large).groupBy("part").count().count()

@@ -103,12 +103,8 @@ def mount_lists(placed: DataFrame, cumulative: bool = True, part_rows: int = RUN
     part = F.floor(F.greatest(F.col("pos") - 1, F.lit(0)) / F.lit(part_rows)).cast("int")
     own = (
         placed.withColumn("part", part)
-        .groupBy("parent", "child", "part")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("known"), item))).alias("own"),
-            F.max("pos").alias("last_pos"),
-            F.first("shared").alias("shared"),
-        )
+        .groupBy("parent", "child", "shared", "part")
+        .agg(F.array_sort(F.collect_list(F.when(F.col("known"), item))).alias("own"), F.max("pos").alias("last_pos"))
     )
     head = placed.where(F.col("known") & (F.col("pos") <= part_rows) if cumulative else F.col("shared"))
     head = head.groupBy("parent").agg(

@@ -25,7 +25,7 @@ PART_ROWS = 100_000
 
 OVERSAMPLE = 16
 MAX_CUT_BITS = 24
-BROADCAST_CUTS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 _PART = "_ts_part"
 _CUTS = "_ts_cuts"
@@ -34,17 +34,18 @@ _STEP = "_ts_step"
 
 
 class Cuts(NamedTuple):
-    """Cut points of the hot groups: one row per group, and their number."""
+    """Cut points of the hot groups: one row per group. ``size`` bounds the bytes
+    of this table and of one row of group columns per range, written as text."""
 
     table: DataFrame
     group: tuple[str, ...]
     order: tuple[str, ...]
-    points: int
+    size: int
     ties: bool
 
     def joinable(self, df: DataFrame) -> DataFrame:
-        """Broadcast ``df`` if the number of cut points bounds it."""
-        return F.broadcast(df) if self.points <= BROADCAST_CUTS else df
+        """Broadcast ``df``, a table of groups or ranges, if it is small."""
+        return F.broadcast(df) if self.size <= BROADCAST_BYTES else df
 
 
 def hot_cuts(
@@ -81,9 +82,13 @@ def hot_cuts(
         return None
     ensure_checkpoint_dir(df.sparkSession)
     cuts = cuts.checkpoint()
-    single = F.size(F.array_distinct(_CUTS))
-    size = cuts.agg(F.sum(F.size(_CUTS)).alias("n"), F.max(F.size(_CUTS) - single).alias("ties")).first()
-    return Cuts(cuts, tuple(group), tuple(order), size["n"], size["ties"] > 0)
+    ranges = F.size(_CUTS) + 1
+    size = F.length(F.to_json(F.struct(*group))) * ranges + F.length(F.to_json(_CUTS))
+    repeated = F.size(_CUTS) > F.size(F.array_distinct(_CUTS))
+    found = cuts.agg(F.sum(size).alias("size"), F.bool_or(repeated).alias("ties")).first()
+    if found["size"] is None:
+        return None
+    return Cuts(cuts, tuple(group), tuple(order), found["size"], found["ties"])
 
 
 def _cuts_where(holds: Callable[[Column], Column]) -> Column:

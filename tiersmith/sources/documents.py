@@ -39,14 +39,19 @@ def read_property_lines(spark: SparkSession, paths: str | Sequence[str], base_pa
     reader = spark.read.options(ignoreMissingFiles=True, ignoreCorruptFiles=True)
     if base_path is not None:
         reader = reader.option("basePath", base_path)
+    where = paths if isinstance(paths, str) else list(paths)
     try:
-        raw = reader.text(paths if isinstance(paths, str) else list(paths))
+        raw = reader.text(where)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LINE_SCHEMA).select("entity", "part", "block_start", "line_id", "line")
-    entity = F.col("entity").cast("string") if "entity" in raw.columns else F.col("_metadata.file_path")
-    part = F.col("part") if "part" in raw.columns else F.lit(0)
+    if "entity" in raw.columns:
+        # Stated types, since an entity that looks like a number is still text.
+        raw = reader.schema("value string, entity string, part int").text(where)
+        entity, part = F.col("entity"), F.col("part")
+    else:
+        entity, part = F.col("_metadata.file_path"), F.lit(0)
     return raw.select(
         entity.alias("entity"),
         part.alias("part"),
