@@ -68,6 +68,12 @@ def test_load_lines(spark):
     ]
 
 
+def test_long_lines(spark):
+    long = "x" * 300_000
+    got = load_text(spark, long, f"k={long}", f"k{long}=v", f"k={'a:b=c ' * 50_000}", "\\:" * 500 + "=v")
+    assert got == [(long, ""), ("k", long), (f"k{long}", "v"), ("k", "a:b=c " * 50_000), (":" * 500, "v")]
+
+
 TEXT = st.text(alphabet="ab:=\\ #.\té", max_size=8).filter(lambda t: t == t.lstrip())
 
 

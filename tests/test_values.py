@@ -29,6 +29,11 @@ SIZES = {
     "5km": (0, False),
     "99999999999999999999g": (0, False),
     "+7m": (7, True),
+    "5m" + "x" * 100_000: (5, True),
+    "5" + "x" * 100_000 + "m": (0, False),
+    "5" + "mX" * 50_000: (5, True),
+    "5" + "mX" * 50_000 + "g": (0, False),
+    "5m\nm": (5, True),
     None: (None, None),
 }
 

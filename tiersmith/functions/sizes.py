@@ -19,7 +19,7 @@ LEAST_OVERHEAD_MIB = 384
 
 # An integer, then nothing or a unit letter; text after the unit does not
 # count, but a second, different unit letter makes the size malformed.
-SIZE = r"(?i)^\s*([+-]?[0-9]+)(?:([KMGT])(?:[^KMGT]|\2)*|\s*)\z"
+SIZE = r"(?is)^\s*([+-]?[0-9]+)(?:([KMGT])(?!.*(?!\2)[KMGT]).*|\s*)\z"
 
 KIB_TYPE = "decimal(20,0)"
 MIB_TYPE = "decimal(20,0)"

@@ -11,9 +11,10 @@ from tiersmith.functions.text import escape_value, strip_newlines, unescape
 from tiersmith.operators.ordering import PART_ROWS, hot_cuts, with_part
 
 # Comment marks, and the key of a line up to its first separator.
-COMMENT = r"^\s*[#!]"
-KEY = r"^[ \t\f]*((?:[^\\=: \t\f]|\\.)*)"
-SEPARATOR = r"^[ \t\f]*(?:[^\\=: \t\f]|\\.)*[ \t\f]*[=:]?[ \t\f]*"
+# Plain runs are taken whole, so that lines of any length can be matched.
+COMMENT = r"^\s*+[#!]"
+KEY = r"^[ \t\f]*+([^\\=: \t\f]*+(?:\\.[^\\=: \t\f]*+)*+)"
+SEPARATOR = KEY + r"[ \t\f]*+[=:]?[ \t\f]*+"
 
 
 def render_documents(
