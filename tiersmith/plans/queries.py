@@ -102,7 +102,7 @@ VIEWS = {
         from orders where o_orderstatus <> 'F'""",
     "existing": """
         select o_custkey as ns, concat('job-', cast(o_orderkey as varchar)) as name, o_orderstatus as payload
-        from orders where o_orderkey % 3 = 0""",
+        from orders where o_orderpriority in ('1-URGENT', '2-HIGH')""",
     "locations": """
         select page_id as entity,
                case page_id % 5 when 0 then concat('local:///opt/', cast(page_id as varchar), '.py')

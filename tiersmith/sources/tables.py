@@ -150,24 +150,23 @@ def property_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("entity", F.col("seq").alias("line_no"), F.when(F.col("seq") % 11 == 0, note).otherwise(line).alias("line"))
 
 
-def _jobs(spark: SparkSession, sf_dir: str, payload: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+def _jobs(orders: DataFrame, payload: str) -> DataFrame:
+    return orders.select(
         F.col("o_custkey").alias("ns"),
         F.concat(F.lit("job-"), F.col("o_orderkey").cast("string")).alias("name"),
         F.col(payload).alias("payload"),
-        "o_orderkey",
-        "o_orderstatus",
     )
 
 
 def desired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State that should be: every job that is not finished."""
-    return _jobs(spark, sf_dir, "o_orderpriority").where(F.col("o_orderstatus") != "F").select("ns", "name", "payload")
+    return _jobs(table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "F"), "o_orderpriority")
 
 
 def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State that is: about a third of all jobs, finished ones among them."""
-    return _jobs(spark, sf_dir, "o_orderstatus").where(F.col("o_orderkey") % 3 == 0).select("ns", "name", "payload")
+    """State that is: the jobs of the upper priorities, finished ones among them."""
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return _jobs(table(spark, sf_dir, "orders").where(urgent), "o_orderstatus")
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
