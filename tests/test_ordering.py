@@ -47,8 +47,11 @@ def test_running_total_of_a_split_group(spark):
     rows = sample(2, 4000)
     df = spark.createDataFrame(rows, "g string, a long, b long, c int")
     cuts = ops.hot_cuts(df, ["g"], ["a", "b"], 64)
-    out = ops.running_total(df, ["g"], ["a", "b"], df.c, "total", cuts)
-    assert {r.b: r.total for r in out.collect()} == brute(rows, lambda r: r[3])
+    want = brute(rows, lambda r: r[3])
+    # Also with cuts that are too large to broadcast.
+    for known in (cuts, cuts._replace(size=10**12)):
+        out = ops.running_total(df, ["g"], ["a", "b"], df.c, "total", known)
+        assert {r.b: r.total for r in out.collect()} == want
 
 
 def test_ordinary_groups_are_not_split(spark):
