@@ -4,11 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersmith.llm import mixing, packing
+from tiersmith.llm import line_dedup, mixing, packing, simhash, toxicity
 from tiersmith.llm.common import prepare, scratch, table
 from tiersmith.llm.tokens import default_tokenizer
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    prepare(spark)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an equal or near line precedes go; every document stays."""
+    prepare(spark)
+    return line_dedup.drop_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id stays."""
+    prepare(spark)
+    return simhash.keep_first(docs, 3, 3)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to their target weights: a document stays once for each time that the mix takes it."""
     prepare(spark)
@@ -22,6 +40,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("drop_toxic", drop_toxic),
+    ("drop_lines", drop_lines),
+    ("drop_near_copies", drop_near_copies),
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
 ]

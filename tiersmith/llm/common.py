@@ -113,27 +113,52 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = string_buffer(texts)
     low = _LOWER[data]
     low[_IS_WHITE[data]] = SPACE
-    low = np.insert(low, offsets[1:], END)
-    ends = low == END
-    space = low == SPACE
-    after = np.concatenate((low[1:], [END]))
-    keep = ~(space & ((after == SPACE) | (after == END)))
-    low = low[keep]
-    before = np.concatenate(([END], low[:-1]))
-    keep = ~((low == SPACE) & (before == END))
-    low = low[keep]
-    del ends
+    low = _squeeze(np.insert(low, offsets[1:], END))
     return low, np.concatenate(([0], np.flatnonzero(low == END) + 1))
 
 
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums from which ``span_hash`` gets the hash of any span of ``data``."""
+def line_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of all texts: words with one blank between them, END after each line.
+
+    Returns the bytes and the number of lines of each row, which is at least one.
+    """
+    data, offsets = string_buffer(texts)
+    white = _IS_WHITE[data] & (data != END)
+    plain = np.where(white, np.uint8(SPACE), data)
+    breaks = np.concatenate(([0], np.cumsum(data == END)))
+    return _squeeze(np.insert(plain, offsets[1:], END)), breaks[offsets[1:]] - breaks[offsets[:-1]] + 1
+
+
+def _squeeze(data: np.ndarray) -> np.ndarray:
+    """Without blanks that stand before another, before END, or after END."""
+    space = data == SPACE
+    stop = space | (data == END)
+    keep = ~space
+    keep[:-1] |= ~stop[1:]
+    data = data[keep]
+    keep = data != SPACE
+    keep[1:] |= data[:-1] != END
+    if len(data):
+        keep[0] = data[0] != SPACE
+    return data[keep]
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word of a stream."""
+    breaks = np.flatnonzero((data == SPACE) | (data == END))
+    starts = np.concatenate(([0], breaks[:-1] + 1)) if len(breaks) else np.zeros(0, np.int64)
+    word = breaks > starts  # an empty row has an end without a word
+    return starts[word], breaks[word]
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Sums from which ``span_hash`` gets the hash of any span of ``data``, bytes or 64-bit hashes."""
     n = len(data)
     power, _ = powers(n + 1)
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    return sums, data
+    return sums
 
 
 _POWERS: dict[str, np.ndarray] = {}

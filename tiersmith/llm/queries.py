@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import mixing, packing, simhash, token_store, toxicity
+from tiersmith.llm import line_dedup, mixing, packing, simhash, token_store, toxicity
 from tiersmith.llm.common import scratch, table
 from tiersmith.llm.tokens import default_tokenizer
 
@@ -54,3 +54,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learned from the labels."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an equal or near line precedes."""
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents"))

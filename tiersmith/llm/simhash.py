@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import END, SPACE, cut, sorted_groups, token_stream
+from tiersmith.llm.common import cut, sorted_groups, token_stream, word_spans
 from tiersmith.llm.components import components, stars
 
 SEED = 42
@@ -28,10 +28,7 @@ _SUM_ROWS = 1 << 16
 
 def shingle_spans(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, start and end of every shingle of ``k`` words; a row of fewer words is one shingle."""
-    breaks = np.flatnonzero((data == SPACE) | (data == END))
-    starts = np.concatenate(([0], breaks[:-1] + 1)) if len(breaks) else np.zeros(0, np.int64)
-    word = breaks > starts  # an empty row has an end without a word
-    starts, ends = starts[word], breaks[word]
+    starts, ends = word_spans(data)
     row = np.searchsorted(offsets, starts, side="right") - 1
     per_row = np.bincount(row, minlength=len(offsets) - 1)
     first = np.cumsum(per_row) - per_row
@@ -158,3 +155,14 @@ def simhash_components(df: DataFrame, k: int = 3, radius: int = 3, doc_id: str =
     """(doc_id, fingerprint as hex, component_id) of all documents."""
     found = near_components(fingerprints(df, k, doc_id, text), radius)
     return found.select("doc_id", as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, k: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with all its columns, and of each component the document of least id.
+
+    Rows that share that id are one document and stay together. Rows of a null
+    id stay only where their component has no other document.
+    """
+    found = near_components(fingerprints(df, k, doc_id, text), radius)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return df.join(first.withColumnRenamed("doc_id", "_first"), F.col(doc_id).cast("long").eqNullSafe(F.col("_first")), "left_semi")
