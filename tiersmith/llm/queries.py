@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import ann, embedding_dedup, line_dedup, mixing, packing, simhash, token_store, toxicity
+from tiersmith.llm import ann, embedding_dedup, line_dedup, mixing, packing, ppm, simhash, token_store, toxicity
 from tiersmith.llm.common import scratch, table
 from tiersmith.llm.tokens import default_tokenizer
 
@@ -72,3 +72,9 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth embedding."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under models of nine tenths of them."""
+    return ppm.score(table(spark, sf_dir, "documents"))
