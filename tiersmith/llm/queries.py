@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import ann, embedding_dedup, line_dedup, mixing, packing, ppm, simhash, token_store, toxicity
+from tiersmith.llm import ann, embedding_dedup, line_dedup, mixing, packing, ppm, simhash, span_dedup, token_store, toxicity
 from tiersmith.llm.common import scratch, table
 from tiersmith.llm.tokens import default_tokenizer
 
@@ -78,3 +78,9 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under models of nine tenths of them."""
     return ppm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without strings of 100 bytes that start earlier."""
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
