@@ -20,22 +20,41 @@ def escape_value(value: Column, backslash: bool = True) -> Column:
     return out
 
 
+def escape_key(key: Column) -> Column:
+    """Put a backslash before what would end a key or make its line a comment."""
+    marked = F.regexp_replace(key, r"([\\=: \t\f])", r"\\$1")
+    return F.regexp_replace(marked, "^([#!])", r"\\$1")
+
+
+def escape_lead(value: Column) -> Column:
+    """Put a backslash before a leading blank, which would else belong to the separator."""
+    return F.regexp_replace(value, r"^([ \t\f])", r"\\$1")
+
+
+# Runs of escaped UTF-16 units (pairs of surrogates, or one unit that is none), other escapes, and plain text.
+UNIT = r"\\u(?:[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|(?![dD][89a-fA-F])[0-9a-fA-F]{4})"
+TOKENS = rf"(?s)((?:{UNIT})+|\\.|[^\\]+|\\\z)"
+
+
 def unescape(text: Column) -> Column:
-    """Undo property escapes: line and tab escapes, and a backslash before any
-    other character stands for that character."""
-    # An escaped backslash must not take part in the later steps, so it is
-    # parked on a control character that property text cannot hold.
-    parked = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
-    for letter, char in (("t", "\t"), ("n", "\n"), ("r", "\r"), ("f", "\f")):
-        parked = F.replace(parked, F.lit("\\" + letter), F.lit(char))
-    plain = F.regexp_replace(parked, r"\\(.)", "$1")
-    plain = F.replace(plain, F.lit("\u0000"), F.lit("\\"))
-    return F.when(text.contains("\\"), plain).otherwise(text)
+    """Undo property escapes: line, tab and unicode escapes, and a backslash
+    before any other character stands for that character. A backslash at the end
+    stands for itself."""
+
+    def plain(token: Column) -> Column:
+        units = F.unhex(F.replace(token, F.lit("\\u"), F.lit("")))
+        out = F.when(token.rlike(f"^{UNIT}"), F.decode(units, "UTF-16BE")).when(token == "\\", token)
+        for letter, char in (("t", "\t"), ("n", "\n"), ("r", "\r"), ("f", "\f")):
+            out = out.when(token == "\\" + letter, F.lit(char))
+        return out.when(token.startswith("\\"), F.substring(token, 2, 1)).otherwise(token)
+
+    tokens = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(1))
+    return F.when(text.contains("\\"), F.array_join(F.transform(tokens, plain), "")).otherwise(text)
 
 
 def strip_newlines(value: Column) -> Column:
     """Remove line breaks."""
-    return F.replace(value, F.lit("\n"), F.lit(""))
+    return F.replace(F.replace(value, F.lit("\n"), F.lit("")), F.lit("\r"), F.lit(""))
 
 
 def last_segment(key: Column, separator: str = ".") -> Column:

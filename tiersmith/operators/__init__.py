@@ -1,18 +1,18 @@
 """The operators: functions from DataFrames to DataFrames."""
 
-from tiersmith.operators.documents import document_lines, load_documents, render_documents
+from tiersmith.operators.documents import broken_rows, document_lines, load_documents, render_documents
 from tiersmith.operators.joins import split_join
 from tiersmith.operators.match import (
     attach_matching,
     attached_children,
     match_split,
-    mount_lists,
     number_and_join,
     select_named_or_all,
     split_volumes,
 )
-from tiersmith.operators.ordering import hot_cuts, number_rows, running_total, with_part
+from tiersmith.operators.ordering import PART_ROWS, hot_groups, number_rows, part_of, running_total
 from tiersmith.operators.quality import (
+    RUNTIME_CODES,
     classify_locations,
     location_summary,
     normalise_codes,
@@ -38,21 +38,25 @@ from tiersmith.operators.resolve import (
     resolve_layers,
     with_rank,
 )
-from tiersmith.operators.sizing import resource_requests, resource_rollup
+from tiersmith.operators.sizing import cpu_requests, resource_requests, resource_rollup
 
 __all__ = [
+    "PART_ROWS",
+    "RUNTIME_CODES",
     "VOLUME_OPTIONS",
     "apply_plan",
     "attach_matching",
     "attached_children",
+    "broken_rows",
     "classify_locations",
     "collect_sources",
+    "cpu_requests",
     "document_lines",
     "expand_options",
     "explode_list",
     "extract_prefixed",
     "first_nonempty_layer",
-    "hot_cuts",
+    "hot_groups",
     "latest_setting",
     "layer_usage",
     "load_documents",
@@ -60,11 +64,11 @@ __all__ = [
     "match_split",
     "merge_layer_maps",
     "merge_layers",
-    "mount_lists",
     "normalise_codes",
     "number_and_join",
     "number_rows",
     "parse_or_quarantine",
+    "part_of",
     "prefixed_rows",
     "render_documents",
     "resolve_layers",
@@ -77,6 +81,5 @@ __all__ = [
     "split_volumes",
     "unpivot_present",
     "upsert_plan",
-    "with_part",
     "with_rank",
 ]

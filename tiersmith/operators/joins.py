@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 _HASH = "_ts_hash"
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def split_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool = False
+) -> DataFrame:
     """Equi-join on ``keys`` in which Spark can split a hot key of ``left``.
 
     Spark broadcasts a small ``right`` as usual. Beyond that size it splits hot
     keys between the two shuffles of the join, which an aggregate by the same
     keys would not have: its rows are in place already and all left rows of a
     key would meet them in one task. A hash of the keys as a further join key
-    changes no result, and makes Spark shuffle both sides for the join.
+    changes no result, and makes Spark shuffle both sides for the join. With
+    ``null_safe`` a null key equals a null key; the columns are those of ``left``
+    then, as in a semi or anti join.
     """
     marked = F.xxhash64(*keys)
+    if null_safe:
+        other = right.select(*[F.col(k).alias(f"_ts_r_{k}") for k in keys], marked.alias("_ts_r_hash"))
+        same = [F.col(k).eqNullSafe(F.col(f"_ts_r_{k}")) for k in keys]
+        return left.withColumn(_HASH, marked).join(other, [*same, F.col(_HASH) == F.col("_ts_r_hash")], how).select(*left.columns)
     joined = left.withColumn(_HASH, marked).join(right.withColumn(_HASH, marked), [*keys, _HASH], how)
     return joined.drop(_HASH)

@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiersmith.operators.joins import split_join
-from tiersmith.operators.ordering import BUCKET_ROWS, PART_ROWS, hot_cuts, number_rows, running_total
-
-# Rows of a running list, of which every child has its own copy.
-RUNNING_ROWS = 1_000
+from tiersmith.operators.ordering import BUCKET_ROWS, PART_ROWS, hot_groups, number_rows, part_of, running_total
 
 
 def match_split(
@@ -20,15 +17,16 @@ def match_split(
     """Mounts that have a volume whose name starts with ``prefix``, with the
     columns of that volume, and all other mounts.
 
-    Volumes are unique by ``keys``. A mount without the prefix cannot match, so
-    only mounts with it take part in the inner join. Spark broadcasts the
-    volumes if they are small and splits hot keys otherwise.
+    Volumes are unique by ``keys``. A mount without the prefix, or without a
+    name, cannot match: it takes part in no join and passes without a shuffle.
+    Spark broadcasts the volumes if they are small and splits hot keys otherwise.
     """
     name = keys[-1]
     special = volumes.where(F.col(name).startswith(prefix))
-    matched = split_join(mounts.where(F.col(name).startswith(prefix)), special, keys, "inner")
-    residual = split_join(mounts, special.select(*keys), keys, "left_anti")
-    return matched, residual
+    likely = F.coalesce(F.col(name).startswith(prefix), F.lit(False))
+    matched = split_join(mounts.where(likely), special, keys, "inner")
+    unmatched = split_join(mounts.where(likely), special.select(*keys), keys, "left_anti")
+    return matched, unmatched.unionByName(mounts.where(~likely))
 
 
 def split_volumes(volumes: DataFrame, prefix: str, name: str = "name") -> tuple[DataFrame, DataFrame]:
@@ -57,7 +55,7 @@ def attach_matching(
     ``order``), and the list of a child is 1..pos of its last row. Otherwise
     ``pos`` counts within the child, and its list is the shared rows and then
     its own. Either way a mount is stored once, where writing out the running
-    lists would grow with the square of the children; see ``mount_lists``.
+    lists would grow with the square of the children.
     """
     place = ["child", *[c for c in order if c != "child"]]
     rows = mounts.where(F.col("parent").isNotNull())
@@ -73,8 +71,8 @@ def attach_matching(
         sizing = sizing.unionByName(own.drop("known"), allowMissingColumns=True)
     # A null child sorts first, so shared rows come before all children.
     group = ["parent"] if cumulative else ["parent", "child"]
-    cuts = hot_cuts(sizing, group, place, bucket_rows)
-    placed = running_total(tagged, group, place, F.col("known").cast("int"), "pos", cuts)
+    hot = hot_groups(sizing, group, bucket_rows)
+    placed = running_total(tagged, group, place, F.col("known").cast("int"), "pos", hot)
     return placed.select("parent", "child", "name", "path", "shared", "known", "pos")
 
 
@@ -89,45 +87,6 @@ def attached_children(placed: DataFrame) -> DataFrame:
     )
 
 
-def mount_lists(placed: DataFrame, cumulative: bool = True, part_rows: int = RUNNING_ROWS) -> DataFrame:
-    """Lists of ``attach_matching`` per child: (parent, child, from_pos, mounts).
-
-    ``mounts`` is the list of the child from position ``from_pos`` on. A list of
-    up to ``part_rows`` mounts is one row with from_pos 1. A longer one comes in
-    parts, and what it has in common with other children is written out up to
-    ``part_rows`` mounts only: positions before the first ``from_pos`` of a child
-    are found with the earlier children of the parent (``cumulative``), or with
-    the null child (shared mounts).
-    """
-    item = F.struct("pos", "name", "path")
-    part = F.floor(F.greatest(F.col("pos") - 1, F.lit(0)) / F.lit(part_rows)).cast("int")
-    own = (
-        placed.withColumn("part", part)
-        .groupBy("parent", "child", "shared", "part")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("known"), item))).alias("own"), F.max("pos").alias("last_pos"))
-    )
-    head = placed.where(F.col("known") & (F.col("pos") <= part_rows) if cumulative else F.col("shared"))
-    head = head.groupBy("parent").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos") <= part_rows, item))).alias("head"),
-        F.max("pos").alias("n_head"),
-    )
-    lists = split_join(own, head, ["parent"], "left").withColumn("head", F.coalesce("head", F.slice("own", 1, 0)))
-    begins = F.col("part") == 0
-    if cumulative:
-        # The head reaches every row of part 0; later parts give their own mounts.
-        rows = lists.where(~F.col("shared"))
-        mounts = F.when(begins, F.slice("head", 1, F.col("last_pos").cast("int"))).otherwise(F.col("own"))
-        from_pos = F.when(begins, F.lit(1)).otherwise(F.col("last_pos") - F.size("own") + 1)
-    else:
-        n_shared = F.coalesce("n_head", F.lit(0))
-        rows = lists.where(~F.col("shared") | (n_shared > part_rows))
-        copied = begins & ~F.col("shared") & (n_shared <= part_rows)
-        before = F.col("part") * part_rows + F.when(F.col("shared"), F.lit(0)).otherwise(n_shared)
-        mounts = F.when(copied, F.concat("head", "own")).otherwise(F.col("own"))
-        from_pos = F.when(copied, F.lit(1)).otherwise(before + 1)
-    return rows.select("parent", "child", from_pos.cast("bigint").alias("from_pos"), mounts.alias("mounts"))
-
-
 def number_and_join(
     df: DataFrame,
     value: str,
@@ -141,13 +100,12 @@ def number_and_join(
     """Number the rows of an entity 1..n in order and name the slots
     ``<prefix>n``; returns the rows and the comma-joined lists.
 
-    Duplicates stay and there is no trailing comma. The list of an entity with
-    more than ``part_rows`` values comes in several parts. For ``sizing`` see
-    ``number_rows``.
+    Duplicates stay and there is no trailing comma. A list holds ``part_rows``
+    values: those from part * part_rows + 1 on. For ``sizing`` see ``number_rows``.
     """
     rows = number_rows(df, [entity], order, "pos", bucket_rows, sizing)
     rows = rows.withColumn("slot", F.concat(F.lit(prefix), F.col("pos").cast("string")))
-    part = F.floor((F.col("pos") - 1) / F.lit(part_rows)).cast("int")
+    part = part_of(F.col("pos"), part_rows)
     items = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(value).cast("string").alias("item"))))
     lists = (
         rows.withColumn("part", part)

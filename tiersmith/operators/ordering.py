@@ -1,17 +1,14 @@
 """Ordered work inside groups that may be far larger than one task.
 
-A window over a group runs in one task, and so does a collected list. Both are
-fine until one entity owns a third of the table. The helpers here cut such a
-group into consecutive ranges of its order columns: every range is its own
-window or list, and the ranges are put together again through their totals.
-
-The cuts come from a sample, but they only decide where a group is split:
-results are exact whatever the cuts are.
+A window over a group runs in one task. That is fine until one entity owns a
+third of the table. Groups with more rows than one window should hold are range
+partitioned by their order columns instead: every range is its own window, and
+the totals of the earlier ranges of the group are added.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,103 +16,43 @@ from pyspark.sql import functions as F
 
 from tiersmith.session import ensure_checkpoint_dir
 
-# Rows of one window, and of one collected list, map or document.
+# Rows of one window.
 BUCKET_ROWS = 2_000_000
+# Items of one list, map or document; see ``part_of``.
 PART_ROWS = 100_000
 
-OVERSAMPLE = 16
-MAX_CUT_BITS = 24
-BROADCAST_BYTES = 32 * 1024 * 1024
-
-_PART = "_ts_part"
-_CUTS = "_ts_cuts"
+_RANGE = "_ts_range"
 _BEFORE = "_ts_before"
 _STEP = "_ts_step"
+_TIE = "_ts_tie"
 
 
-class Cuts(NamedTuple):
-    """Cut points of the hot groups: one row per group. ``size`` bounds the bytes
-    of this table and of one row of group columns per range, written as text."""
+class HotGroups(NamedTuple):
+    """Groups with more than ``bucket_rows`` rows, one row each, and the ranges that their rows need."""
 
     table: DataFrame
     group: tuple[str, ...]
-    order: tuple[str, ...]
-    size: int
-    ties: bool
-
-    def joinable(self, df: DataFrame) -> DataFrame:
-        """Broadcast ``df``, a table of groups or ranges, if it is small."""
-        return F.broadcast(df) if self.size <= BROADCAST_BYTES else df
+    ranges: int
 
 
-def hot_cuts(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    bucket_rows: int = BUCKET_ROWS,
-    distinct: bool = False,
-) -> Cuts | None:
-    """Cut points for the groups with clearly more than ``bucket_rows`` rows, or
-    with ``distinct`` that many distinct order values; None when no group is
-    that large.
-
-    One scan of the group and order columns; only the sampled points are
-    shuffled. The answer is needed before the plan can be built, so this runs a
-    job. The (small) table of cuts is checkpointed, which makes every use of it
-    see the same cuts.
-
-    Order values that fill several ranges by themselves are cut points several
-    times over.
-    """
-    rate = max(1, bucket_rows // OVERSAMPLE)
-    chosen = F.pmod(F.xxhash64(*group, *order), F.lit(rate)) == 0 if distinct else F.rand(rate) < 1 / rate
-    point = F.struct(*order)
-    points = F.array_sort(F.collect_set(point) if distinct else F.collect_list(point))
-    cuts = (
-        df.where(chosen)
-        .groupBy(*group)
-        .agg(points.alias(_CUTS))
-        .where(F.size(_CUTS) >= 2 * OVERSAMPLE)
-        .withColumn(_CUTS, F.filter(_CUTS, lambda _, i: i % OVERSAMPLE == OVERSAMPLE - 1))
-    )
-    if cuts.isEmpty():
-        return None
-    ensure_checkpoint_dir(df.sparkSession)
-    cuts = cuts.checkpoint()
-    ranges = F.size(_CUTS) + 1
-    size = F.length(F.to_json(F.struct(*group))) * ranges + F.length(F.to_json(_CUTS))
-    repeated = F.size(_CUTS) > F.size(F.array_distinct(_CUTS))
-    found = cuts.agg(F.sum(size).alias("size"), F.bool_or(repeated).alias("ties")).first()
-    if found["size"] is None:
-        return None
-    return Cuts(cuts, tuple(group), tuple(order), found["size"], found["ties"])
-
+def part_of(pos: Column, part_rows: int) -> Column:
+    """Part of a list that the item at ``pos`` (from 1) belongs to, the same rule for every group."""
+    return F.floor((pos - 1) / F.lit(part_rows)).cast("int")
 
-def _cuts_where(holds: Callable[[Column], Column]) -> Column:
-    """Number of leading cut points for which ``holds``, by halving steps."""
 
-    def step(count: Column, width: Column) -> Column:
-        reach = count + width
-        fits = (reach <= F.size(_CUTS)) & holds(F.get(F.col(_CUTS), reach - 1))
-        return F.when(fits, reach).otherwise(count)
+def hot_groups(df: DataFrame, group: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> HotGroups | None:
+    """Groups with more than ``bucket_rows`` rows; None when there are none.
 
-    widths = F.array(*[F.lit(1 << bit) for bit in reversed(range(MAX_CUT_BITS))])
-    return F.aggregate(widths, F.lit(0), step)
-
-
-def _part_number(cuts: Cuts) -> Column:
-    """Range of a row: the number of cut points that are not above it.
-
-    Rows that equal a repeated cut point may go to any of the ranges that the
-    point opens, in any order; they are dealt out evenly.
+    One aggregate of the group columns, which combines before its shuffle. The
+    answer is needed before the plan can be built, so this runs a job; the table
+    of hot groups, which has fewer rows than the input by ``bucket_rows``, is
+    checkpointed so that every use of it sees the same groups.
     """
-    point = F.struct(*cuts.order)
-    upto = _cuts_where(lambda cut: cut <= point)
-    if not cuts.ties:
-        return upto
-    below = _cuts_where(lambda cut: cut < point)
-    dealt = below + 1 + F.pmod(F.monotonically_increasing_id(), (upto - below).cast("bigint")).cast("int")
-    return F.when(upto - below > 1, dealt).otherwise(upto)
+    counts = df.groupBy(*group).agg(F.count("*").alias("_ts_n")).where(F.col("_ts_n") > bucket_rows)
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = counts.checkpoint()
+    ranges = counts.agg(F.sum(F.ceil(F.col("_ts_n") / bucket_rows))).first()[0]
+    return HotGroups(counts.select(*group), tuple(group), int(ranges)) if ranges else None
 
 
 def _join_groups(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -125,53 +62,43 @@ def _join_groups(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return df.join(renamed, condition, how).drop(*[f"_ts_r_{k}" for k in keys])
 
 
-def with_part(df: DataFrame, cuts: Cuts | None, out: str = "part") -> DataFrame:
-    """Add the number of the consecutive range a row belongs to, 0 for all rows
-    of ordinary groups. Needs no shuffle.
-
-    Rows that are dealt out are checkpointed, since another evaluation could
-    deal them differently.
-    """
-    if cuts is None:
-        return df.withColumn(out, F.lit(0))
-    joined = _join_groups(df, cuts.joinable(cuts.table), cuts.group, "left")
-    part = F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(_part_number(cuts))
-    placed = joined.withColumn(out, part).drop(_CUTS)
-    return placed.checkpoint() if cuts.ties else placed
-
-
 def running_total(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     step: Column,
     out: str,
-    cuts: Cuts | None = None,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Running sum of ``step`` inside each group, in ascending order.
 
-    Without cuts this is a plain window. With cuts the window runs inside each
-    part, and the totals of the earlier parts of the group are added.
+    Without hot groups this is a plain window. The rows of hot groups are range
+    partitioned and checkpointed once; rows that are equal in all order columns
+    are told apart by a hash of the row and then by where they stand, so copies
+    of one order value spread over ranges too.
     """
     stepped = df.withColumn(_STEP, step.cast("bigint"))
     rows = (Window.unboundedPreceding, Window.currentRow)
-    if cuts is None:
-        within = Window.partitionBy(*group).orderBy(*order).rowsBetween(*rows)
+    within = Window.partitionBy(*group).orderBy(*order).rowsBetween(*rows)
+    if hot is None:
         return stepped.withColumn(out, F.sum(_STEP).over(within)).drop(_STEP)
 
-    keys = [*group, _PART]
-    parts = with_part(stepped, cuts, _PART)
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)
-    inside = parts.withColumn(out, F.sum(_STEP).over(within))
+    plain = _join_groups(stepped, hot.table, group, "left_anti").withColumn(out, F.sum(_STEP).over(within))
 
-    hot = _join_groups(parts, cuts.joinable(cuts.table.select(*group)), group, "left_semi")
-    totals = hot.groupBy(*keys).agg(F.sum(_STEP).alias(_STEP))
-    earlier = Window.partitionBy(*group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn(_BEFORE, F.sum(_STEP).over(earlier)).drop(_STEP)
-
-    placed = _join_groups(inside, cuts.joinable(before), keys, "left")
-    total = F.col(out) + F.coalesce(F.col(_BEFORE), F.lit(0))
-    return placed.withColumn(out, total).drop(_BEFORE, _PART, _STEP)
+    place = [*group, *order, _TIE, f"{_TIE}2"]
+    tied = _join_groups(stepped, hot.table, group, "left_semi").withColumns(
+        {_TIE: F.xxhash64(*df.columns), f"{_TIE}2": F.monotonically_increasing_id()}
+    )
+    ranged = tied.repartitionByRange(hot.ranges, *place).withColumn(_RANGE, F.spark_partition_id()).checkpoint()
+    keys = [*group, _RANGE]
+    inside = Window.partitionBy(*keys).orderBy(*order, _TIE, f"{_TIE}2").rowsBetween(*rows)
+    totals = ranged.groupBy(*keys).agg(F.sum(_STEP).alias(_STEP))
+    earlier = Window.partitionBy(*group).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn(_BEFORE, F.coalesce(F.sum(_STEP).over(earlier), F.lit(0))).drop(_STEP)
+    split = _join_groups(ranged.withColumn(out, F.sum(_STEP).over(inside)), before, keys, "inner")
+    split = split.withColumn(out, F.col(out) + F.col(_BEFORE))
+    columns = [*[F.col(f"`{c}`") for c in df.columns if c != out], out]
+    return plain.select(*columns).unionByName(split.select(*columns))
 
 
 def number_rows(
@@ -188,5 +115,5 @@ def number_rows(
     Where ``df`` is costly to compute, ``sizing`` names a cheaper table with at
     least its rows, in which to look for large groups.
     """
-    cuts = hot_cuts(df if sizing is None else sizing, group, order, bucket_rows)
-    return running_total(df, group, order, F.lit(1), out, cuts)
+    hot = hot_groups(df if sizing is None else sizing, group, bucket_rows)
+    return running_total(df, group, order, F.lit(1), out, hot)

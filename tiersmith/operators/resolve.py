@@ -2,7 +2,8 @@
 
 All tables are long: one row per write of a setting, with the columns
 ``entity``, ``key``, ``value``, ``layer`` and a ``seq`` that orders the writes.
-A null value is not a write unless a presence rule says so.
+A null value is not a write unless a presence rule says so. A null entity is an
+entity like any other; a null key is no key, and its rows are left out.
 
 Latest write, first layer and merged layers are all "the row with the greatest
 priority per (entity, key)": one aggregate that combines before its shuffle, so
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 
 from tiersmith.functions.presence import is_present
 from tiersmith.operators.joins import split_join
-from tiersmith.operators.ordering import PART_ROWS, hot_cuts, with_part
+from tiersmith.operators.ordering import BUCKET_ROWS, PART_ROWS, number_rows, part_of
 
 LayerOrder = Sequence[str] | DataFrame
 
-CONSTANT_LAYER = "constant"
+CONSTANT_LAYER = "constant"  # what the result calls the defaults; rows of defaults are told by a flag
 LOWEST_PRIORITY = -(2**31)
 
 
@@ -54,7 +55,7 @@ def latest_setting(
     df: DataFrame, entity: str = "entity", key: str = "key", value: str = "value", seq: str = "seq"
 ) -> DataFrame:
     """Last write of each (entity, key). Null is not a write, empty text is."""
-    writes = df.where(F.col(value).isNotNull())
+    writes = df.where(F.col(value).isNotNull() & F.col(key).isNotNull())
     return _winner(writes, [entity, key], [F.col(seq)], [value])
 
 
@@ -78,29 +79,28 @@ def resolve_layers(
     asked = df.where(F.col("key").isin(*defaults))
     if presence != "key_exists":
         asked = asked.where(F.col("value").isNotNull())
-    writes = asked.select("entity", "key", "seq", "value", "layer")
+    writes = asked.select("entity", "key", "seq", "value", "layer", F.lit(False).alias("is_default"))
     constants = entities.select("entity", F.inline(_constant_rows(defaults.items()))).withColumns(
-        {"seq": F.lit(None).cast(df.schema["seq"].dataType), "layer": F.lit(CONSTANT_LAYER)}
+        {"seq": F.lit(None).cast(df.schema["seq"].dataType), "layer": F.lit(CONSTANT_LAYER), "is_default": F.lit(True)}
     )
     if isinstance(layer_order, DataFrame):
         return _resolve_by_table(writes, layer_order, constants, presence)
 
-    layers = [*layer_order, CONSTANT_LAYER]
-    latest = [F.max(F.when(F.col("layer") == name, F.struct("seq", "value"))) for name in layers]
+    write = F.struct("seq", "value")
+    latest = [F.max(F.when((F.col("layer") == name) & ~F.col("is_default"), write)) for name in layer_order]
     grouped = (
         writes.where(F.col("layer").isin(*layer_order))
         .unionByName(constants)
         .groupBy("entity", "key")
-        .agg(*[write.alias(f"write_{i}") for i, write in enumerate(latest)])
-        .where(F.col(f"write_{len(layer_order)}").isNotNull())
+        .agg(*[w.alias(f"write_{i}") for i, w in enumerate(latest)], F.max(F.when(F.col("is_default"), write)).alias("default"))
+        .where(F.col("default").isNotNull())
     )
     supplied = []
-    for i, name in enumerate(layers):
+    for i, name in enumerate(layer_order):
         value = F.col(f"write_{i}.value")
-        given = F.col(f"write_{i}").isNotNull()
-        if name != CONSTANT_LAYER:
-            given = given & is_present(value, presence)
+        given = F.col(f"write_{i}").isNotNull() & is_present(value, presence)
         supplied.append(F.when(given, F.struct(value.alias("value"), F.lit(name).alias("layer"))))
+    supplied.append(F.struct(F.col("default.value").alias("value"), F.lit(CONSTANT_LAYER).alias("layer")))
     return grouped.select("entity", "key", F.coalesce(*supplied).alias("top")).select(
         "entity", "key", "top.value", "top.layer"
     )
@@ -117,12 +117,12 @@ def _resolve_by_table(writes: DataFrame, layer_order: DataFrame, constants: Data
     effective = _winner(
         with_rank(writes, layer_order), ["entity", "key", "layer", "layer_rank"], [F.col("seq")], ["value"]
     )
-    present = effective.where(is_present(F.col("value"), presence))
-    rows = present.select("entity", "key", "value", "layer", (-F.col("layer_rank")).alias("priority")).unionByName(
-        constants.select("entity", "key", "value", "layer", F.lit(LOWEST_PRIORITY).alias("priority"))
+    present = effective.where(is_present(F.col("value"), presence)).withColumn("is_default", F.lit(False))
+    rows = present.withColumn("priority", -F.col("layer_rank")).drop("layer_rank").unionByName(
+        constants.drop("seq").withColumn("priority", F.lit(LOWEST_PRIORITY))
     )
-    top = F.max(F.struct("priority", "value", "layer")).alias("top")
-    wanted = F.bool_or(F.col("layer") == CONSTANT_LAYER).alias("wanted")
+    top = F.max(F.struct(~F.col("is_default"), "priority", "value", "layer")).alias("top")
+    wanted = F.bool_or("is_default").alias("wanted")
     return rows.groupBy("entity", "key").agg(top, wanted).where("wanted").select("entity", "key", "top.value", "top.layer")
 
 
@@ -131,21 +131,24 @@ def layer_usage(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("key", "layer").agg(F.count("*").alias("n_entities"))
 
 
-def merge_layers(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def merge_layers(df: DataFrame, order: LayerOrder) -> DataFrame:
     """Key by key merge in long form: the later layer of ``order`` wins, within
     a layer the latest write."""
-    writes = with_rank(df.where(F.col("value").isNotNull()), order)
+    writes = with_rank(df.where(F.col("value").isNotNull() & F.col("key").isNotNull()), order)
     return _winner(writes, ["entity", "key"], [F.col("layer_rank"), F.col("seq")], ["value", "layer"])
 
 
-def merge_layer_maps(df: DataFrame, order: Sequence[str], part_keys: int = PART_ROWS) -> DataFrame:
+def merge_layer_maps(
+    df: DataFrame, order: LayerOrder, part_keys: int = PART_ROWS, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """``merge_layers`` as maps with sorted keys: (entity, part, n_keys, settings).
 
-    An ordinary entity is one map with part 0. An entity with far more keys
-    than ``part_keys`` comes as several maps over consecutive key ranges.
+    A map holds ``part_keys`` keys of an entity in their order: those from
+    part * part_keys + 1 on. ``df`` has at least as many rows of an entity as it
+    has keys, so it tells which entities are too large for one window.
     """
-    cuts = hot_cuts(df, ["entity"], ["key"], part_keys, distinct=True)
-    merged = with_part(merge_layers(df, order), cuts)
+    numbered = number_rows(merge_layers(df, order), ["entity"], ["key"], "pos", bucket_rows, df)
+    merged = numbered.withColumn("part", part_of(F.col("pos"), part_keys))
     entries = F.array_sort(F.collect_list(F.struct("key", "value")))
     return merged.groupBy("entity", "part").agg(
         F.count("*").alias("n_keys"), F.map_from_entries(entries).alias("settings")
@@ -161,7 +164,7 @@ def first_nonempty_layer(
 ) -> DataFrame:
     """The first layer with any row for an entity supplies all its rows; an
     entity without rows gets ``default_rows``. Returns (entity, key, value,
-    layer, seq).
+    layer, seq). A null entity is one entity, here too.
 
     The deciding rank is an aggregate of one row per entity. Rows are joined to
     it, so that Spark can split a hot entity, where a window would hold all its
@@ -170,12 +173,12 @@ def first_nonempty_layer(
     rows = with_rank(df.where(is_present(F.col("value"), presence)), layer_order)
     rows = rows.select("entity", "key", "value", "layer", "seq", "layer_rank")
     first = rows.groupBy("entity").agg(F.min("layer_rank").alias("layer_rank"))
-    supplied = split_join(rows, first, ["entity", "layer_rank"], "left_semi")
+    supplied = split_join(rows, first, ["entity", "layer_rank"], "left_semi", null_safe=True)
     # Asking for the rank here too lets both joins share one shuffle.
-    ranked = first.where(F.col("layer_rank").isNotNull())
+    ranked = first.where(F.col("layer_rank").isNotNull()).select(F.col("entity").alias("_ranked"))
     fallback = (
         entities.select("entity")
-        .join(ranked, "entity", "left_anti")
+        .join(ranked, F.col("entity").eqNullSafe(F.col("_ranked")), "left_anti")
         .select("entity", F.inline(_constant_rows(default_rows)))
         .withColumns(
             {

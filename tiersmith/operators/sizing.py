@@ -1,4 +1,4 @@
-"""Memory requests of entities and their totals per group."""
+"""CPU and memory requests of entities and their totals per group."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiersmith.functions.numbers import quantity
+from tiersmith.functions.presence import ladder
 from tiersmith.functions.sizes import MIB_TYPE, overhead_mib, whole_mib
 
 
@@ -35,6 +37,23 @@ def resource_requests(
     )
 
 
+def cpu_requests(
+    df: DataFrame, requests: Sequence[str], limits: Sequence[str], default: str = "1"
+) -> DataFrame:
+    """Add ``cpu_request``, ``cpu_limit`` (exact) and ``cpu_ok``.
+
+    The first of the columns ``requests`` that is set gives the request, else
+    ``default`` does; the first of ``limits`` that is set gives the limit, which
+    may be absent. A malformed text gives null and is not ok.
+    """
+    request = ladder([F.col(c) for c in requests], default)
+    limit = ladder([F.col(c) for c in limits])
+    texts = df.withColumns({"_request": request, "_limit": limit})
+    sized = texts.withColumns({"cpu_request": quantity(F.col("_request")), "cpu_limit": quantity(F.col("_limit"))})
+    ok = F.col("cpu_request").isNotNull() & (F.col("_limit").isNull() | F.col("cpu_limit").isNotNull())
+    return sized.withColumn("cpu_ok", ok).drop("_request", "_limit")
+
+
 def resource_rollup(
     df: DataFrame,
     group: Sequence[str] = ("grp",),

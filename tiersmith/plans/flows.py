@@ -23,6 +23,8 @@ from tiersmith.operators import (
     unpivot_present,
 )
 
+from tiersmith.operators.ordering import PART_ROWS
+
 # Layer of the settings that come from prefixed keys.
 PREFIXED = "prefixed"
 
@@ -44,26 +46,37 @@ def service_labels(log: DataFrame, order: Sequence[str], prefixes: Sequence[str]
 
 
 def local_directories(
-    mounts: DataFrame, lists: Mapping[str, DataFrame], entities: DataFrame, prefix: str, default: str, slot: str
+    mounts: DataFrame,
+    order: Sequence[str],
+    lists: Mapping[str, DataFrame],
+    entities: DataFrame,
+    prefix: str,
+    default: str,
+    slot: str,
+    part_rows: int = PART_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Scratch directories of an entity: its mounts whose name contains
     ``prefix``, or else the items of its first list, or else ``default``.
 
-    ``mounts`` has (entity, name, path, pos), every list (entity, text) by name
-    in order of preference. Returns the numbered slots and the joined lists.
+    ``mounts`` has (entity, name, path) and the columns ``order``, every list
+    (entity, text) by name in order of preference. Mounts and items are ordered
+    by one struct column, so that only the rows that are supplied are numbered,
+    by one window. Returns the numbered slots and the joined lists.
     """
+    kinds = {c: mounts.schema[c].dataType for c in order}
+    of_mount = F.struct(*[F.col(c) for c in order], F.lit(0).alias("_item"))
     named = mounts.where(F.col("name").contains(prefix)).select(
-        "entity", "name", F.col("path").alias("value"), F.col("pos").cast("bigint").alias("seq")
+        "entity", "name", F.col("path").alias("value"), of_mount.alias("seq")
     )
     sources = {"mounts": named}
     for name, texts in lists.items():
-        items = explode_list(texts, "text")
-        sources[name] = items.select(
-            "entity", F.lit("").alias("name"), F.col("item").alias("value"), F.col("pos").cast("bigint").alias("seq")
+        of_item = F.struct(*[F.lit(None).cast(kinds[c]).alias(c) for c in order], F.col("pos").alias("_item"))
+        sources[name] = explode_list(texts, "text").select(
+            "entity", F.lit("").alias("name"), F.col("item").alias("value"), of_item.alias("seq")
         )
     rows = collect_sources(sources).withColumnsRenamed({"source": "layer", "name": "key"})
     supplied = first_nonempty_layer(rows, list(sources), entities, [("", default)])
-    return number_and_join(supplied, "value", ["seq"], slot, sizing=rows)
+    return number_and_join(supplied, "value", ["seq"], slot, part_rows=part_rows, sizing=rows)
 
 
 def settings_documents(
@@ -83,5 +96,4 @@ def settings_documents(
     rows = collect_sources(
         {"identity": identity.select("entity", "key", "value"), "settings": resolved.select("entity", "key", "value")}
     )
-    # A document has no more lines than the defaults and the identity.
-    return render_documents(latest_setting(rows, seq="source_pos"), escape_keys, part_lines=None)
+    return render_documents(latest_setting(rows, seq="source_pos"), escape_keys, sizing=rows)

@@ -86,9 +86,18 @@ VIEWS = {
     "children": "select conv_id as parent, turn as pos, role as name from conversations",
     "sizes": """
         select p_partkey as entity, p_type as grp,
-               concat(cast(p_size as varchar), case p_partkey % 8 when 0 then 'k' when 1 then 'm' when 2 then 'g'
-                    when 3 then 't' when 4 then 'G' when 5 then 'mb' when 6 then '.5g' else '' end) as size_text,
+               case when p_partkey % 11 <> 0 then
+                    concat(cast(p_size as varchar), case p_partkey % 8 when 0 then 'k' when 1 then 'm' when 2 then 'g'
+                    when 3 then 't' when 4 then 'G' when 5 then 'mb' when 6 then '.5g' else '' end) end as size_text,
                case when p_partkey % 3 = 0 then '512m' end as overhead_text,
+               case when p_partkey % 5 = 0 then '1g' end as overhead_conf,
+               case when p_partkey % 7 = 0 then '256m' end as overhead_old,
+               case when p_partkey % 4 = 1 then '0.25' end as factor_text,
+               case p_partkey % 6 when 2 then 'bad' when 4 then '0.15' end as factor_conf,
+               case p_partkey % 5 when 1 then concat(cast(p_partkey % 40 * 50 as varchar), 'm') when 2 then '1.5' end as core_request,
+               case p_partkey % 7 when 3 then concat(cast(p_partkey % 6 as varchar), 'k') when 4 then 'x' end as cores,
+               case when p_partkey % 3 = 1 then concat(cast(p_partkey % 9 as varchar), 'Ki') end as core_limit,
+               case when p_partkey % 4 = 2 then '2e3' end as limit_conf,
                case p_partkey % 4 when 0 then 'Scala' when 1 then 'Java' when 2 then 'Python' else 'R' end as code,
                1 + p_partkey % 5 as instances
         from part""",
@@ -103,11 +112,33 @@ VIEWS = {
     "existing": """
         select o_custkey as ns, concat('job-', cast(o_orderkey as varchar)) as name, o_orderstatus as payload
         from orders where o_orderpriority in ('1-URGENT', '2-HIGH')""",
+    "parent_mounts": """
+        select o_orderkey as parent, 'cfg' as name, concat('/etc/', cast(o_custkey as varchar)) as path, 1 as place
+        from orders where o_orderkey % 3 = 0
+        union all
+        select o_orderkey, 'tls', concat('/etc/', cast(o_custkey as varchar)), 2 from orders where o_orderkey % 6 = 0""",
+    "env_lists": """
+        select o_orderkey as entity, concat('/env/', cast(o_custkey as varchar), ',/env/more') as list_text
+        from orders where o_orderkey % 4 = 1""",
+    "marked_settings": r"""
+        select entity, mark || key || ' x' as key, mark || value || ' =:# ' as value, seq
+        from (select *, case seq % 5 when 0 then '#' when 1 then ' ' when 2 then 'a=b:' when 3 then '!'
+                        else concat(chr(9), '\') end as mark from settings_log)""",
+    "desired_writes": """
+        select o_custkey as ns, concat('job-', cast(o_orderkey % 3 as varchar)) as name, o_orderpriority as payload,
+               o_orderstatus as owner, o_orderkey as seq from orders""",
+    "existing_wide": """
+        select o_custkey as ns, concat('job-', cast(o_orderkey % 5 as varchar)) as name, min(o_orderpriority) as payload,
+               max(o_orderstatus) as owner, concat('note ', cast(min(o_orderkey) as varchar)) as note
+        from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by all""",
     "locations": """
         select page_id as entity,
-               case page_id % 5 when 0 then concat('local:///opt/', cast(page_id as varchar), '.py')
+               case page_id % 9 when 0 then concat('local:///opt/', cast(page_id as varchar), '.py')
                     when 1 then concat('/srv/', cast(page_id as varchar), '.yaml')
                     when 2 then concat('s3a://bucket/', cast(page_id as varchar), '.jar')
+                    when 5 then concat('file:///data/', cast(page_id as varchar))
+                    when 6 then concat('FTP://host/in/', cast(page_id as varchar), '/')
+                    when 7 then '' when 8 then null
                     else url end as location
         from pages""",
 }
@@ -192,19 +223,27 @@ def layer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.layer_report(t.settings_log(spark, sf_dir), LAYERS, t.entities(spark, sf_dir), DEFAULTS)
 
 
-def _merge_sql(order: str) -> str:
+def _part(pos: str, size: int) -> str:
+    """Part of the item at a position, in SQL."""
+    return f"cast(({pos} - 1) // {size} as integer)"
+
+
+def _merge_sql(order: str, size: int = ops.PART_ROWS) -> str:
     return f"""
     , won as (
         select entity, key, arg_max(value, {order} * 1000000000000 + seq) as value
         from settings_log join layer_order using (layer) where value is not null group by entity, key)
-    select entity, 0 as part, count(*) as n_keys,
+    , placed as (select *, {_part("row_number() over (partition by entity order by key)", size)} as part from won)
+    select entity, part, count(*) as n_keys,
            string_agg(concat(key, '=', value), ';' order by key) as settings
-    from won group by entity
+    from placed group by entity, part
     """
 
 
-def _merge(spark: SparkSession, sf_dir: str, order: list[str]) -> DataFrame:
-    maps = ops.merge_layer_maps(t.settings_log(spark, sf_dir), order)
+def _merge(
+    spark: SparkSession, sf_dir: str, order: list[str] | DataFrame, part_keys: int = ops.PART_ROWS
+) -> DataFrame:
+    maps = ops.merge_layer_maps(t.settings_log(spark, sf_dir), order, part_keys)
     entries = F.transform(F.map_entries("settings"), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return maps.withColumn("settings", F.array_join(entries, ";"))
 
@@ -219,18 +258,41 @@ def merge_layer_maps_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merge(spark, sf_dir, LAYERS[::-1])
 
 
+@query("merge_layer_maps_parts", "settings_log layer_order", _merge_sql("layer_rank", 2))
+def merge_layer_maps_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merge(spark, sf_dir, LAYERS, 2)
+
+
+@query("merge_layer_maps_table", "settings_log layer_order", _merge_sql("layer_rank"))
+def merge_layer_maps_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merge(spark, sf_dir, t.layer_order(spark))
+
+
 @query(
-    "first_nonempty_layer",
-    "settings_log layer_order entities",
-    """
+    "resolve_layers_table", RESOLVE_VIEWS, _resolve_sql("value is not null", "l.value <> ''") + "select * from resolved"
+)
+def resolve_layers_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, people = t.settings_log(spark, sf_dir), t.entities(spark, sf_dir)
+    return ops.resolve_layers(log, t.layer_order(spark), people, DEFAULTS, "non_empty")
+
+
+FIRST_LAYER_SQL = """
     , ranked as (select s.*, layer_rank from settings_log s join layer_order using (layer) where value is not null),
     first_rank as (select *, min(layer_rank) over (partition by entity) as first from ranked)
     select entity, key, value, layer, seq from first_rank where layer_rank = first
     union all
-    select entity, 'none', 'constant', 'constant', null from entities
-    where entity not in (select entity from ranked)
-    """,
-)
+    select entity, 'none', 'constant', 'constant', null from entities e
+    where not exists (select 1 from ranked r where r.entity is not distinct from e.entity)
+    """
+
+
+@query("first_nonempty_layer_table", "settings_log layer_order entities", FIRST_LAYER_SQL)
+def first_nonempty_layer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, people = t.settings_log(spark, sf_dir), t.entities(spark, sf_dir)
+    return ops.first_nonempty_layer(log, t.layer_order(spark), people, DEFAULT_ROWS)
+
+
+@query("first_nonempty_layer", "settings_log layer_order entities", FIRST_LAYER_SQL)
 def first_nonempty_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.first_nonempty_layer(t.settings_log(spark, sf_dir), LAYERS, t.entities(spark, sf_dir), DEFAULT_ROWS)
 
@@ -323,23 +385,36 @@ def unpivot_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(_long("pos"))
 
 
+@query(
+    "unpivot_lists",
+    "lists",
+    """
+    select entity, cast(1 as bigint) as pos, 'dirs' as key, array_to_string(string_split(list_text, ','), ',') as value
+    from lists where list_text is not null
+    """,
+)
+def unpivot_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = t.lists(spark, sf_dir).withColumn("items", F.split("list_text", ",", -1))
+    return ops.unpivot_present(texts, {"items": "dirs"}).withColumns(_long("pos"))
+
+
 @query(
     "expand_options",
     "mounts volumes",
     """
     , matched as (select * from mounts join volumes using (parent, name))
-    select parent, name, 'mount.path' as option, path as value from matched where kind <> 'other'
+    select parent, name, kind, 'mount.path' as option, path as value from matched where kind <> 'other'
     union all
-    select parent, name, 'options.path', host_path from matched where kind = 'hostPath'
+    select parent, name, kind, 'options.path', host_path from matched where kind = 'hostPath'
     union all
-    select parent, name, 'options.type', host_type from matched where kind = 'hostPath' and host_type is not null
+    select parent, name, kind, 'options.type', host_type from matched where kind = 'hostPath' and host_type is not null
     union all
-    select parent, name, 'options.claimName', claim_name from matched where kind = 'claim'
+    select parent, name, kind, 'options.claimName', claim_name from matched where kind = 'claim'
     """,
 )
 def expand_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched, _ = ops.match_split(t.mounts(spark, sf_dir), t.volumes(spark, sf_dir), "")
-    return ops.expand_options(matched, ops.VOLUME_OPTIONS)
+    return ops.expand_options(matched, ops.VOLUME_OPTIONS, keep=("parent", "name", "kind"))
 
 
 @query(
@@ -404,16 +479,21 @@ def collect_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cleaning.
 
 
-@query(
-    "normalise_codes",
-    "entities",
-    """
+CODES_SQL = """
     select entity, code,
            case when code in ('Scala', 'Java') then 'java' when code = 'Python' then 'python'
                 when code = 'R' then 'r' else code end as canonical
     from entities
-    """,
-)
+    """
+
+
+@query("normalise_codes_table", "entities", CODES_SQL)
+def normalise_codes_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spellings = spark.createDataFrame(list(ops.RUNTIME_CODES.items()), "spelling string, canonical string")
+    return ops.normalise_codes(t.entities(spark, sf_dir), "code", spellings).select("entity", "code", "canonical")
+
+
+@query("normalise_codes", "entities", CODES_SQL)
 def normalise_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.normalise_codes(t.entities(spark, sf_dir)).select("entity", "code", "canonical")
 
@@ -540,34 +620,46 @@ def _attach(spark: SparkSession, sf_dir: str, cumulative: bool) -> DataFrame:
     )
 
 
-def _mount_text(lists: DataFrame) -> DataFrame:
-    text = F.array_join(F.transform("mounts", lambda m: F.concat_ws(":", m["name"], m["path"])), ",")
-    return lists.withColumn("mounts", text)
+def _attached_sql(partition: str, order: str, rows: str) -> str:
+    return f"""
+    select parent, child, name, path, known, shared,
+           cast(sum(cast(known as integer)) over (partition by {partition} order by {order}
+                rows between unbounded preceding and current row) as bigint) as pos
+    from {rows}
+    """
 
 
-@query(
-    "attach_matching",
-    "mounts volumes",
-    ATTACH_SQL
-    + """
-    select parent, child, cast(1 as bigint) as from_pos,
-           coalesce(array_to_string(flatten(list(coalesce(items, [])) over (
-               partition by parent order by child rows between unbounded preceding and current row)), ','), '') as mounts
-    from own
-    """,
-)
+OWN_ROWS = "(select parent, child, name, path, known, false as shared, pos as place from kept)"
+ALL_ROWS = """(
+        select parent, child, name, path, known, false as shared, pos as place from kept
+        union all
+        select parent, null, name, path, true, true, place from parent_mounts)"""
+
+
+@query("attach_matching", "mounts volumes", ATTACH_SQL + _attached_sql("parent", "child, place", OWN_ROWS))
 def attach_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mount_text(ops.mount_lists(_attach(spark, sf_dir, True)))
+    return _attach(spark, sf_dir, True)
+
+
+@query("attach_matching_own", "mounts volumes", ATTACH_SQL + _attached_sql("parent, child", "place", OWN_ROWS))
+def attach_matching_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attach(spark, sf_dir, False)
 
 
 @query(
-    "attach_matching_own",
-    "mounts volumes",
-    ATTACH_SQL
-    + "select parent, child, cast(1 as bigint) as from_pos, coalesce(array_to_string(items, ','), '') as mounts from own",
+    "attach_matching_shared",
+    "mounts volumes parent_mounts",
+    ATTACH_SQL + _attached_sql("parent", "shared desc, child, place", ALL_ROWS),
 )
-def attach_matching_own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mount_text(ops.mount_lists(_attach(spark, sf_dir, False), cumulative=False))
+def attach_matching_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mounts, volumes = t.mounts(spark, sf_dir), t.volumes(spark, sf_dir)
+    return ops.attach_matching(mounts, volumes, MOUNT_ORDER, parent_mounts=t.parent_mounts(spark, sf_dir))
+
+
+@query("split_volumes", "volumes", "select *, starts_with(name, 'scratch-') as special from volumes")
+def split_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    special, rest = ops.split_volumes(t.volumes(spark, sf_dir), "scratch-")
+    return special.withColumn("special", F.lit(True)).unionByName(rest.withColumn("special", F.lit(False)))
 
 
 @query(
@@ -600,8 +692,8 @@ def number_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "number_and_join",
     "mounts",
     """
-    select parent, 0 as part, count(*) as n_items, string_agg(path, ',' order by pos) as list
-    from mounts group by parent
+    select parent, cast((pos - 1) // 100000 as integer) as part, count(*) as n_items, string_agg(path, ',' order by pos) as list
+    from mounts group by all
     """,
 )
 def number_and_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -609,27 +701,45 @@ def number_and_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists
 
 
+@query(
+    "number_and_join_parts",
+    "mounts",
+    """
+    select parent, cast((pos - 1) // 3 as integer) as part, count(*) as n_items, string_agg(path, ',' order by pos) as list
+    from mounts group by all
+    """,
+)
+def number_and_join_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, lists = ops.number_and_join(t.mounts(spark, sf_dir), "path", MOUNT_ORDER, "dir-", "parent", part_rows=3)
+    return lists
+
+
 @query(
     "local_directories",
-    "mounts lists",
+    "mounts lists env_lists",
     """
     , mounted as (select parent as entity, path as item, pos, 1 as layer from mounts where contains(name, 'scratch-')),
-    split as (select entity, string_split(list_text, ',') as items from lists where list_text is not null),
-    listed as (select entity, unnest(items) as item, generate_subscripts(items, 1) as pos, 2 as layer from split),
+    split as (
+        select entity, string_split(list_text, ',') as items, 2 as layer from env_lists
+        union all
+        select entity, string_split(list_text, ','), 3 from lists where list_text is not null),
+    listed as (select entity, unnest(items) as item, generate_subscripts(items, 1) as pos, layer from split),
     given as (select * from mounted union all select * from listed),
     supplied as (select * from given qualify layer = min(layer) over (partition by entity)),
     filled as (
         select entity, item, pos from supplied
         union all
-        select o_orderkey, '/var/data/default', 1 from orders where o_orderkey not in (select entity from given))
-    select entity, 0 as part, count(*) as n_items, string_agg(item, ',' order by pos) as list from filled group by entity
+        select o_orderkey, '/var/data/default', 1 from orders where o_orderkey not in (select entity from given)),
+    numbered as (select entity, item, row_number() over (partition by entity order by pos) as pos from filled)
+    select entity, cast((pos - 1) // 3 as integer) as part, count(*) as n_items, string_agg(item, ',' order by pos) as list
+    from numbered group by all
     """,
 )
 def local_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mounts = t.numbered_mounts(spark, sf_dir).withColumnRenamed("parent", "entity")
-    texts = t.lists(spark, sf_dir).withColumnRenamed("list_text", "text")
+    mounts = t.mounts(spark, sf_dir).withColumnRenamed("parent", "entity")
+    texts = {"environment": t.env_lists(spark, sf_dir), "listed": t.lists(spark, sf_dir).withColumnRenamed("list_text", "text")}
     people = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity"))
-    _, lists = flows.local_directories(mounts, {"listed": texts}, people, "scratch-", "/var/data/default", "dir-")
+    _, lists = flows.local_directories(mounts, MOUNT_ORDER, texts, people, "scratch-", "/var/data/default", "dir-", 3)
     return lists
 
 
@@ -656,9 +766,9 @@ SIZE_SQL = """
                        then cast(regexp_extract(clean, '^[^KMGT]*') as bigint) end as n
         from cut),
     mib as (
-        select *, coalesce(case unit when 'K' then n // 1024 when 'G' then n * 1024
-                                     when 'T' then n * 1048576 else n end, 0) as size_mib,
-               n is not null as size_ok
+        select *, case when size_text is not null then coalesce(case unit when 'K' then n // 1024 when 'G' then n * 1024
+                                     when 'T' then n * 1048576 else n end, 0) end as size_mib,
+               case when size_text is not null then n is not null end as size_ok
         from num),
     requests as (
         select *, cast(size_mib as decimal(20,0)) + case when overhead_text is not null then 512.0000
@@ -679,12 +789,57 @@ def resource_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "resource_ladders",
+    "sizes",
+    SIZE_SQL
+    + """
+    , given as (
+        select *, coalesce(overhead_text, overhead_conf, overhead_old) as overhead,
+               case coalesce(factor_text, factor_conf, case when code in ('Java', 'Scala') then '0.10' else '0.40' end)
+                    when 'bad' then 0.0 when '0.25' then 0.25 when '0.15' then 0.15 when '0.10' then 0.10 else 0.40 end as factor
+        from mib)
+    select entity, cast(size_mib + case overhead when '512m' then 512 when '1g' then 1024 when '256m' then 256
+                        else greatest(384, size_mib * factor) end as double) as request_mib
+    from given
+    """,
+)
+def resource_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    overheads, factors = ("overhead_text", "overhead_conf", "overhead_old"), ("factor_text", "factor_conf")
+    sized = ops.resource_requests(t.sizes(spark, sf_dir), overheads=overheads, factors=factors)
+    return sized.select("entity", F.col("request_mib").cast("double").alias("request_mib"))
+
+
+@query(
+    "cpu_requests",
+    "sizes",
+    """
+    , picked as (
+        select entity, coalesce(core_request, cores, '1') as request, coalesce(core_limit, limit_conf) as lim from sizes),
+    read as (
+        select entity, lim,
+               case when request = 'x' then null when ends_with(request, 'm') then cast(rtrim(request, 'm') as double) / 1000
+                    when ends_with(request, 'k') then cast(rtrim(request, 'k') as double) * 1000
+                    else cast(request as double) end as cpu_request,
+               case when ends_with(lim, 'Ki') then cast(left(lim, length(lim) - 2) as double) * 1024
+                    else cast(lim as double) end as cpu_limit
+        from picked)
+    select entity, cpu_request, cpu_limit, cpu_request is not null and (lim is null or cpu_limit is not null) as cpu_ok
+    from read
+    """,
+)
+def cpu_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = ops.cpu_requests(t.sizes(spark, sf_dir), ["core_request", "cores"], ["core_limit", "limit_conf"])
+    request, limit = (F.col(c).cast("double").alias(c) for c in ("cpu_request", "cpu_limit"))
+    return sized.select("entity", request, limit, "cpu_ok")
+
+
 @query(
     "resource_rollup",
     "sizes",
     SIZE_SQL
     + """
-    select grp, count(*) as n, cast(0 as bigint) as n_unsized, count(*) filter (not size_ok) as n_malformed,
+    select grp, count(*) as n, count(*) filter (size_text is null) as n_unsized, count(*) filter (not size_ok) as n_malformed,
            cast(sum(instances) as bigint) as instances, cast(sum(request_mib * instances) as double) as request_mib
     from requests group by grp
     """,
@@ -696,24 +851,38 @@ def resource_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Documents.
 
 
-@query(
-    "render_documents",
-    "settings_log",
-    r"""
+def _render_sql(size: int, value: str = "value") -> str:
+    return rf"""
     , latest as (
         select entity, key, arg_max(value, seq) as value from settings_log where value is not null group by entity, key),
     lines as (
-        select entity, key, concat(key, '=', replace(replace(replace(value, '\', '\\'), ':', '\:'), '=', '\='), chr(10)) as line
+        select entity, key, concat(key, '=', replace(replace(replace({value}, '\', '\\'), ':', '\:'), '=', '\='), chr(10)) as line,
+               {_part("row_number() over (partition by entity order by key)", size)} as part
         from latest)
-    select entity, 0 as part, count(*) as n_lines, string_agg(line, '' order by key) as document
-    from lines group by entity
-    """,
-)
+    select entity, part, count(*) as n_lines, string_agg(line, '' order by key) as document
+    from lines group by entity, part
+    """
+
+
+@query("render_documents", "settings_log", _render_sql(ops.PART_ROWS))
 def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = t.settings_log(spark, sf_dir)
     return ops.render_documents(ops.latest_setting(log), list(DEFAULTS), sizing=log)
 
 
+@query("render_documents_parts", "settings_log", _render_sql(2))
+def render_documents_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = t.settings_log(spark, sf_dir)
+    return ops.render_documents(ops.latest_setting(log), list(DEFAULTS), part_lines=2, sizing=log)
+
+
+@query("render_documents_stripped", "settings_log", _render_sql(ops.PART_ROWS, "concat(value, ':', value)"))
+def render_documents_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = t.settings_log(spark, sf_dir)
+    broken = ops.latest_setting(log).withColumn("value", F.concat("value", F.lit("\n:\r"), "value"))
+    return ops.render_documents(broken, list(DEFAULTS), strip_keys=list(DEFAULTS), sizing=log)
+
+
 @query(
     "load_documents",
     "settings_log property_lines",
@@ -738,6 +907,17 @@ def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.load_documents(ops.document_lines(documents)).select("entity", "key", "value")
 
 
+@query(
+    "document_round_trip_marks",
+    "settings_log marked_settings",
+    "select entity, key, arg_max(value, seq) as value from marked_settings where value is not null group by entity, key",
+)
+def document_round_trip_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = t.marked_settings(spark, sf_dir)
+    documents = ops.render_documents(ops.latest_setting(log), part_lines=4, sizing=log)
+    return ops.load_documents(ops.document_lines(documents)).select("entity", "key", "value")
+
+
 @query(
     "settings_documents",
     RESOLVE_VIEWS,
@@ -753,8 +933,10 @@ def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                when code = 'R' then 'r' else code end from entities
         union all
         select entity, 'app.port', cast(coalesce(port, 7078) as varchar) from read)
-    select entity, 0 as part, count(*) as n_lines, string_agg(concat(key, '=', value, chr(10)), '' order by key) as document
-    from given group by entity
+    , placed as (
+        select *, cast((row_number() over (partition by entity order by key) - 1) // 100000 as integer) as part from given)
+    select entity, part, count(*) as n_lines, string_agg(concat(key, '=', value, chr(10)), '' order by key) as document
+    from placed group by entity, part
     """,
 )
 def settings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -789,4 +971,23 @@ def upsert_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def apply_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.apply_plan(t.desired(spark, sf_dir), t.existing(spark, sf_dir))
+    existing = t.existing(spark, sf_dir)
+    return ops.apply_plan(ops.upsert_plan(t.desired(spark, sf_dir), existing), existing)
+
+
+@query(
+    "apply_plan_repeated",
+    "desired_writes existing_wide",
+    """
+    , wanted as (
+        select ns, name, arg_max(payload, seq) as payload, arg_max(owner, seq) as owner from desired_writes group by ns, name)
+    select coalesce(w.ns, e.ns) as ns, coalesce(w.name, e.name) as name,
+           case when w.ns is null then e.payload else w.payload end as payload,
+           case when w.ns is null then e.owner else w.owner end as owner, e.note
+    from wanted w full join existing_wide e on e.ns = w.ns and e.name = w.name
+    """,
+)
+def apply_plan_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, payload = t.existing_wide(spark, sf_dir), ["payload", "owner"]
+    plan = ops.upsert_plan(t.desired_writes(spark, sf_dir), existing, payload=payload, seq="seq")
+    return ops.apply_plan(plan, existing, payload=payload)

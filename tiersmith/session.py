@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,8 +32,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make ``DataFrame.checkpoint()`` usable and return its folder.
 
     A folder that is already set, or that the cluster names in
-    ``spark.checkpoint.dir``, is used as it is. Only a local session without
-    one gets a temporary folder; on a cluster a missing folder is an error,
+    ``spark.checkpoint.dir``, is used as it is. Only a session that runs in one
+    process and has none gets a temporary folder, which goes with the process;
+    on a cluster a missing folder is an error,
     since a machine-local folder would be lost with its executor.
     """
     sc = spark.sparkContext
@@ -39,8 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         named = tempfile.mkdtemp(prefix="tiersmith-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return named

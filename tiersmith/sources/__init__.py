@@ -1,7 +1,7 @@
 """Sources and sinks: tables of settings and property documents."""
 
 from tiersmith.sources.documents import read_property_lines, write_documents
-from tiersmith.sources.state import write_state
+from tiersmith.sources.state import read_state, write_state
 from tiersmith.sources.tables import FIXTURES, LAYERS, table
 
-__all__ = ["FIXTURES", "LAYERS", "read_property_lines", "table", "write_documents", "write_state"]
+__all__ = ["FIXTURES", "LAYERS", "read_property_lines", "read_state", "table", "write_documents", "write_state"]

@@ -27,35 +27,46 @@ def write_documents(documents: DataFrame, path: str) -> None:
     )
 
 
-def read_property_lines(spark: SparkSession, paths: str | Sequence[str], base_path: str | None = None) -> DataFrame:
-    """Lines of property files: (entity, part, block_start, line_id, line).
+def read_property_lines(
+    spark: SparkSession, paths: str | Sequence[str], base_path: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Lines of property files, (entity, part, block_start, line_id, line), and
+    the paths that could not be found, (path, reason).
 
     ``entity`` and ``part`` are taken from folders as ``write_documents`` lays
     them out; without such folders the entity is the file path. Large files are
     split between tasks, so a line number would need a pass of its own: lines
-    of an entity are in order by (part, block_start, line_id). Input that cannot
-    be read gives no rows.
+    of an entity are in order by (part, block_start, line_id). A path that does
+    not exist costs only its own rows. A file that breaks off halfway, or goes
+    while it is read, stops the job: nothing is shortened silently.
     """
-    reader = spark.read.options(ignoreMissingFiles=True, ignoreCorruptFiles=True)
+    reader = spark.read.options(ignoreMissingFiles=False, ignoreCorruptFiles=False)
     if base_path is not None:
         reader = reader.option("basePath", base_path)
-    where = paths if isinstance(paths, str) else list(paths)
-    try:
-        raw = reader.text(where)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], LINE_SCHEMA).select("entity", "part", "block_start", "line_id", "line")
+    found, missing = [], []
+    for path in [paths] if isinstance(paths, str) else list(paths):
+        try:
+            reader.text(path)
+            found.append(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            missing.append((path, "not found"))
+    unread = spark.createDataFrame(missing, "path string, reason string")
+    if not found:
+        return spark.createDataFrame([], LINE_SCHEMA).select("entity", "part", "block_start", "line_id", "line"), unread
+    raw = reader.text(found)
     if "entity" in raw.columns:
         # Stated types, since an entity that looks like a number is still text.
-        raw = reader.schema("value string, entity string, part int").text(where)
+        raw = reader.schema("value string, entity string, part int").text(found)
         entity, part = F.col("entity"), F.col("part")
     else:
         entity, part = F.col("_metadata.file_path"), F.lit(0)
-    return raw.select(
+    lines = raw.select(
         entity.alias("entity"),
         part.alias("part"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"),
         F.col("value").alias("line"),
     )
+    return lines, unread

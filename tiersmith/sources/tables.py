@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.operators.ordering import number_rows
-
 LAYERS = ["override", "spec", "conf", "default"]
 MOUNT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
@@ -74,9 +72,18 @@ def mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def numbered_mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mounts with their place ``pos`` within the parent."""
-    return number_rows(mounts(spark, sf_dir), ["parent"], MOUNT_ORDER).drop(*MOUNT_ORDER)
+def parent_mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mounts of the parents themselves: two for some parents, one for others."""
+    parent = F.col("o_orderkey")
+    path = F.concat(F.lit("/etc/"), F.col("o_custkey").cast("string"))
+    orders = table(spark, sf_dir, "orders")
+    rows = [
+        orders.where(parent % n == 0).select(
+            parent.alias("parent"), F.lit(name).alias("name"), path.alias("path"), F.lit(place).alias("l_linenumber")
+        )
+        for place, (n, name) in enumerate([(3, "cfg"), (6, "tls")], start=1)
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +127,27 @@ def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(key.alias("entity"), text.alias("list_text"))
 
 
+def env_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second, preferred list of some entities."""
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("/env/"), F.col("o_custkey").cast("string"), F.lit(",/env/more"))
+    return table(spark, sf_dir, "orders").where(key % 4 == 1).select(key.alias("entity"), text.alias("text"))
+
+
+def layer_order(spark: SparkSession) -> DataFrame:
+    """The layers as a table."""
+    rows = [(name, rank) for rank, name in enumerate(LAYERS, start=1)]
+    return spark.createDataFrame(rows, "layer string, layer_rank int")
+
+
+def marked_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings whose keys and values hold blanks, separators and comment marks, leading ones too."""
+    marks = F.array(*[F.lit(m) for m in ("#", " ", "a=b:", "!", "\t\\")])
+    key = F.concat(F.get(marks, (F.col("seq") % 5).cast("int")), F.col("key"), F.lit(" x"))
+    value = F.concat(F.get(marks, (F.col("seq") % 5).cast("int")), F.col("value"), F.lit(" =:# "))
+    return settings_log(spark, sf_dir).select("entity", key.alias("key"), value.alias("value"), "seq")
+
+
 def children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered children; some parents have one called ``system``."""
     return table(spark, sf_dir, "conversations").select(
@@ -135,8 +163,16 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         key.alias("entity"),
         F.col("p_type").alias("grp"),
-        F.concat(F.col("p_size").cast("string"), F.get(units, (key % 8).cast("int"))).alias("size_text"),
+        F.when(key % 11 != 0, F.concat(F.col("p_size").cast("string"), F.get(units, (key % 8).cast("int")))).alias("size_text"),
         F.when(key % 3 == 0, "512m").alias("overhead_text"),
+        F.when(key % 5 == 0, "1g").alias("overhead_conf"),
+        F.when(key % 7 == 0, "256m").alias("overhead_old"),
+        F.when(key % 4 == 1, "0.25").alias("factor_text"),
+        F.when(key % 6 == 2, "bad").when(key % 6 == 4, "0.15").alias("factor_conf"),
+        F.when(key % 5 == 1, F.concat((key % 40 * 50).cast("string"), F.lit("m"))).when(key % 5 == 2, "1.5").alias("core_request"),
+        F.when(key % 7 == 3, F.concat((key % 6).cast("string"), F.lit("k"))).when(key % 7 == 4, "x").alias("cores"),
+        F.when(key % 3 == 1, F.concat((key % 9).cast("string"), F.lit("Ki"))).alias("core_limit"),
+        F.when(key % 4 == 2, "2e3").alias("limit_conf"),
         F.get(codes, (key % 4).cast("int")).alias("code"),
         (1 + key % 5).alias("instances"),
     )
@@ -169,14 +205,41 @@ def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs(table(spark, sf_dir, "orders").where(urgent), "o_orderstatus")
 
 
+def desired_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Desired rows whose keys repeat; the largest ``seq`` counts."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("ns"),
+        F.concat(F.lit("job-"), (key % 3).cast("string")).alias("name"),
+        F.col("o_orderpriority").alias("payload"),
+        F.col("o_orderstatus").alias("owner"),
+        key.alias("seq"),
+    )
+
+
+def existing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State with a column ``note`` that no plan touches."""
+    jobs = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    name = F.concat(F.lit("job-"), (F.col("o_orderkey") % 5).cast("string")).alias("name")
+    return jobs.groupBy(F.col("o_custkey").alias("ns"), name).agg(
+        F.min("o_orderpriority").alias("payload"),
+        F.max("o_orderstatus").alias("owner"),
+        F.concat(F.lit("note "), F.min("o_orderkey").cast("string")).alias("note"),
+    )
+
+
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations with several schemes and without one."""
     key = F.col("page_id").cast("string")
-    kind = F.col("page_id") % 5
+    kind = F.col("page_id") % 9
     place = (
         F.when(kind == 0, F.concat(F.lit("local:///opt/"), key, F.lit(".py")))
         .when(kind == 1, F.concat(F.lit("/srv/"), key, F.lit(".yaml")))
         .when(kind == 2, F.concat(F.lit("s3a://bucket/"), key, F.lit(".jar")))
+        .when(kind == 5, F.concat(F.lit("file:///data/"), key))
+        .when(kind == 6, F.concat(F.lit("FTP://host/in/"), key, F.lit("/")))
+        .when(kind == 7, "")
+        .when(kind == 8, None)
         .otherwise(F.col("url"))
     )
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("entity"), place.alias("location"))
@@ -186,7 +249,7 @@ FIXTURES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "settings_log": settings_log,
     "entities": entities,
     "mounts": mounts,
-    "numbered_mounts": numbered_mounts,
+    "parent_mounts": parent_mounts,
     "volumes": volumes,
     "optional_fields": optional_fields,
     "lists": lists,
