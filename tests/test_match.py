@@ -1,5 +1,3 @@
-from collections import defaultdict
-
 import pytest
 
 from tiersmith import operators as ops
@@ -21,12 +19,19 @@ def test_match_split_keeps_multiplicity(spark):
     assert [r.name for r in special.collect()] == ["scratch-a"] and [r.name for r in rest.collect()] == ["data"]
 
 
-def lists_of(rows):
-    """Put the parts of each list together, prefix included."""
-    out = defaultdict(dict)
-    for r in rows:
-        for i, m in enumerate(r.mounts):
-            out[(r.parent, r.child)][r.from_pos + i] = m.path
+def lists_of(placed, cumulative):
+    """The list of each child from the flat rows of its parent."""
+    rows = placed.collect()
+    children = {(r.parent, r.child): r.last_pos for r in ops.attached_children(placed).collect()}
+    out = {}
+    for parent, child in children:
+        known = [r for r in rows if r.parent == parent and r.known]
+        if cumulative:
+            chosen = [r for r in known if r.pos <= children[(parent, child)]]
+            out[(parent, child)] = [r.path for r in sorted(chosen, key=lambda r: r.pos)]
+        else:
+            parts = [[r for r in known if r.shared], [r for r in known if r.child == child]]
+            out[(parent, child)] = [r.path for part in parts for r in sorted(part, key=lambda r: r.pos)]
     return out
 
 
@@ -64,47 +69,23 @@ def test_lists_match_the_sequential_rule(spark, cumulative, with_shared):
         cumulative,
         parents if with_shared else None,
     )
-    rows = ops.mount_lists(placed, cumulative).collect()
-    assert len(rows) == len({(r.parent, r.child) for r in rows}) and {r.from_pos for r in rows} == {1}
-    got = {key: [path for _, path in sorted(v.items())] for key, v in lists_of(rows).items()}
-    want = brute_lists(mounts, volumes, shared, cumulative)
-    assert {(r.parent, r.child) for r in rows} == set(want)
-    assert got == {k: v for k, v in want.items() if v}
+    assert lists_of(placed, cumulative) == brute_lists(mounts, volumes, shared, cumulative)
 
 
 def test_running_lists_of_a_large_parent_are_stored_once(spark):
-    mounts = [(1, c, o, "v", f"/{c}/{o}") for c in range(60) for o in range(c % 3 * 4)]
+    mounts = [(1, c, o, "v", f"/{c}/{o}") for c in range(60) for o in range(1 + c % 3 * 4)]
     placed = ops.attach_matching(
         spark.createDataFrame(mounts, MOUNT), spark.createDataFrame([(1, "v")], VOLUME), ["ord"], True, bucket_rows=16
     )
-    rows = ops.mount_lists(placed, True, part_rows=20).collect()
-    assert all(len(r.mounts) <= 20 for r in rows)
-    positions = {r.pos: r.path for r in placed.collect() if r.known}
-    want = brute_lists(mounts, [(1, "v")], [], True)
-    length = {(r.parent, r.child): r.last_pos for r in ops.attached_children(placed).collect()}
-    by_child = lists_of(rows)
-    for key, paths in want.items():
-        assert length[key] == len(paths)
-        given = by_child[key]
-        # What is not written out is found at the parent's earlier positions.
-        whole = [given.get(i, positions[i]) for i in range(1, length[key] + 1)]
-        assert whole == paths
-        assert all(positions[i] == path for i, path in given.items())
-
-
-def test_long_shared_lists_are_kept_apart(spark):
-    shared = [(1, o, f"/s/{o}") for o in range(25)]
-    mounts = [(1, 1, 0, "v", "/a"), (1, 2, 0, "w", "/b")]
-    placed = ops.attach_matching(
-        spark.createDataFrame(mounts, MOUNT),
-        spark.createDataFrame([(1, "v")], VOLUME),
-        ["ord"],
-        False,
-        spark.createDataFrame([(p, o, "cfg", path) for p, o, path in shared], "parent long, ord long, name string, path string"),
-    )
-    by_child = lists_of(ops.mount_lists(placed, False, part_rows=10).collect())
-    assert [p for _, p in sorted(by_child[(1, None)].items())] == [p for _, _, p in shared]
-    assert by_child[(1, 1)] == {26: "/a"}
+    assert placed.count() == len(mounts)
+    assert lists_of(placed, True) == brute_lists(mounts, [(1, "v")], [], True)
+
+
+def test_mounts_that_cannot_match_are_not_shuffled(spark):
+    mounts = spark.createDataFrame([(1, "scratch-a", "/1"), (1, None, "/2"), (None, "data", "/3")], "parent long, name string, path string")
+    volumes = spark.createDataFrame([(1, "scratch-a")], VOLUME)
+    _, residual = ops.match_split(mounts, volumes, "scratch-")
+    assert sorted(r.path for r in residual.collect()) == ["/2", "/3"]
 
 
 def test_numbered_slots_and_lists(spark):

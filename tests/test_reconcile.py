@@ -1,5 +1,7 @@
+import pytest
+
 from tiersmith import operators as ops
-from tiersmith.sources import write_state
+from tiersmith.sources import read_state, write_state
 
 STATE = "ns string, name string, payload string, owner string"
 
@@ -42,10 +44,16 @@ def test_applying_twice_changes_nothing(spark):
     assert {tuple(r) for r in ops.apply_plan(again, once).collect()} == want
 
 
-def test_state_can_be_written_twice(spark, tmp_path):
+def test_the_last_complete_version_counts(spark, tmp_path):
     _, existing = frames(spark)
     path = str(tmp_path / "state")
-    for _ in range(2):
-        write_state(existing, path, buckets=4)
-    read = spark.read.parquet(path).select("ns", "name", "payload", "owner")
-    assert sorted(tuple(r) for r in read.collect()) == sorted(tuple(r) for r in existing.collect())
+    assert [write_state(existing, path, partitions=n) for n in (4, 3)] == [1, 2]
+    assert sorted(tuple(r) for r in read_state(spark, path).collect()) == sorted(tuple(r) for r in existing.collect())
+    # A state derived from the one that is there, and a write that did not end.
+    fewer = read_state(spark, path).where("ns = 'a'")
+    assert write_state(fewer, path) == 3
+    (tmp_path / "state" / "version=4").mkdir()
+    assert read_state(spark, path).count() == 3
+    assert write_state(fewer.limit(1), path) == 5
+    with pytest.raises(ValueError):
+        read_state(spark, str(tmp_path / "none"))

@@ -92,7 +92,27 @@ def test_large_maps_come_in_parts(spark):
     for entity in (0, 1):
         keys = [k for r in sorted_keys.where(f"entity = {entity}").orderBy("part").collect() for k in r["keys"]]
         assert keys == sorted(keys)
-    assert max(r.n_keys for r in parts) < 800
+    assert all(r.n_keys <= 200 for r in parts)
+    hot = ops.merge_layer_maps(df, ["a"], part_keys=200, bucket_rows=300)
+    assert sorted((r.entity, r.part, r.n_keys) for r in hot.collect()) == sorted((r.entity, r.part, r.n_keys) for r in parts)
+
+
+def test_a_layer_may_be_called_constant(spark):
+    people = spark.createDataFrame([(1,), (2,)], "entity long")
+    df = log(spark, (1, 1, "k", "spec", "write"), (2, 9, "k", "constant", "x"), (3, 2, "k", "constant", "own"))
+    ranks = spark.createDataFrame([("constant", 1), ("spec", 2)], "layer string, layer_rank int")
+    for order in (["constant", "spec"], ranks):
+        out = ops.resolve_layers(df, order, people, {"k": "0"}, "non_empty")
+        assert sorted((r.entity, r.value, r.layer) for r in out.collect()) == [(1, "write", "spec"), (2, "own", "constant")]
+
+
+def test_a_null_entity_is_an_entity_and_a_null_key_is_no_key(spark):
+    df = log(spark, (1, None, "k", "spec", "a"), (2, 1, None, "spec", "b"), (3, 1, "k", "spec", "c"))
+    people = spark.createDataFrame([(None,), (1,), (2,)], "entity long")
+    first = ops.first_nonempty_layer(df.where("key is not null"), ORDER, people, [("d", "x")]).collect()
+    assert {(r.entity, r.key, r.value) for r in first} == {(None, "k", "a"), (1, "k", "c"), (2, "d", "x")}
+    assert {(r.entity, r.value) for r in ops.latest_setting(df).collect()} == {(None, "a"), (1, "c")}
+    assert {(r.entity, r.n_keys) for r in ops.merge_layer_maps(df, ORDER).collect()} == {(None, 1), (1, 1)}
 
 
 def test_first_nonempty_layer_takes_whole_groups(spark):
@@ -147,7 +167,7 @@ def test_local_directories_fall_back(spark):
     env = spark.createDataFrame([(1, "/e"), (2, "/e1,/e2"), (3, None)], "entity long, text string")
     conf = spark.createDataFrame([(2, "/c"), (3, "/c1,/c1")], "entity long, text string")
     people = spark.createDataFrame([(1,), (2,), (3,), (4,)], "entity long")
-    rows, lists = local_directories(mounts, {"env": env, "conf": conf}, people, "scratch-", "/tmp/x", "scratch-")
+    rows, lists = local_directories(mounts, ["pos"], {"env": env, "conf": conf}, people, "scratch-", "/tmp/x", "scratch-")
     assert {r.entity: r.list for r in lists.collect()} == {1: "/m1,/m2", 2: "/e1,/e2", 3: "/c1,/c1", 4: "/tmp/x"}
     assert sorted((r.slot, r.value) for r in rows.where("entity = 2").collect()) == [("scratch-1", "/e1"), ("scratch-2", "/e2")]
 

@@ -4,9 +4,10 @@ from decimal import Decimal
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tiersmith import operators as ops
-from tiersmith.functions import base_name, size_mib, whole_mib
+from tiersmith.functions import base_name, quantity, size_mib, whole_mib
 
 SIZES = {
     "512m": (512, True),
@@ -154,3 +155,15 @@ def test_locations(spark):
     summary = {(r.scheme, r.route): r.n for r in ops.location_summary(rows).collect()}
     assert summary[("", "unsupported")] == 4 and sum(summary.values()) == len(LOCATIONS)
     assert df.select(base_name(df.location)).count() == len(LOCATIONS)
+
+
+def test_quantities_and_cpu_ladders(spark):
+    cases = {"500m": "0.5", "1": "1", "1.5": "1.5", "2Gi": str(2 * 2**30), "1e3": "1000", "100n": "0.0000001", ".5k": "500", "3E": str(3 * 10**18)}
+    bad = ["", " 1", "x", "1mm", "1.2.3", "m", "99999999999999E"]
+    df = spark.createDataFrame([(t,) for t in [*cases, *bad, None]], "t string")
+    got = {r.t: r.q for r in df.select("t", quantity(F.col("t")).alias("q")).collect()}
+    assert {t: got[t] for t in cases} == {t: Decimal(v) for t, v in cases.items()}
+    assert all(got[t] is None for t in [*bad, None])
+    rows = spark.createDataFrame([("2", "1", "3"), (None, "500m", None), (None, None, "x"), ("?", "1", None)], "a string, b string, l string")
+    out = ops.cpu_requests(rows, ["a", "b"], ["l"]).collect()
+    assert [(r.cpu_request, r.cpu_limit, r.cpu_ok) for r in out] == [(2, 3, True), (Decimal("0.5"), None, True), (1, None, False), (None, None, False)]

@@ -1,6 +1,6 @@
 """Column functions used by the operators; all are built-in Spark expressions."""
 
-from tiersmith.functions.numbers import parse_integer
+from tiersmith.functions.numbers import parse_integer, quantity
 from tiersmith.functions.presence import PRESENCE_RULES, is_present, ladder
 from tiersmith.functions.sizes import overhead_mib, size_mib, whole_mib
 from tiersmith.functions.text import (
@@ -22,6 +22,7 @@ __all__ = [
     "location_scheme",
     "overhead_mib",
     "parse_integer",
+    "quantity",
     "size_mib",
     "strip_newlines",
     "unescape",
