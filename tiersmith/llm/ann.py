@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut
+from tiersmith.llm.common import cut, prepare
 from tiersmith.llm.pivots import matrix, nearest, pivots_of, sample_vectors, usable
 
 PIVOTS = 256
@@ -111,6 +111,7 @@ def search(
     the query's are not candidates. Pivots come from a sample of ``n_pivots``
     rows; every row is indexed.
     """
+    prepare(df.sparkSession)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks"))
     rows = cut(rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector")))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))

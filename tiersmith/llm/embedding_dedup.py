@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut
+from tiersmith.llm.common import cut, prepare
 from tiersmith.llm.components import components, stars
 from tiersmith.llm.pivots import matrix, nearest, pivots_of, sample_vectors, usable
 
@@ -101,6 +101,7 @@ def near_embeddings(
     Found links are exact; a link is missed only if its two vectors share fewer
     than ``shared`` of their ``prefix`` nearest pivots.
     """
+    prepare(df.sparkSession)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     rows = rows.withColumn("ok", usable(F.col("vector")) & F.col("label").isNotNull())
     good = rows.where("ok")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import END, cut, line_stream, mix, powers, prefix_hash, sorted_groups, span_hash, word_spans
+from tiersmith.llm.common import END, cut, line_stream, mix, powers, prefix_hash, prepare, sorted_groups, span_hash, word_spans
 
 MIN_WORDS = 10
 #: Order of lines: document id, hash of the document, line number.
@@ -136,6 +136,7 @@ def removed_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     first; documents of one id are ordered by a hash, and rows equal in id and
     text count as one, so their lines stand or go together.
     """
+    prepare(df.sparkSession)
     docs = _identified(df, doc_id, text)
     place = F.struct(*PLACE)
     lines = cut(line_table(docs))

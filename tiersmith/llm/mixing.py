@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut
+from tiersmith.llm.common import cut, prepare
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 1_000_000
@@ -78,13 +78,18 @@ def split_quotas(units: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def _fitting(rows: pd.DataFrame) -> pd.DataFrame:
-    """Keys, in order, of the rows that still fit into the room that earlier ones leave."""
+    """Keys, in order, of the rows that still fit into the room that earlier ones
+    leave, and the smallest other row if the room is nearer with it."""
     rows = rows.sort_values("_key")
-    room, taken = float(rows["room"].iloc[0]), []
+    room, taken, left = float(rows["room"].iloc[0]), [], []
     for key, size in zip(rows["_key"], rows["size"], strict=True):
         if size <= room:
             room -= size
             taken.append(key)
+        else:
+            left.append((size, key))
+    if left and min(left)[0] < 2 * room:
+        taken.append(min(left)[1])
     return pd.DataFrame({"idx": rows["idx"].iloc[0], "_key": taken})
 
 
@@ -116,12 +121,13 @@ def mix(
     """``df`` with size, source_size, target and ``shards``, the shard of each copy that the mix takes.
 
     A row is taken whole: not at all, or once for each entry of ``shards``, at
-    most ``ceil(most)`` times. A source's taken words stay below its target by
-    less than the smallest row of the block in which its last pass ends; rows
-    that are equal in source, id and text stay together. A null text has size 0; a null source is a source of its own; rows
+    most ``ceil(most)`` times. A source's taken words miss its target by half of
+    the smallest row at most that is left in the block in which its last pass
+    ends; rows that are equal in source, id and text stay together. A null text has size 0; a null source is a source of its own; rows
     of size 0 are taken like others. An empty table gives an empty table. The
     new columns replace columns of their names.
     """
+    prepare(df.sparkSession)
     new = ("size", "source_size", "target", "shards")
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(row_id).cast("string"), F.xxhash64(F.col(text))), 1)

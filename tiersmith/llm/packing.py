@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut
+from tiersmith.llm.common import cut, prepare
 from tiersmith.llm.tokens import encoder
 
 RANK_ROWS = 1_000_000
@@ -94,6 +94,7 @@ def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id:
     A document of more than ``capacity`` ids is cut into pieces of that size;
     what doesn't fill one is the first piece. A null or empty text is the end id alone.
     """
+    prepare(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
 

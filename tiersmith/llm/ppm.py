@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import END, blocked, mix, prefix_hash, remainder, sorted_groups, span_hash, token_stream, word_spans
+from tiersmith.llm.common import END, blocked, mix, prefix_hash, prepare, remainder, sorted_groups, span_hash, token_stream, word_spans
 from tiersmith.llm.exchange import MESSAGE, ask, by_bucket, message_table, messages, opened
 
 ORDER = 5
@@ -250,6 +250,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out_of
     remainder is taken. Repeated rows are learned from and scored each for itself.
     Without training rows all bytes are equally likely.
     """
+    prepare(df.sparkSession)
     rows, blocks = blocked(df, doc_id, text, block_bytes)
     rows = rows.withColumn("held", remainder(F.col("doc_id"), held_out_of) == 0)
     pairs = pair_counts(rows.where("not held"))

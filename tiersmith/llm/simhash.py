@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut, sorted_groups, token_stream, word_spans
+from tiersmith.llm.common import cut, prepare, sorted_groups, token_stream, word_spans
 from tiersmith.llm.components import components, stars
 
 SEED = 42
@@ -57,6 +57,7 @@ def simhash(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprints(df: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint as a signed 64-bit integer) of every row; a text without words has 0."""
+    prepare(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def compute(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

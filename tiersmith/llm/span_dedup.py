@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import blocked, mix, powers, prefix_hash, sorted_groups, span_hash, string_buffer
+from tiersmith.llm.common import blocked, mix, powers, prefix_hash, prepare, sorted_groups, span_hash, string_buffer
 from tiersmith.llm.exchange import by_bucket, opened, opened_keys, shut, shut_keys
 from tiersmith.llm.run_index import RunIndex
 
@@ -338,6 +338,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, do
     their texts, and of rows equal in both the first in any order stays.
     ``anchor`` is the length of the strings that the blocks compare first.
     """
+    prepare(df.sparkSession)
     rows, blocks = blocked(df, doc_id, text, block_bytes)
     buckets = min(2 * blocks, 1 << 16)
     asked = rows.groupBy("block").applyInArrow(_asking(length, anchor, buckets), QUESTION)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import text_bytes
+from tiersmith.llm.common import prepare, text_bytes
 from tiersmith.llm.tokens import encoder, id_lists
 
 PART_BYTES = 32 << 20
@@ -35,6 +35,7 @@ def encode_documents(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "
     The texts are range-partitioned by id, so each task encodes a run of
     documents and its output needs no further shuffle.
     """
+    prepare(df.sparkSession)
     parts = max(1, -(-text_bytes(df, text) // part_bytes))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
@@ -117,6 +118,7 @@ def _with_start(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def checked_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): length and checksum taken from the ids that are in the files."""
+    prepare(spark)
     rows = spark.read.parquet(path).select("part", "doc_id", "ids")
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut, remainder, string_buffer
+from tiersmith.llm.common import cut, prepare, remainder, string_buffer
 from tiersmith.llm.trees import Boosted, boost, isotonic
 
 SAMPLE_ROWS = 20_000
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     labelled both ways counts as toxic. The sample is the only thing that is
     broadcast or collected: ids and labels, and a row of features for each.
     """
+    prepare(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & (remainder(F.col(doc_id), held_out_of) != 0))
     known = known.groupBy(F.col(doc_id).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).withColumn("_fold", F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(FOLDS)).cast("int"))
@@ -218,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", held_out_of: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; a null text is scored as an empty one."""
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (remainder(F.col(doc_id), held_out_of) == 0).alias("held_out"), F.col(text).cast("string").alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
