@@ -123,9 +123,10 @@ def mix(
     A row is taken whole: not at all, or once for each entry of ``shards``, at
     most ``ceil(most)`` times. A source's taken words miss its target by half of
     the smallest row at most that is left in the block in which its last pass
-    ends; rows that are equal in source, id and text stay together. A null text has size 0; a null source is a source of its own; rows
-    of size 0 are taken like others. An empty table gives an empty table. The
-    new columns replace columns of their names.
+    ends; rows that are equal in source, id and text stay together. A null text
+    has size 0; a null source is a source of its own; rows of size 0 are taken
+    like others. An empty table gives an empty table. The new columns replace
+    columns of their names.
     """
     prepare(df.sparkSession)
     new = ("size", "source_size", "target", "shards")
@@ -161,11 +162,13 @@ def mix(
     quotas = split_quotas(units.groupBy("idx").agg(F.count("*").alias("quota")), levels, seed)
     runs = Window.partitionBy("idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     quotas = quotas.withColumn("upto", F.sum("quota").over(runs))
-    quotas = quotas.select("idx", "shard", (F.col("upto") - F.col("quota")).alias("first"), "upto")
     drawn = Window.partitionBy("idx").orderBy(F.xxhash64(F.lit(seed + 1), "idx", "block", "pass"), "block", "pass")
     ranked = units.withColumn("rank", F.row_number().over(drawn) - 1)
-    dealt = ranked.alias("u").join(quotas.alias("q"), (F.col("u.idx") == F.col("q.idx")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto")))
-    dealt = dealt.groupBy(F.col("u.idx").alias("_idx"), F.col("block").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("pass", F.col("shard").cast("int").alias("shard")))).alias("_units"))
+    # A shard's run begins at a mark among the units; each unit takes the last mark before it.
+    marks = quotas.select("idx", (F.col("upto") - F.col("quota")).alias("rank"), F.col("shard").cast("int").alias("shard"))
+    order = Window.partitionBy("idx").orderBy("rank", F.col("block").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = ranked.unionByName(marks, allowMissingColumns=True).withColumn("shard", F.last("shard", ignorenulls=True).over(order)).where("block is not null")
+    dealt = dealt.groupBy(F.col("idx").alias("_idx"), F.col("block").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("_units"))
 
     ends = targets.join(last.select("i", "bl"), F.col("idx") == F.col("i"), "left")
     ends = ends.select(*[F.col(c).alias(f"_{c}") for c in ("source", "idx", "passes", "bl", "blocks", "source_size", "target")])
