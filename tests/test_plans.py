@@ -43,6 +43,24 @@ def test_one_shuffle_resolves_all_layers(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_local_directories_take_one_window_and_filter_in_the_scan(spark, sf_dir):
+    plan = physical(QUERIES["local_directories"](spark, sf_dir))
+    assert plan.count("Window [") == 1
+    assert "Contains" in plan or "contains" in plan
+
+
+def test_mounts_without_the_prefix_are_not_shuffled(spark, sf_dir):
+    plan = physical(QUERIES["match_split_residual"](spark, sf_dir))
+    assert "Union" in plan
+    passed = plan[plan.index("NOT coalesce(StartsWith") if "NOT coalesce(StartsWith" in plan else plan.rindex("Filter") :]
+    assert "Exchange" not in passed.split("FileScan")[0]
+
+
+def test_numbers_of_ordinary_groups_are_a_plain_window(spark, sf_dir):
+    plan = physical(QUERIES["number_rows"](spark, sf_dir))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 @pytest.fixture
 def small_skew(spark):
     """Settings under which a join of some MB is too large to broadcast, and a
