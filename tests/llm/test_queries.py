@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from oracle import assert_same, duck
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
@@ -25,6 +26,11 @@ def test_query_covers_its_table(spark, sf_dir, name):
         assert {r[key] for r in rows} == ids
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_oracle(spark, sf_dir, name):
+    assert assert_same(QUERIES[name](spark, sf_dir), duck(sf_dir), ORACLE_SQL[name]) > 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["drop_toxic", "drop_lines", "drop_near_copies", "mix_sources", "pack_sequences"]

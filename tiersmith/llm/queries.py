@@ -84,3 +84,24 @@ def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents without strings of 100 bytes that start earlier."""
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# The other queries use hashes, tokens, learned models or random draws that SQL lacks, or would compare all strings.
+ORACLE_SQL["op2_embedding_dedup"] = """
+    with recursive good as (
+        select vec_id, label, cast(embedding as double[]) as e from embeddings
+        where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+          and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as (
+        select a.vec_id as a, b.vec_id as b from good a join good b
+            on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+        where list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach as (
+        select vec_id as id, vec_id as other from embeddings
+        union
+        select r.id, l.b from reach r join links l on l.a = r.other),
+    least as (select id, min(other) as component_id from reach group by id),
+    degree as (select a, count(*) as n_links from links group by a)
+    select v.vec_id, coalesce(n_links, 0) as n_links, component_id, v.vec_id = component_id as kept
+    from embeddings v join least on least.id = v.vec_id left join degree on degree.a = v.vec_id
+"""
