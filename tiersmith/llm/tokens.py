@@ -1,25 +1,25 @@
-"""Token ids of texts by the tokenizers library, with its work kept to distinct pieces.
-
-The pre-tokenizer of a byte-level BPE cuts a text into pieces, and each piece is
-encoded by itself. Pieces repeat far more often than texts do, so a worker asks
-the library once for a piece and keeps its ids as bytes. A text with characters
-for which the cutting rule of the library could differ from the pattern here
-goes to the library whole, as does one with a special token in it.
+"""Token ids of texts by the tokenizers library, which encodes each distinct word once.
+
+The pre-tokenizer of a byte-level BPE starts a new piece at every blank that a
+word follows, whatever stands before it, and each piece is encoded by itself. So
+a text is cut at its blanks, a worker keeps the ids of the words it has seen,
+and new words go to the library in one string: the bytes that each id stands for
+show where a word's ids end. Texts for which this does not hold (blanks before
+other white space, special tokens, other kinds of tokenizers) go to it whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 import pyarrow as pa
 
-# The pre-tokenizer's pattern, for the characters that SAFE admits: there a letter is a word character that is no digit.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-# ASCII, Latin letters, general punctuation; no control characters, superscripts or fractions.
-UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡§«»¿À-ɏ‐-‧]")
-KEEP_PIECES = 400_000
+LOOSE = re.compile(r" (?:\s|\Z)")
+MARKS = ".,;:!?"
+KEEP_WORDS = 800_000
 
 
 def default_tokenizer() -> str:
@@ -39,49 +39,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        self.pieces: dict[str, bytes] = {}
-        self.simple = self._is_byte_level(path)
-
-    @staticmethod
-    def _is_byte_level(path: str) -> bool:
-        import json
-
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        return bool(plain and spec.get("normalizer") is None and (spec.get("model") or {}).get("type") == "BPE")
+        self.by_word = bool(plain and spec.get("normalizer") is None and (spec.get("model") or {}).get("type") == "BPE")
+        vocab = self.tokenizer.get_vocab()  # a byte-level token has a character for each byte
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        self.n_bytes[list(vocab.values())] = [len(t) for t in vocab]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of words, each with a blank before it."""
+        with_blank = [" " + w for w in words]
+        (ids,) = self._whole(["".join(with_blank)])
+        ends = np.cumsum(self.n_bytes[np.frombuffer(ids, dtype="<u4")])
+        wanted = np.cumsum([len(w.encode()) for w in with_blank])
+        at = np.searchsorted(ends, wanted)
+        if at[-1] >= len(ends) or not np.array_equal(ends[at], wanted):
+            self.words.update(zip(words, self._whole(with_blank), strict=True))
+            return
+        marks = [0, *(4 * (at + 1)).tolist()]
+        self.words.update(zip(words, (ids[a:b] for a, b in zip(marks, marks[1:], strict=False)), strict=True))
+
+    def _learn_all(self, new: set[str]) -> None:
+        """Keep the ids of new words; one of letters before marks is two pieces, and only the letters may be new."""
+        whole, parts = set(), []
+        for word in new:
+            core = word.rstrip(MARKS)
+            if len(core) < len(word) and core.isalpha() and max(core) < "\u0250":
+                parts.append((word, core, word[len(core) :]))
+                word = core
+            if word not in self.words:
+                whole.add(word)
+        if whole:
+            self._learn(list(whole))
+        tails = {tail for _, _, tail in parts}.difference(self.tails)
+        self.tails.update(zip(tails, self._whole(list(tails)), strict=True))
+        self.words.update((word, self.words[core] + self.tails[tail]) for word, core, tail in parts)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty."""
-        out: list[bytes] = []
+        if len(self.words) > KEEP_WORDS:
+            self.words.clear()
+            self.tails.clear()
+        known = self.words
+        cuts: list[list[str] | None] = []
+        new: set[str] = set()
         for text in texts:
-            if not text:
-                out.append(b"")
-            elif not self.simple or UNSAFE.search(text) or (self.special and self.special.search(text)):
-                out.append(self._encode([text])[0])
+            if not text or not self.by_word or LOOSE.search(text) or (self.special and self.special.search(text)):
+                cuts.append(None)
             else:
-                pieces = PIECES.findall(text)
-                try:
-                    out.append(b"".join(map(self.pieces.__getitem__, pieces)))
-                except KeyError:
-                    if len(self.pieces) > KEEP_PIECES:
-                        self.pieces.clear()
-                    new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
-                    self.pieces.update(zip(new, self._encode(new), strict=True))
-                    out.append(b"".join(map(self.pieces.__getitem__, pieces)))
-        return out
+                words = text.split(" ")
+                new.update(words[1:])
+                cuts.append(words)
+        new.difference_update(known)
+        self._learn_all(new)
+        whole = self._whole([(c[0] if c else text or "") for c, text in zip(cuts, texts, strict=True)])
+        get = known.__getitem__
+        return [b"".join([first, *map(get, c[1:])]) if c else first for c, first in zip(cuts, whole, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker; its pieces stay for the next task."""
+    """The encoder of this worker; its words stay for the next task."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
