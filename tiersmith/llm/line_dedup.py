@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tiersmith.llm.common import END, cut, line_stream, mix, powers, prefix_hash, prepare, sorted_groups, span_hash, word_spans
 
 MIN_WORDS = 10
+#: Rows, of 50 bytes or less, that are broadcast rather than that texts are shuffled to them.
+BROADCAST_ROWS = 1_000_000
 #: Order of lines: document id, hash of the document, line number.
 PLACE = ("doc_id", "row", "line")
 
@@ -54,16 +56,20 @@ class Lines:
         self.by_words = span_hash(self.sums, self.first, self.last)
         self.by_bytes = span_hash(prefix_hash(data), *self.text_spans)
 
-    def half_keys(self, lines: np.ndarray) -> list[np.ndarray]:
-        """Keys of the halves of the given lines, as the shorter and as the longer line of a pair."""
-        out = []
+    def half_keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lines and keys of their halves.
+
+        Of L words the first L // 2 and the others are the halves. The longer
+        line of a pair also has to match the halves of a line of one word less,
+        which differ in the first half if L is even, else in the second.
+        """
         first, last, size = self.first[lines], self.last[lines], self.size[lines]
-        for shorter in (size, size - 1):
-            half = shorter // 2
-            tag = (shorter * 2).astype(_U)
-            out.append(mix(span_hash(self.sums, first, first + half) + mix(tag)))
-            out.append(mix(span_hash(self.sums, last - (shorter - half), last) + mix(tag + _U(1))))
-        return out
+        half, even = size // 2, size % 2 == 0
+        heads = [(np.ones(len(lines), bool), half), (even, half - 1)]
+        tails = [(np.ones(len(lines), bool), size - half), (~even, size - half - 1)]
+        out = [(lines[m], mix(span_hash(self.sums, first[m], first[m] + n[m]))) for m, n in heads]
+        out += [(lines[m], mix(span_hash(self.sums, last[m] - n[m], last[m]) + _U(1))) for m, n in tails]
+        return np.concatenate([x for x, _ in out]), np.concatenate([k for _, k in out])
 
     def deletions(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Line, place of the deleted word (-1: none) and two hashes of what is left, of all variants."""
@@ -105,16 +111,16 @@ def line_table(df: DataFrame) -> DataFrame:
 
 
 def half_table(df: DataFrame, min_words: int) -> DataFrame:
-    """(key, h1, h2) of the halves of every line of ``min_words`` words or more."""
+    """(key, h1) of the halves of every line of ``min_words`` words or more, once for each batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             x = Lines(batch.column("text"))
-            lines = np.flatnonzero(x.size >= min_words)
-            for keys in x.half_keys(lines):
-                yield pa.RecordBatch.from_arrays([_signed(keys), _signed(x.by_words[lines]), _signed(x.by_bytes[lines])], names=["key", "h1", "h2"])
+            lines, keys = x.half_keys(np.flatnonzero(x.size >= min_words))
+            both = np.unique(np.stack((keys, x.by_words[lines]), axis=1), axis=0) if len(keys) else np.zeros((0, 2), _U)
+            yield pa.RecordBatch.from_arrays([_signed(np.ascontiguousarray(c)) for c in both.T], names=["key", "h1"])
 
-    return df.mapInArrow(run, "key long, h1 long, h2 long")
+    return df.mapInArrow(run, "key long, h1 long")
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -143,13 +149,15 @@ def removed_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     unique = cut(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")))
 
     halves = half_table(docs, min_words)
-    who = F.struct("h1", "h2")
-    shared = halves.groupBy("key").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("key")
-    likely = halves.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    chosen = likely.join(unique, ["h1", "h2"]).select("h1", "h2", "place.*")
-    by_doc = chosen.groupBy("doc_id", "row").agg(F.collect_list("line").alias("lines"))
+    shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    likely = halves.join(shared, "key", "left_semi").select("h1").distinct()
+    chosen = unique.join(likely, "h1", "left_semi").select("place.*")
+    by_doc = cut(chosen.groupBy("doc_id", "row").agg(F.collect_list("line").alias("lines")))
+    n_docs, n_lines = by_doc.agg(F.count("*"), F.sum(F.size("lines"))).first()
+    if max(n_docs, n_lines or 0) <= BROADCAST_ROWS:  # small enough to send to the documents; else these are shuffled
+        by_doc = F.broadcast(by_doc)
     key = [docs["doc_id"].eqNullSafe(by_doc["doc_id"]), docs["row"] == by_doc["row"]]
-    texts = docs.join(by_doc, key).select(docs["doc_id"], docs["row"], "lines", "text").dropDuplicates(["doc_id", "row"])
+    texts = docs.join(by_doc, key).select(docs["doc_id"], docs["row"], "lines", "text")
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -164,7 +172,8 @@ def removed_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
             take = pa.array(x.row[chosen])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(x.number[chosen], pa.int32()), _signed(x.by_words[chosen]), _signed(x.by_bytes[chosen]), pa.array(words, pa.string())], names=["doc_id", "row", "line", "h1", "h2", "words"])
 
-    fetched = cut(texts.mapInArrow(fetch, "doc_id long, row long, line int, h1 long, h2 long, words string"))
+    fetched = texts.mapInArrow(fetch, "doc_id long, row long, line int, h1 long, h2 long, words string")
+    fetched = cut(fetched.dropDuplicates([*PLACE]))  # documents in two copies
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -174,11 +183,14 @@ def removed_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
             yield pa.RecordBatch.from_arrays([_signed(v1), _signed(v2), pa.array(at, pa.int32()), *[batch.column(c).take(take) for c in PLACE]], names=["v1", "v2", "at", *PLACE])
 
     variants = fetched.mapInArrow(emit, "v1 long, v2 long, at int, doc_id long, row long, line int").withColumn("place", place).drop(*PLACE)
+    # Most keys occur once. The others are few, and only their rows travel whole.
+    twice = variants.groupBy("v1").agg(F.count("*").alias("n")).where("n > 1").select("v1")
+    variants = cut(variants.join(twice, "v1", "left_semi"))
     # Of the lines that share a key, the earliest whole one (at = -1) and the earliest for each deleted place.
     firsts = variants.groupBy("v1", "v2", "at").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    by_key = firsts.groupBy("v1", "v2").agg(F.min(F.when(F.col("at") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("cut"), F.sum("n").alias("n"))
+    by_key = variants.groupBy("v1", "v2").agg(F.min(F.when(F.col("at") < 0, F.col("place"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("place"))).alias("cut"))
     same_place = firsts.where("n > 1").select("v1", "v2", "at", "first")
-    other = by_key.where("n > 1 and whole is not null and cut is not null").select("v1", "v2", "whole", "cut")
+    other = by_key.where("whole is not null and cut is not null")
     near = variants.join(same_place, ["v1", "v2", "at"]).select("place", F.col("first").alias("witness")).where("witness < place")
     added = variants.join(other, ["v1", "v2"]).select("place", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("witness")).where("witness < place")
     pairs = near.unionAll(added).groupBy("place").agg(F.min("witness").alias("witness"))
