@@ -32,6 +32,7 @@ ORDER = 5
 DISCOUNT = 0.4
 BLOCK_BYTES = 16 << 20
 CHUNK_ROWS = 1 << 21
+MOST_BUCKETS = 4_096  # each block writes to each of them; there are not many more pairs of bytes in use
 GRAMS, WORDS = 0, 1
 _U = np.uint64
 
@@ -254,7 +255,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out_of
     rows, blocks = blocked(df, doc_id, text, block_bytes)
     rows = rows.withColumn("held", remainder(F.col("doc_id"), held_out_of) == 0)
     pairs = pair_counts(rows.where("not held"))
-    buckets = min(2 * blocks, 1 << 16)
+    buckets = min(2 * blocks, MOST_BUCKETS)
     sent = rows.groupBy("block").applyInArrow(_sending(order, buckets), MESSAGE)
     replies = ask(sent, blocks, _answer(order, pairs), _value_type).withColumn("block", F.col("node").cast("int"))
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scoring(order, buckets), SCORED)
