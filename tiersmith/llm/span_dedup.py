@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tiersmith.llm.common import blocked, mix, powers, prefix_hash, prepare, sorted_groups, span_hash, string_buffer
 from tiersmith.llm.exchange import by_bucket, opened, opened_keys, shut, shut_keys
@@ -40,6 +39,7 @@ ANCHOR = 32
 BLOCK_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20
 MANY_RUNS = 4_096
+MEETS_PER_BLOCK = 8  # an index needs some hundred bytes of memory for each byte that it holds
 SAME, ANCHORS = 0, 1  # kinds of questions
 GONE, SHARED, CROWDED = 1, 2, 3  # answers
 COVER, RUNS = 0, 1  # kinds of rows that go on
@@ -149,8 +149,9 @@ def _questions(runs: Runs, ids: np.ndarray, buckets: int) -> tuple[dict, list[tu
     for kind, (key, extra, number_of) in asked.items():
         place, edges = by_bucket((mix(key.copy()) % _U(buckets)).astype(np.int64), buckets)
         for bucket, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
-            i = place[x:y]
-            out.append((kind, bucket, shut_keys(key[i]), shut(extra[i]), shut(number_of[i])))
+            if x < y:  # so that there are never more messages than keys
+                i = place[x:y]
+                out.append((kind, bucket, shut_keys(key[i]), shut(extra[i]), shut(number_of[i])))
     anchor_of = np.cumsum(np.isin(np.arange(len(first)), heads)) - 1 if len(first) else heads
     return {"first": first, "group": group, "same": same, "by_anchor": by_anchor, "anchor_of": anchor_of, "keys": {k: v[0] for k, v in asked.items()}}, out
 
@@ -159,7 +160,7 @@ def _asking(length: int, anchor: int, buckets: int) -> Callable[[tuple, pa.Table
     def run(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table)
         _, rows = _questions(block.runs(length, anchor), block.ids, buckets)
-        kind, bucket, keys, extra, number = zip(*rows, strict=True)
+        kind, bucket, keys, extra, number = zip(*rows, strict=True) if rows else ((),) * 5
         n = len(rows)
         return pa.table({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "key": pa.array(keys, pa.binary()), "extra": pa.array(extra, pa.binary()), "number": pa.array(number, pa.binary())})
 
@@ -210,7 +211,7 @@ def _sending_on(length: int, anchor: int, buckets: int, meets: int) -> Callable[
             keys = known["keys"][kind]
             place, _ = by_bucket((mix(keys.copy()) % _U(buckets)).astype(np.int64), buckets)
             got[kind] = np.zeros(len(keys), np.uint8)
-            got[kind][place] = np.concatenate([opened(x, np.uint8) for x in mine["answer"].to_pylist()])
+            got[kind][place] = np.concatenate([np.zeros(0, np.uint8), *(opened(x, np.uint8) for x in mine["answer"].to_pylist())])
         first, group = known["first"], known["group"]
         gone = np.zeros(len(first), dtype=bool)
         gone[known["same"]] = got[SAME] == GONE
@@ -340,10 +341,11 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, do
     """
     prepare(df.sparkSession)
     rows, blocks = blocked(df, doc_id, text, block_bytes)
-    buckets = min(2 * blocks, 1 << 16)
+    buckets = 2 * blocks
     asked = rows.groupBy("block").applyInArrow(_asking(length, anchor, buckets), QUESTION)
     answers = asked.groupBy("kind", "bucket").applyInArrow(_answering(many), ANSWER)
-    onward = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sending_on(length, anchor, buckets, blocks), ONWARD)
+    meets = MEETS_PER_BLOCK * blocks
+    onward = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sending_on(length, anchor, buckets, meets), ONWARD)
     covered = onward.groupBy("meet").applyInArrow(_meeting(length), COVERED)
     schema = RESULT + (", kept binary" if keep_text else "")
     return rows.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(_cutting(keep_text), schema)
