@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tiersmith.session import ensure_checkpoint_dir
 
 # Rows of one Arrow batch; long documents make a batch of many rows too large for a worker.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 400
 
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACE, END = 0x20, 0x0A
@@ -31,8 +31,9 @@ _IS_WHITE[list(WHITE)] = True
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and Python workers that find this package where the driver did."""
+    """Small Arrow batches, and Python workers that give memory back and find this package where the driver did."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.sparkContext.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

@@ -19,7 +19,7 @@ import pyarrow as pa
 
 LOOSE = re.compile(r" (?:\s|\Z)")
 MARKS = ".,;:!?"
-KEEP_WORDS = 800_000
+KEEP_WORDS = 300_000
 
 
 def default_tokenizer() -> str:
