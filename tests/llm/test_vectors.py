@@ -59,6 +59,22 @@ def test_chunks_change_nothing(spark):
     assert one == many
 
 
+def crowd(n, dim, cosine, rng):
+    """Vectors of about this cosine with each other, none equal."""
+    return rng.normal(size=dim) / np.sqrt(dim) + rng.normal(size=(n, dim)) * np.sqrt((1 / cosine - 1) / dim)
+
+
+def test_links_of_a_crowd_are_found(spark):
+    rng = np.random.default_rng(6)
+    for cosine in (0.94, 0.97):
+        x = np.concatenate((crowd(600, 64, cosine, rng), rng.normal(size=(1200, 64)))).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist(), 0, 0, 0) for i, v in enumerate(x)], SCHEMA).repartition(4)
+        unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+        near = (unit @ unit.T >= 0.93).sum() - len(x)
+        got = embedding_dedup.near_embeddings(df, 0.93).agg(F.sum("n_links"), F.count_if("kept")).first()
+        assert 0.99 * near <= got[0] <= near and got[1] == 1201
+
+
 def exact(x, ids, q, k):
     score = x @ x[q]
     order = sorted((i for i in range(len(x)) if ids[i] != ids[q]), key=lambda i: (-score[i], ids[i]))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tiersmith.llm.common import cut, prepare
 from tiersmith.llm.components import components, stars
-from tiersmith.llm.pivots import matrix, nearest, pivots_of, sample_vectors, usable
+from tiersmith.llm.pivots import SAMPLE_ROWS, matrix, nearest, pivots_of, sample_vectors, spread, usable
 
 PIVOTS = 128
 PREFIX = 8
@@ -97,7 +97,8 @@ def near_embeddings(
     null, empty, zero, or holds a null or a number that is not finite links with
     nothing, as do vectors of different lengths. Rows that repeat an id count
     each for itself; a null id names no component unless it holds nothing else.
-    The pivots come from a sample of ``n_pivots`` vectors; all rows are indexed.
+    The pivots lie apart in a sample of distinct vectors, so that a group of near
+    copies owns few of them however large it is; all rows are indexed.
     Found links are exact; a link is missed only if its two vectors share fewer
     than ``shared`` of their ``prefix`` nearest pivots.
     """
@@ -107,7 +108,7 @@ def near_embeddings(
     good = rows.where("ok")
     classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
-    sample = sample_vectors(classes, "first", "vector", n_pivots)
+    sample = spread(sample_vectors(classes, "first", "vector", SAMPLE_ROWS), n_pivots)
     kinds = {f.name: f.dataType for f in classes.schema}
     schema = f"class long, label {kinds['label'].simpleString()}, vector {kinds['vector'].simpleString()}, n long, dim int, order array<short>"
     described = classes.select("class", "label", "vector", "n").mapInArrow(_post(sample, n_pivots, prefix), schema)

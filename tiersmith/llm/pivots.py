@@ -7,6 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that pivots are chosen from, and the largest cosine between two pivots.
+SAMPLE_ROWS = 2_048
+APART = 0.8
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector is neither null, empty nor zero and holds only finite numbers. Never null."""
@@ -29,6 +33,28 @@ def pivots_of(sample: list[list[float]], dim: int, n: int, seed: int = 5) -> np.
     return found / np.linalg.norm(found, axis=1, keepdims=True)
 
 
+def spread(sample: list[list[float]], n: int) -> list[list[float]]:
+    """``n`` vectors of a sample at most for each dimension, chosen to lie apart.
+
+    Each is the one that is farthest from those before it. None has a cosine
+    above ``APART`` with another, so a crowded group owns one or a few of them,
+    whatever its share of the sample.
+    """
+    out = []
+    for dim in sorted({len(v) for v in sample}):
+        own = [v for v in sample if len(v) == dim]
+        unit = np.array(own, dtype=np.float64)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        closest, at = np.full(len(own), -np.inf), 0
+        for _ in range(min(n, len(own))):
+            out.append(own[at])
+            closest = np.maximum(closest, unit @ unit[at])
+            at = int(np.argmin(closest))
+            if closest[at] > APART:
+                break
+    return out
+
+
 def nearest(vectors: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the ``n`` nearest pivots of each vector, nearest first; ties to the smaller number."""
     sim = vectors @ pivots.T
