@@ -103,6 +103,23 @@ def test_search_is_exact_over_all_and_good_over_a_part(spark):
         assert hits >= least * 20 * len(got)
 
 
+def test_search_among_many_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 32)) * 0.5
+    copies = sorted(rng.permutation(1500)[:500].tolist())
+    x[copies] = x[0] * 2  # longer than the others: the copies are nearest to each other
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0, 0) for i, v in enumerate(x)], SCHEMA).repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20, least=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    rows = x.astype(np.float64)
+    hits = [len(set(exact(rows, range(len(x)), q, 20)) & set(got[q])) for q in got if q not in copies]
+    assert len(got) == 75 and 30 < len(hits) < 70 and np.mean(hits) >= 0.95 * 20
+    for q in set(got) & set(copies):
+        assert got[q] == [i for i in copies if i != q][:20]
+
+
 def test_search_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, 0, 0), (1, [0.5, 0.0], 1, 0, 0), (2, [0.5, 0.0], 1, 0, 0), (None, [9.0, 9.0], 1, 0, 0)], SCHEMA)
     got = ann.search(df, F.col("vec_id") == 0, 20).orderBy("rank").collect()
