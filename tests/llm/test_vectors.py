@@ -120,6 +120,18 @@ def test_search_among_many_copies(spark):
         assert got[q] == [i for i in copies if i != q][:20]
 
 
+def test_search_of_repeated_rows(spark):
+    x = vectors(200, seed=9)
+    df = frame(spark, x, [0] * len(x))
+    again = df.union(df.where("vec_id % 20 = 0")).union(df.where("vec_id % 7 = 0"))
+    once, more = (sorted(tuple(r) for r in ann.search(d, F.col("vec_id") % 20 == 0, 20, part=1.0, shard_rows=60).collect()) for d in (df, again))
+    assert [r[:3] for r in once] == [r[:3] for r in more]
+    assert np.allclose([r[3] for r in once], [r[3] for r in more])
+    shared = df.union(df.where("vec_id = 20").selectExpr("vec_id", "transform(embedding, x -> cast(-x as float))", "label", "pivot", "class"))
+    got = ann.search(shared, F.col("vec_id") == 20, 20, part=1.0).collect()
+    assert sorted(r.rank for r in got) == sorted([*range(1, 21)] * 2) and all(r.vec_id != 20 for r in got)
+
+
 def test_search_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, 0, 0), (1, [0.5, 0.0], 1, 0, 0), (2, [0.5, 0.0], 1, 0, 0), (None, [9.0, 9.0], 1, 0, 0)], SCHEMA)
     got = ann.search(df, F.col("vec_id") == 0, 20).orderBy("rank").collect()

@@ -115,6 +115,8 @@ def search(
     least, are ranked by inner product in double precision; ``part=1`` ranks all,
     which is exact. Copies of a vector share its place in the index.
     Ties go to the smaller id. Rows with the id of the query are not candidates.
+    Rows equal in id and vector are one row, as a query, if one of them is, and as
+    a candidate; rows that share only the id are queries and candidates each.
     Rows without an id, vectors that are null, empty, zero or hold a null or a
     number that is not finite take no part, and vectors of other lengths than
     the query's are not candidates. Pivots lie apart in a sample of distinct
@@ -122,10 +124,11 @@ def search(
     """
     prepare(df.sparkSession)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks"))
-    rows = cut(rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector")))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id", "vector").agg(F.max("asks").alias("asks"))
+    rows = cut(rows.withColumn("dim", F.size("vector")))
     # Of equal vectors only the smallest ids can be among the best: k, and one that may be the query's own.
     smallest = Window.partitionBy("vector").orderBy("vec_id")
-    few = rows.groupBy("dim", "vector", "vec_id").agg(F.lit(1)).withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
+    few = rows.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
     classes = cut(few.groupBy("dim", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("first", F.col("ids")[0]))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     n, longest = classes.agg(F.count("*"), F.max(norm)).first()
