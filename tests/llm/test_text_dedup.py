@@ -80,6 +80,16 @@ def test_removed_lines(spark):
     assert got == brute_lines(rows, 5)
 
 
+def test_short_near_lines_go_by_default(spark):
+    rng = random.Random(12)
+    lines = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(250)]
+    rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(50)]
+    rows += [(60, "it was a cold morning"), (61, "it was a warm morning"), (62, "it was a morning"), (63, "a cold morning"), (64, "a warm morning")]
+    got = {(r.doc_id, r.line) for r in line_dedup.removed_lines(documents(spark, rows)).collect()}
+    assert got == brute_lines(rows, line_dedup.MIN_WORDS)
+    assert {(61, 0), (62, 0)} <= got and (64, 0) not in got
+
+
 def test_drop_lines_keeps_rows_and_columns(spark):
     rows = [(2, "one\ntwo"), (1, "two"), (1, "two"), (None, "three"), (4, None), (5, "three\n\nfour")]
     df = documents(spark, rows, extra=["n_chars", "lines", "_gone_"])

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tiersmith.llm.common import END, cut, line_stream, mix, powers, prefix_hash, prepare, sorted_groups, span_hash, word_spans
 
-MIN_WORDS = 10
+#: Of fewer words one word is so large a part that near lines are mostly chance.
+MIN_WORDS = 4
 #: Rows, of 50 bytes or less, that are broadcast rather than that texts are shuffled to them.
 BROADCAST_ROWS = 1_000_000
 #: Order of lines: document id, hash of the document, line number.
