@@ -80,6 +80,14 @@ def test_removed_lines(spark):
     assert got == brute_lines(rows, 5)
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_drop_lines_with_ids_of_other_types(spark, kind):
+    df = documents(spark, [(1, "one\ntwo"), (2, "two\nthree"), (None, "three")]).selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    out = line_dedup.drop_lines(df)
+    assert out.schema == df.schema
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", "one\ntwo"), ("2", ""), ("None", "three")]
+
+
 def test_short_near_lines_go_by_default(spark):
     rng = random.Random(12)
     lines = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(250)]

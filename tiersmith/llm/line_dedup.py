@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiersmith.llm.common import END, cut, line_stream, mix, powers, prefix_hash, prepare, sorted_groups, span_hash, word_spans
@@ -93,10 +93,15 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _row(doc_id: str, text: str) -> tuple[Column, Column, Column]:
+    """(doc_id, row, text): the id as a long, a hash of it and the text, and the text, empty if null."""
+    number, string = F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return number.alias("doc_id"), F.xxhash64(number, string).alias("row"), string.alias("text")
+
+
 def _identified(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, row, text). Rows equal in id and text are one document in two copies."""
-    text = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), text).alias("row"), text)
+    return df.select(*_row(doc_id, text))
 
 
 def line_table(df: DataFrame) -> DataFrame:
@@ -217,9 +222,9 @@ def drop_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     null. A column ``length``, if there is one, gets the characters that are left.
     """
     gone = removed_lines(df, min_words, doc_id, text).groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_list("line").alias("_gone"))
-    row = F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    number, row, _ = _row(doc_id, text)
     marked = df.withColumn("_key", row)
-    joined = marked.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_row")), "left")
+    joined = marked.join(gone, number.eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_row")), "left")
     joined = joined.select(*[F.col(f"`{c}`") for c in df.columns], "_gone")
 
     names = df.columns
