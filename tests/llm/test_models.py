@@ -4,7 +4,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +168,12 @@ def test_toxicity_without_labels_of_both_kinds(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def test_lexicon_at_every_share_of_toxic_labels():
+    for n_toxic, n_clean in ((110, 890), (330, 670), (500, 500), (800, 200)):
+        found = toxicity.make_lexicon(Counter(rude=n_toxic // 2, plain=n_toxic), Counter(rude=1, plain=n_clean), n_toxic, n_clean)
+        assert set(found) == {"rude"} and found["rude"] > 0
+
+
 def test_disguised_words_and_second_person_are_seen():
     extract = toxicity.Extractor({"loser$": 5.0, "grumb": 4.0})
     x = extract(pa.array(["you l0s.er", "grumbling GRUMBAG!! at home", "nothing here", "", "looooser"]))

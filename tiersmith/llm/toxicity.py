@@ -58,15 +58,17 @@ def make_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) ->
 
     A term counts once for a document. It stays if the lower bound of its share
     of toxic documents (three standard errors) is above three times the usual
-    share, or above 0.3 if that is more. Its weight is the log-odds.
+    share, but at most a third of the way from it to 1, or above 0.3 if that is
+    more. Its weight is the log-odds.
     """
     usual = n_toxic / max(1, n_toxic + n_clean)
+    least = max(0.3, min(3 * usual, usual + (1 - usual) / 3))
     found = []
     for term, t in toxic.items():
         n = t + clean.get(term, 0)
         p, z2 = t / n, 9.0
         low = (p + z2 / (2 * n) - 3 * np.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-        if low >= max(0.3, 3 * usual):
+        if low >= least:
             weight = np.log((t + 0.5) / (n_toxic + 1)) - np.log((n - t + 0.5) / (n_clean + 1))
             found.append((float(low), term, float(weight)))
     found.sort(key=lambda x: (-x[0], x[1]))
