@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import ann, embedding_dedup, line_dedup, mixing, packing, ppm, simhash, span_dedup, token_store, toxicity
+from tiersmith.llm import ann, centroids, chat_format, embedding_dedup, line_dedup, mixing, packing, ppm, simhash, span_dedup, spelling, sql, token_store, toxicity
 from tiersmith.llm.common import scratch, table
 from tiersmith.llm.tokens import default_tokenizer
 
@@ -86,6 +87,30 @@ def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the words one edit away, and the forms that they are variants of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components in 40 clusters after five rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64)
+
+
+@query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts read like control strings, formatted, written and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = turns.unionByName(more).withColumn("content", chat_format.text_content(F.col("text")))
+    path = f"{scratch(spark)}/chat-{uuid.uuid4().hex}"
+    chat_format.format_chat(turns).write.parquet(path)
+    return chat_format.checked_chat(spark.read.parquet(path))
+
+
 # The other queries use hashes, tokens, learned models or random draws that SQL lacks, or would compare all strings.
 ORACLE_SQL["op2_embedding_dedup"] = """
     with recursive good as (
@@ -105,3 +130,6 @@ ORACLE_SQL["op2_embedding_dedup"] = """
     select v.vec_id, coalesce(n_links, 0) as n_links, component_id, v.vec_id = component_id as kept
     from embeddings v join least on least.id = v.vec_id left join degree on degree.a = v.vec_id
 """
+ORACLE_SQL["op11_spelling_variants"] = sql.SPELLING
+ORACLE_SQL["op12_centroids"] = sql.centroids()
+ORACLE_SQL["op13_chat_format"] = sql.chat_format()
