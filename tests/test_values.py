@@ -167,3 +167,11 @@ def test_quantities_and_cpu_ladders(spark):
     rows = spark.createDataFrame([("2", "1", "3"), (None, "500m", None), (None, None, "x"), ("?", "1", None)], "a string, b string, l string")
     out = ops.cpu_requests(rows, ["a", "b"], ["l"]).collect()
     assert [(r.cpu_request, r.cpu_limit, r.cpu_ok) for r in out] == [(2, 3, True), (Decimal("0.5"), None, True), (1, None, False), (None, None, False)]
+
+
+def test_a_table_of_spellings_neither_clashes_nor_multiplies(spark):
+    codes = spark.createDataFrame([("R", 1, "old"), ("R", 2, "old"), (None, 3, "old"), ("x", 4, "old")], "code string, _canonical int, canonical string")
+    table = spark.createDataFrame([("R", "r2"), ("R", "r1"), (None, "none")], "spelling string, canonical string")
+    got = ops.normalise_codes(codes, "code", table)
+    assert got.columns == ["code", "_canonical", "canonical"]
+    assert sorted((r._canonical, r.canonical) for r in got.collect()) == [(1, "r1"), (2, "r1"), (3, None), (4, "x")]

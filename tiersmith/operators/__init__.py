@@ -1,16 +1,20 @@
 """The operators: functions from DataFrames to DataFrames."""
 
 from tiersmith.operators.documents import broken_rows, document_lines, load_documents, render_documents
-from tiersmith.operators.joins import split_join
+from tiersmith.operators.joins import interval_join, keyed_join, split_join
+from tiersmith.operators.maintain import merge_settings, settings_state, state_writes
 from tiersmith.operators.match import (
     attach_matching,
     attached_children,
+    attached_items,
+    attached_lists,
     match_split,
     number_and_join,
     select_named_or_all,
     split_volumes,
 )
-from tiersmith.operators.ordering import PART_ROWS, hot_groups, number_rows, part_of, running_total
+from tiersmith.operators.ordering import PART_ROWS, hot_groups, number_rows, part_of, row_positions, running_total
+from tiersmith.operators.prefixes import prefix_matches
 from tiersmith.operators.quality import (
     RUNTIME_CODES,
     classify_locations,
@@ -18,7 +22,7 @@ from tiersmith.operators.quality import (
     normalise_codes,
     parse_or_quarantine,
 )
-from tiersmith.operators.reconcile import apply_plan, upsert_plan
+from tiersmith.operators.reconcile import apply_plan, reconcile, upsert_plan
 from tiersmith.operators.reshape import (
     VOLUME_OPTIONS,
     collect_sources,
@@ -47,6 +51,8 @@ __all__ = [
     "apply_plan",
     "attach_matching",
     "attached_children",
+    "attached_items",
+    "attached_lists",
     "broken_rows",
     "classify_locations",
     "collect_sources",
@@ -57,6 +63,8 @@ __all__ = [
     "extract_prefixed",
     "first_nonempty_layer",
     "hot_groups",
+    "interval_join",
+    "keyed_join",
     "latest_setting",
     "layer_usage",
     "load_documents",
@@ -64,21 +72,27 @@ __all__ = [
     "match_split",
     "merge_layer_maps",
     "merge_layers",
+    "merge_settings",
     "normalise_codes",
     "number_and_join",
     "number_rows",
     "parse_or_quarantine",
     "part_of",
+    "prefix_matches",
     "prefixed_rows",
+    "reconcile",
     "render_documents",
     "resolve_layers",
     "resource_requests",
     "resource_rollup",
+    "row_positions",
     "running_total",
     "secret_rules",
     "select_named_or_all",
+    "settings_state",
     "split_join",
     "split_volumes",
+    "state_writes",
     "unpivot_present",
     "upsert_plan",
     "with_rank",

@@ -45,6 +45,7 @@ def render_documents(
     bucket_rows: int = BUCKET_ROWS,
     sizing: DataFrame | None = None,
     on_break: str = "fail",
+    group_limit: int | None = None,
 ) -> DataFrame:
     """Ordered property texts: (entity, part, n_lines, document).
 
@@ -60,7 +61,8 @@ def render_documents(
     A document holds ``part_lines`` lines of an entity in the order of their
     keys, those from part * part_lines + 1 on; its parts are put one after the
     other. Where ``df`` is costly to compute, ``sizing`` names a cheaper table
-    with at least its rows, in which to look for large entities.
+    with at least its rows, in which to look for large entities, or
+    ``group_limit`` says how many keys an entity has at most.
     """
     if on_break not in BREAK_POLICIES:
         raise ValueError(f"unknown policy {on_break!r}, expected one of {BREAK_POLICIES}")
@@ -83,7 +85,7 @@ def render_documents(
     line = F.concat(escape_key(name) if exact else name, F.lit("="), plain, F.lit("\n"))
     lines = rows.select(F.col(entity), F.col(key), line.alias("line"))
 
-    numbered = number_rows(lines, [entity], [key, "line"], "pos", bucket_rows, df if sizing is None else sizing)
+    numbered = number_rows(lines, [entity], [key, "line"], "pos", bucket_rows, df if sizing is None else sizing, group_limit)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     return (
         numbered.withColumn("part", part_of(F.col("pos"), part_lines))

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.operators.joins import split_join
+from tiersmith.operators.joins import interval_join, keyed_join, split_join
 from tiersmith.operators.ordering import BUCKET_ROWS, PART_ROWS, hot_groups, number_rows, part_of, running_total
+from tiersmith.operators.prefixes import prefix_matches
 
 
 def match_split(
-    mounts: DataFrame, volumes: DataFrame, prefix: str, keys: Sequence[str] = ("parent", "name")
+    mounts: DataFrame, volumes: DataFrame, prefix: str | DataFrame, keys: Sequence[str] = ("parent", "name")
 ) -> tuple[DataFrame, DataFrame]:
     """Mounts that have a volume whose name starts with ``prefix``, with the
     columns of that volume, and all other mounts.
@@ -20,8 +21,13 @@ def match_split(
     Volumes are unique by ``keys``. A mount without the prefix, or without a
     name, cannot match: it takes part in no join and passes without a shuffle.
     Spark broadcasts the volumes if they are small and splits hot keys otherwise.
+    A table of prefixes (prefix) is joined to the names of the volumes instead,
+    and every mount takes part in the join.
     """
     name = keys[-1]
+    if isinstance(prefix, DataFrame):
+        special, _ = split_volumes(volumes, prefix, name)
+        return split_join(mounts, special, keys, "inner"), split_join(mounts, special.select(*keys), keys, "left_anti")
     special = volumes.where(F.col(name).startswith(prefix))
     likely = F.coalesce(F.col(name).startswith(prefix), F.lit(False))
     matched = split_join(mounts.where(likely), special, keys, "inner")
@@ -29,8 +35,11 @@ def match_split(
     return matched, unmatched.unionByName(mounts.where(~likely))
 
 
-def split_volumes(volumes: DataFrame, prefix: str, name: str = "name") -> tuple[DataFrame, DataFrame]:
-    """Volumes whose name starts with ``prefix``, and the others."""
+def split_volumes(volumes: DataFrame, prefix: str | DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """Volumes whose name starts with ``prefix``, or with one of a table (prefix), and the others."""
+    if isinstance(prefix, DataFrame):
+        names = prefix_matches(volumes, name, prefix, anywhere=False).select(name).distinct()
+        return tuple(split_join(volumes, names, [name], how) for how in ("left_semi", "left_anti"))
     special = F.coalesce(F.col(name).startswith(prefix), F.lit(False))
     return volumes.where(special), volumes.where(~special)
 
@@ -87,6 +96,49 @@ def attached_children(placed: DataFrame) -> DataFrame:
     )
 
 
+def attached_items(placed: DataFrame, children: DataFrame | None = None, cumulative: bool = True) -> DataFrame:
+    """Lists of the children of ``attach_matching``, written out: (parent, child, pos, name, path).
+
+    ``children`` has the rows of ``attached_children`` whose lists are wanted, by
+    default all. ``cumulative`` is what ``attach_matching`` was told; the lists
+    of a parent then grow with the square of its children, and asking for some
+    children writes only theirs. ``pos`` counts a list from 1. A child without a
+    match has no row here, see ``attached_lists``.
+
+    A running list is a span 1..last_pos of its parent's positions, so this is one
+    interval join. Without ``cumulative`` only the mounts of the parent itself
+    are a span; the own mounts of a child are its rows already.
+    """
+    known = placed.where(F.col("known"))
+    children = attached_children(placed) if children is None else children
+    columns = ["parent", "child", "pos", "name", "path"]
+    if cumulative:
+        items = known.select("parent", "pos", "name", "path")
+        return interval_join(items, children.select("parent", "child", "last_pos"), ["parent"]).select(*columns)
+    shared = known.where(F.col("shared")).select("parent", "pos", "name", "path")
+    head = shared.groupBy("parent").agg(F.max("pos").alias("_ts_head"))
+    wanted = children.select("parent", "child")
+    spans = split_join(wanted, head, ["parent"], "inner")
+    own = known.where(~F.col("shared")).select(*columns)
+    own = split_join(own, wanted, ["parent", "child"], "left_semi", null_safe=True)
+    own = split_join(own, head, ["parent"], "left").withColumn("pos", F.col("pos") + F.coalesce("_ts_head", F.lit(0)))
+    return interval_join(shared, spans, ["parent"], last="_ts_head").select(*columns).unionByName(own.select(*columns))
+
+
+def attached_lists(
+    placed: DataFrame, children: DataFrame | None = None, cumulative: bool = True, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """The lists of ``attached_items`` as arrays: (parent, child, part, n_items, mounts), ``mounts`` being structs of
+    (name, path) in order. A part holds ``part_rows`` mounts; a child without a match has one empty part."""
+    children = attached_children(placed) if children is None else children
+    rows = attached_items(placed, children, cumulative).withColumn("part", part_of(F.col("pos"), part_rows))
+    items = F.array_sort(F.collect_list(F.struct("pos", "name", "path")))
+    lists = rows.groupBy("parent", "child", "part").agg(F.transform(items, lambda i: F.struct(i["name"], i["path"])).alias("mounts"))
+    joined = keyed_join(children.select("parent", "child"), lists, ["parent", "child"], "left")
+    mounts = F.coalesce("mounts", F.array().cast(lists.schema["mounts"].dataType))
+    return joined.select("parent", "child", F.coalesce("part", F.lit(0)).alias("part"), F.size(mounts).alias("n_items"), mounts.alias("mounts"))
+
+
 def number_and_join(
     df: DataFrame,
     value: str,

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ _RANGE = "_ts_range"
 _BEFORE = "_ts_before"
 _STEP = "_ts_step"
 _TIE = "_ts_tie"
+_FILE = "_ts_file"
+_BLOCK = "_ts_block"
+_ID = "_ts_id"
 
 
 class HotGroups(NamedTuple):
@@ -108,12 +112,50 @@ def number_rows(
     out: str = "pos",
     bucket_rows: int = BUCKET_ROWS,
     sizing: DataFrame | None = None,
+    group_limit: int | None = None,
 ) -> DataFrame:
     """Number the rows of each group 1..n in ascending order, at any group size.
 
     Rows that are equal in all order columns get their numbers in any order.
     Where ``df`` is costly to compute, ``sizing`` names a cheaper table with at
-    least its rows, in which to look for large groups.
+    least its rows, in which to look for large groups. ``group_limit`` is for a
+    caller that knows how many rows a group has at most: up to ``bucket_rows``
+    nothing needs to be looked for.
     """
+    if group_limit is not None and group_limit <= bucket_rows:
+        return running_total(df, group, order, F.lit(1), out)
     hot = hot_groups(df if sizing is None else sizing, group, bucket_rows)
     return running_total(df, group, order, F.lit(1), out, hot)
+
+
+def row_positions(df: DataFrame, out: str = "row_pos", most_splits: int = 1_000_000) -> DataFrame:
+    """Number the rows of ``df`` 1..n in the order in which they stand in its files: by path, then by place in the file.
+
+    Two passes and no window: the first counts the rows of each split of a file
+    that a task reads, the second adds the rows of the splits before. The driver gets
+    one row for each split and hands back as many; they are broadcast up to
+    ``most_splits`` (40 bytes each) and joined otherwise. The numbers are the same on
+    every run over the same files, however many tasks read them. Rows that do not
+    come straight from files, as after a shuffle, stand in the order of their
+    partitions, and are checkpointed first so that both passes see the same.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "Scan ExistingRDD" in plan:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint()
+    try:
+        from_files = df.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK))
+    except AnalysisException:
+        from_files = df.select("*", F.lit("").alias(_FILE), F.lit(0).cast("bigint").alias(_BLOCK))
+    tagged = from_files.withColumn(_ID, F.monotonically_increasing_id())
+    task = F.shiftright(_ID, 33).cast("int").alias(_RANGE)
+    splits = tagged.groupBy(task, _FILE, _BLOCK).agg(F.count("*").alias("n"), F.min(_ID).alias("least")).collect()
+    shifts, before = [], 1
+    for r in sorted(splits, key=lambda r: (r[_FILE], r[_BLOCK], r[_RANGE])):
+        shifts.append((r[_RANGE], r[_FILE], r[_BLOCK], before - r["least"]))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(shifts, f"{_RANGE} int, {_FILE} string, {_BLOCK} bigint, {_BEFORE} bigint")
+    table = table.withColumn(_FILE, F.xxhash64(_FILE))  # told apart by the task and the place too
+    table = F.broadcast(table) if len(shifts) <= most_splits else table
+    joined = tagged.withColumns({_RANGE: task, _FILE: F.xxhash64(_FILE)}).join(table, [_RANGE, _FILE, _BLOCK])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], (F.col(_ID) + F.col(_BEFORE)).alias(out))

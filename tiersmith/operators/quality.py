@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tiersmith.functions.numbers import parse_integer
 from tiersmith.functions.text import base_name, location_scheme
+from tiersmith.operators.joins import split_join
 
 # Runtime spellings, and schemes by how a location is reached.
 RUNTIME_CODES = {"Scala": "java", "Java": "java", "Python": "python", "R": "r"}
@@ -25,11 +26,15 @@ def normalise_codes(
     """Canonical code of a spelling; unknown spellings pass through unchanged.
 
     A mapping given as a dictionary is part of the expression. A table of
-    (spelling, canonical) is joined; Spark broadcasts it if it is small.
+    (spelling, canonical) is joined; Spark broadcasts it if it is small. A spelling
+    that occurs in it more than once gets the smallest of its canonical codes, and
+    rows are never multiplied.
     """
     if isinstance(mapping, DataFrame):
-        table = mapping.select(F.col("spelling").alias(col), F.col("canonical").alias("_canonical"))
-        return df.join(table, col, "left").withColumn(out, F.coalesce("_canonical", col)).drop("_canonical")
+        table = mapping.groupBy(F.col("spelling").alias(col)).agg(F.min("canonical").alias("_ts_canonical"))
+        joined = split_join(df, table, [col], "left")
+        known = F.coalesce("_ts_canonical", col).alias(out)
+        return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], known)
     pairs = F.create_map(*[F.lit(text) for pair in mapping.items() for text in pair])
     return df.withColumn(out, F.coalesce(F.element_at(pairs, F.col(col)), F.col(col)))
 

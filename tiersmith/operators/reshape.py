@@ -1,7 +1,8 @@
 """Records to rows: prefixed keys, option rows, set columns, lists, sources.
 
 All of these work on single rows, in one pass over the scan; only
-``extract_prefixed`` shuffles, to settle clashes.
+``extract_prefixed`` shuffles, to settle clashes, and so does a table of
+prefixes, which is joined.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from tiersmith.functions.text import last_segment
+from tiersmith.operators.joins import split_join
+from tiersmith.operators.ordering import row_positions
+from tiersmith.operators.prefixes import prefix_matches
 
 # Option rows of a volume and of a secret, by kind.
 VOLUME_OPTIONS: dict[str, list[tuple[str, str]]] = {
@@ -26,13 +30,20 @@ SECRET_FILES = {
 }
 
 
-def prefixed_rows(df: DataFrame, prefixes: Sequence[str], mode: str = "last_segment", key: str = "key") -> DataFrame:
+def prefixed_rows(
+    df: DataFrame,
+    prefixes: Sequence[str] | DataFrame,
+    mode: str = "last_segment",
+    key: str = "key",
+    longest: bool = False,
+) -> DataFrame:
     """(entity, prefix, subkey, value, seq) of all writes whose key contains a
-    prefix, one row per prefix.
+    prefix, one row per prefix, or one for the ``longest`` (ties: the smallest).
 
     The sub-key is the text after the last dot, or with ``after_prefix`` all
-    text after the prefix. The prefixes are part of the expression, so a key is
-    tested during the scan and no join is needed.
+    text after the prefix. A list of prefixes is part of the expression, so a key
+    is tested during the scan and no join is needed. A table (prefix) is joined to
+    the distinct keys, see ``prefix_matches``, and these to the writes.
     """
     if mode == "last_segment":
         subkey = last_segment(F.col("_key"))
@@ -40,20 +51,30 @@ def prefixed_rows(df: DataFrame, prefixes: Sequence[str], mode: str = "last_segm
         subkey = F.expr("substring(_key, locate(prefix, _key) + char_length(prefix))")
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    wanted = F.array(*[F.lit(p) for p in prefixes])
-    found = F.filter(wanted, lambda p: F.col(key).contains(p))
-    return (
-        df.where(F.col("value").isNotNull() & _contains_any(F.col(key), prefixes))
-        .select("entity", F.col(key).alias("_key"), "value", "seq", F.explode(found).alias("prefix"))
-        .select("entity", "prefix", subkey.alias("subkey"), "value", "seq")
-    )
+    writes = df.where(F.col("value").isNotNull())
+    if isinstance(prefixes, DataFrame):
+        named = writes.select("entity", F.col(key).alias("_key"), "value", "seq")
+        rows = split_join(named, prefix_matches(named, "_key", prefixes, longest=longest), ["_key"], "inner")
+    else:
+        wanted = F.array(*[F.lit(p) for p in sorted(set(prefixes), key=lambda p: (-len(p), p))])
+        found = F.filter(wanted, lambda p: F.col(key).contains(p))
+        found = F.slice(found, 1, 1) if longest else found
+        rows = writes.where(_contains_any(F.col(key), prefixes))
+        rows = rows.select("entity", F.col(key).alias("_key"), "value", "seq", F.explode(found).alias("prefix"))
+    return rows.select("entity", "prefix", subkey.alias("subkey"), "value", "seq")
 
 
-def extract_prefixed(df: DataFrame, prefixes: Sequence[str], mode: str = "last_segment", key: str = "key") -> DataFrame:
+def extract_prefixed(
+    df: DataFrame,
+    prefixes: Sequence[str] | DataFrame,
+    mode: str = "last_segment",
+    key: str = "key",
+    longest: bool = False,
+) -> DataFrame:
     """(entity, prefix, subkey, value) of the keys that contain a prefix. Where
     two keys give the same sub-key, the write with the largest ``seq`` wins."""
     top = F.max(F.struct("seq", "value")).alias("top")
-    settled = prefixed_rows(df, prefixes, mode, key).groupBy("entity", "prefix", "subkey").agg(top)
+    settled = prefixed_rows(df, prefixes, mode, key, longest).groupBy("entity", "prefix", "subkey").agg(top)
     return settled.select("entity", "prefix", "subkey", "top.value")
 
 
@@ -144,12 +165,18 @@ def explode_list(df: DataFrame, col: str, entity: str = "entity", separator: str
     return df.select(entity, F.posexplode(items).alias("pos", "item")).withColumn("pos", F.col("pos") + 1)
 
 
-def collect_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
+def collect_sources(sources: Mapping[str, DataFrame], row_pos: str | None = None) -> DataFrame:
     """Append the rows of several sources and keep duplicates; ``source`` names
-    where a row came from and ``source_pos`` gives the order of the sources."""
+    where a row came from and ``source_pos`` gives the order of the sources.
+
+    ``row_pos`` names a further column with the place of a row in its source,
+    from 1, see ``row_positions``: ordered by (source_pos, row_pos), the rows
+    stand as they do in the sources, one after the other.
+    """
+    placed = {name: df if row_pos is None else row_positions(df, row_pos) for name, df in sources.items()}
     tagged = [
         df.withColumns({"source": F.lit(name), "source_pos": F.lit(pos)})
-        for pos, (name, df) in enumerate(sources.items(), start=1)
+        for pos, (name, df) in enumerate(placed.items(), start=1)
     ]
     out = tagged[0]
     for df in tagged[1:]:

@@ -96,4 +96,6 @@ def settings_documents(
     rows = collect_sources(
         {"identity": identity.select("entity", "key", "value"), "settings": resolved.select("entity", "key", "value")}
     )
-    return render_documents(latest_setting(rows, seq="source_pos"), escape_keys, sizing=rows)
+    # Three lines of identity and the default keys, once each: no entity has more.
+    limit = 3 + len(defaults)
+    return render_documents(latest_setting(rows, seq="source_pos"), escape_keys, group_limit=limit)

@@ -7,6 +7,7 @@ lists and maps are joined to text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tiersmith import operators as ops
 from tiersmith.functions import ladder as first_present
 from tiersmith.plans import flows
+from tiersmith.session import ensure_checkpoint_dir
+from tiersmith.sources import create_buckets, read_buckets, update_buckets, upsert_buckets
 from tiersmith.sources import tables as t
 from tiersmith.sources.tables import LAYERS, MOUNT_ORDER
 
@@ -131,6 +134,23 @@ VIEWS = {
         select o_custkey as ns, concat('job-', cast(o_orderkey % 5 as varchar)) as name, min(o_orderpriority) as payload,
                max(o_orderstatus) as owner, concat('note ', cast(min(o_orderkey) as varchar)) as note
         from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by all""",
+    "prefix_rules": """
+        select distinct concat('.label.', left(split_part(conf_key, '.', -1), 1)) as prefix from settings_log
+        union
+        select distinct concat('app.', key, '.label.') from settings_log
+        union
+        select concat('app.x', cast(p_partkey as varchar)) from part""",
+    "mount_rules": """
+        select case when p_partkey % 2 = 0 then concat('scratch-', cast(p_partkey % 5 as varchar))
+                    else concat('x', cast(p_partkey as varchar)) end as prefix from part""",
+    "desired_nulls": """
+        select case when o_custkey % 7 <> 0 then o_custkey end as ns, concat('job-', cast(o_orderkey as varchar)) as name,
+               o_orderpriority as payload
+        from orders where o_orderstatus <> 'F'""",
+    "existing_nulls": """
+        select case when o_custkey % 7 <> 0 then o_custkey end as ns, concat('job-', cast(o_orderkey as varchar)) as name,
+               o_orderstatus as payload
+        from orders where o_orderpriority in ('1-URGENT', '2-HIGH')""",
     "locations": """
         select page_id as entity,
                case page_id % 9 when 0 then concat('local:///opt/', cast(page_id as varchar), '.py')
@@ -158,6 +178,11 @@ def query(name: str, views: str, sql: str) -> Callable[[Query], Query]:
     return add
 
 
+def _state_path(spark: SparkSession, name: str) -> str:
+    """A new folder for the state of a query, below the shared folder of checkpoints."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/states/{name}-{uuid.uuid4().hex}"
+
+
 def _long(*columns: str) -> dict[str, Column]:
     return {c: F.col(c).cast("bigint") for c in columns}
 
@@ -276,6 +301,28 @@ def resolve_layers_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.resolve_layers(log, t.layer_order(spark), people, DEFAULTS, "non_empty")
 
 
+@query("maintained_settings", RESOLVE_VIEWS, _resolve_sql("value is not null", "l.value <> ''") + "select * from resolved")
+def maintained_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kept state of two thirds of the writes, brought up to date with the others, earlier ones among them, and
+    with every fifth write once more; then resolved."""
+    log, late = t.settings_log(spark, sf_dir), F.col("seq") % 3 == 0
+    path = _state_path(spark, "settings")
+    create_buckets(ops.settings_state(log.where(~late)), path, ["entity", "key"], 8)
+    for writes in (log.where(late), log.where(F.col("seq") % 5 == 0)):
+        update_buckets(writes, path, ops.merge_settings)
+    kept = ops.state_writes(read_buckets(spark, path))
+    return ops.resolve_layers(kept, LAYERS, t.entities(spark, sf_dir), DEFAULTS, "non_empty")
+
+
+@query("maintained_settings_key_exists", RESOLVE_VIEWS, _resolve_sql("true", "true") + "select * from resolved")
+def maintained_settings_key_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null writes count here; the state of the later half is merged with that of the earlier one."""
+    log = t.settings_log(spark, sf_dir)
+    later, earlier = (ops.settings_state(log.where(F.col("seq") % 2 == k)) for k in (1, 0))
+    kept = ops.state_writes(ops.merge_settings(later, ops.state_writes(earlier)))
+    return ops.resolve_layers(kept, LAYERS, t.entities(spark, sf_dir), DEFAULTS, "key_exists")
+
+
 FIRST_LAYER_SQL = """
     , ranked as (select s.*, layer_rank from settings_log s join layer_order using (layer) where value is not null),
     first_rank as (select *, min(layer_rank) over (partition by entity) as first from ranked)
@@ -363,6 +410,34 @@ def extract_prefixed_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prefixed(spark, sf_dir, "after_prefix")
 
 
+RULES_SQL = """
+    , matches as (
+        select entity, prefix, {subkey} as subkey, value, seq
+        from settings_log join prefix_rules on contains(conf_key, prefix)
+        where value is not null {only})
+    select entity, prefix, subkey, arg_max(value, seq) as value
+    from matches group by entity, prefix, subkey
+    """
+
+
+@query("extract_prefixed_rules", "settings_log prefix_rules", RULES_SQL.format(subkey="split_part(conf_key, '.', -1)", only=""))
+def extract_prefixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.extract_prefixed(t.settings_log(spark, sf_dir), t.prefix_rules(spark, sf_dir), key="conf_key")
+
+
+@query(
+    "extract_prefixed_longest",
+    "settings_log prefix_rules",
+    RULES_SQL.format(
+        subkey="substr(conf_key, instr(conf_key, prefix) + length(prefix))",
+        only="qualify row_number() over (partition by seq order by length(prefix) desc, prefix) = 1",
+    ),
+)
+def extract_prefixed_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, rules = t.settings_log(spark, sf_dir), t.prefix_rules(spark, sf_dir)
+    return ops.extract_prefixed(log, rules, "after_prefix", "conf_key", longest=True)
+
+
 @query(
     "unpivot_present",
     "optional_fields",
@@ -476,6 +551,26 @@ def collect_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+@query(
+    "collect_sources_ordered",
+    "settings_log entities desired",
+    """
+    select entity, key, value, 'settings' as source, 1 as source_pos, row_number() over (order by seq) as row_pos
+    from settings_log where value is not null
+    union all
+    select entity, 'code', code, 'profile', 2, row_number() over (order by entity) from entities
+    union all
+    select o_custkey, concat('job-', cast(o_orderkey as varchar)), o_orderpriority, 'jobs', 3, row_number() over (order by o_orderkey)
+    from orders where o_orderstatus <> 'F'
+    """,
+)
+def collect_sources_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = t.settings_log(spark, sf_dir).where("value is not null").select("entity", "key", "value")
+    profile = t.entities(spark, sf_dir).select("entity", F.lit("code").alias("key"), F.col("code").alias("value"))
+    jobs = t.desired(spark, sf_dir).withColumnsRenamed({"ns": "entity", "name": "key", "payload": "value"})
+    return ops.collect_sources({"settings": settings, "profile": profile, "jobs": jobs}, "row_pos")
+
+
 # Cleaning.
 
 
@@ -603,6 +698,28 @@ def match_split_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual.drop(*MOUNT_ORDER)
 
 
+MOUNT_RULES_SQL = """
+    , special as (select * from volumes v where exists (select 1 from mount_rules r where starts_with(v.name, r.prefix)))
+    """
+
+
+@query(
+    "match_split_rules",
+    "mounts volumes mount_rules",
+    MOUNT_RULES_SQL
+    + """
+    select m.parent, m.name, m.child, m.path, s.kind, s.name is not null as matched
+    from mounts m left join special s on s.parent = m.parent and s.name = m.name
+    """,
+)
+def match_split_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mounts, volumes = t.mounts(spark, sf_dir), t.volumes(spark, sf_dir)
+    matched, residual = ops.match_split(mounts, volumes, t.mount_rules(spark, sf_dir))
+    columns = ["parent", "name", "child", "path", "kind", "matched"]
+    residual = residual.withColumns({"kind": F.lit(None).cast("string"), "matched": F.lit(False)})
+    return matched.withColumn("matched", F.lit(True)).select(*columns).unionByName(residual.select(*columns))
+
+
 ATTACH_SQL = """
     , kept as (
         select m.*, v.name is not null as known, m.child as c
@@ -656,6 +773,60 @@ def attach_matching_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.attach_matching(mounts, volumes, MOUNT_ORDER, parent_mounts=t.parent_mounts(spark, sf_dir))
 
 
+LISTED_SQL = f"""
+    , placed as ({_attached_sql("parent", "shared desc, child, place", ALL_ROWS)}),
+    ends as (select parent, child, max(pos) as last_pos from placed where not shared group by parent, child),
+    items as (
+        select e.parent, e.child, p.pos, p.name, p.path
+        from ends e join placed p on p.parent = e.parent and p.known and p.pos <= e.last_pos)
+    """
+
+
+def _placed(spark: SparkSession, sf_dir: str, cumulative: bool) -> DataFrame:
+    mounts, volumes, shared = t.mounts(spark, sf_dir), t.volumes(spark, sf_dir), t.parent_mounts(spark, sf_dir)
+    return ops.attach_matching(mounts, volumes, MOUNT_ORDER, cumulative, shared)
+
+
+@query("attached_items", "mounts volumes parent_mounts", ATTACH_SQL + LISTED_SQL + "select * from items")
+def attached_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.attached_items(_placed(spark, sf_dir, True))
+
+
+@query(
+    "attached_items_own",
+    "mounts volumes parent_mounts",
+    ATTACH_SQL
+    + """
+    , listed as (
+        select o.parent, o.child, p.name, p.path, 0 as rank, p.place from own o join parent_mounts p on p.parent = o.parent
+        union all
+        select parent, child, name, path, 1, pos from kept where known)
+    select parent, child, row_number() over (partition by parent, child order by rank, place) as pos, name, path from listed
+    """,
+)
+def attached_items_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.attached_items(_placed(spark, sf_dir, False), cumulative=False)
+
+
+@query(
+    "attached_lists",
+    "mounts volumes parent_mounts",
+    ATTACH_SQL
+    + LISTED_SQL
+    + """
+    , lists as (
+        select parent, child, cast((pos - 1) // 4 as integer) as part, count(*) as n_items, string_agg(path, ',' order by pos) as list
+        from items group by all)
+    select e.parent, e.child, coalesce(part, 0) as part, coalesce(n_items, 0) as n_items, coalesce(list, '') as list
+    from ends e left join lists l on l.parent = e.parent and l.child = e.child
+    """,
+)
+def attached_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = ops.attached_lists(_placed(spark, sf_dir, True), part_rows=4)
+    paths = F.array_join(F.transform("mounts", lambda m: m["path"]), ",")
+    return lists.select("parent", "child", "part", F.col("n_items").cast("bigint").alias("n_items"), paths.alias("list"))
+
+
 @query("split_volumes", "volumes", "select *, starts_with(name, 'scratch-') as special from volumes")
 def split_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     special, rest = ops.split_volumes(t.volumes(spark, sf_dir), "scratch-")
@@ -991,3 +1162,41 @@ def apply_plan_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing, payload = t.existing_wide(spark, sf_dir), ["payload", "owner"]
     plan = ops.upsert_plan(t.desired_writes(spark, sf_dir), existing, payload=payload, seq="seq")
     return ops.apply_plan(plan, existing, payload=payload)
+
+
+NULL_KEYS_SQL = """
+    select coalesce(d.ns, e.ns) as ns, coalesce(d.name, e.name) as name, case when d.name is null then e.payload else d.payload end as payload
+    from desired_nulls d full join existing_nulls e on e.ns is not distinct from d.ns and e.name = d.name
+    """
+
+
+@query("apply_plan_null_keys", "desired_nulls existing_nulls", NULL_KEYS_SQL)
+def apply_plan_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    desired, existing = (t.without_some_ns(f(spark, sf_dir)) for f in (t.desired, t.existing))
+    once = ops.apply_plan(ops.upsert_plan(desired, existing), existing)
+    return ops.apply_plan(ops.upsert_plan(desired, once), once)
+
+
+@query("upsert_buckets", "desired_nulls existing_nulls", NULL_KEYS_SQL)
+def upsert_state_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state is written in buckets, brought up to date twice, and read back."""
+    desired, existing = (t.without_some_ns(f(spark, sf_dir)) for f in (t.desired, t.existing))
+    path = _state_path(spark, "jobs")
+    create_buckets(existing, path, buckets=16)
+    upsert_buckets(desired, path)
+    upsert_buckets(desired, path)
+    return read_buckets(spark, path)
+
+
+@query(
+    "reconcile",
+    "desired_nulls existing_nulls",
+    """
+    select coalesce(d.ns, e.ns) as ns, coalesce(d.name, e.name) as name, case when d.name is null then e.payload else d.payload end as payload,
+           case when d.name is null then null when e.name is null then 'create' else 'update' end as action
+    from desired_nulls d full join existing_nulls e on e.ns is not distinct from d.ns and e.name = d.name
+    """,
+)
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    desired, existing = (t.without_some_ns(f(spark, sf_dir)) for f in (t.desired, t.existing))
+    return ops.reconcile(desired, existing).withColumnRenamed("_ts_action", "action")

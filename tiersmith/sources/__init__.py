@@ -1,7 +1,21 @@
-"""Sources and sinks: tables of settings and property documents."""
+"""Sources and sinks: tables of settings, property documents, states."""
 
+from tiersmith.sources.buckets import create_buckets, read_buckets, update_buckets, upsert_buckets, vacuum_buckets
 from tiersmith.sources.documents import read_property_lines, write_documents
 from tiersmith.sources.state import read_state, write_state
 from tiersmith.sources.tables import FIXTURES, LAYERS, table
 
-__all__ = ["FIXTURES", "LAYERS", "read_property_lines", "read_state", "table", "write_documents", "write_state"]
+__all__ = [
+    "FIXTURES",
+    "LAYERS",
+    "create_buckets",
+    "read_buckets",
+    "read_property_lines",
+    "read_state",
+    "table",
+    "update_buckets",
+    "upsert_buckets",
+    "vacuum_buckets",
+    "write_documents",
+    "write_state",
+]

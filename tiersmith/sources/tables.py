@@ -228,6 +228,28 @@ def existing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of prefixes of several lengths, many of which no key holds."""
+    log = settings_log(spark, sf_dir)
+    number = F.substring_index("conf_key", ".", -1)
+    kinds = log.select(F.concat(F.lit("app."), F.col("key"), F.lit(".label.")).alias("prefix"))
+    digits = log.select(F.concat(F.lit(".label."), F.substring(number, 1, 1)).alias("prefix"))
+    unused = table(spark, sf_dir, "part").select(F.concat(F.lit("app.x"), F.col("p_partkey").cast("string")).alias("prefix"))
+    return kinds.unionByName(digits).unionByName(unused).distinct()
+
+
+def mount_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes of mount names: some whole names, and many that no mount has."""
+    key = F.col("p_partkey")
+    name = F.when(key % 2 == 0, F.concat(F.lit("scratch-"), (key % 5).cast("string"))).otherwise(F.concat(F.lit("x"), key.cast("string")))
+    return table(spark, sf_dir, "part").select(name.alias("prefix"))
+
+
+def without_some_ns(jobs: DataFrame) -> DataFrame:
+    """Jobs of which every seventh namespace is null."""
+    return jobs.withColumn("ns", F.when(F.col("ns") % 7 != 0, F.col("ns")))
+
+
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations with several schemes and without one."""
     key = F.col("page_id").cast("string")
