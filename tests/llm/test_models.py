@@ -121,6 +121,47 @@ def test_isotonic_curve_rises():
     assert (np.diff(py) > 0).all() and (np.diff(px) > 0).all() and abs(np.interp(0.5, px, py) - 0.5) < 0.2
 
 
+def test_equal_scores_are_one_point():
+    y = np.array([0.0, 0.0, 1.0, 1.0])
+    for order in ([0, 1, 2, 3], [2, 0, 3, 1]):
+        px, py = trees.isotonic(np.full(4, 0.5), y[order])
+        assert px.tolist() == [0.5] and py.tolist() == [0.5]
+    px, py = trees.isotonic(np.array([0.1, 0.9, 0.9, 0.1, 0.5]), np.array([0, 1, 0, 0, 0.0]))
+    assert py.tolist() == [0.0, 0.5] and px[-1] == pytest.approx(0.9)
+
+
+def test_a_split_is_the_best_of_all():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        x = rng.integers(0, 6, size=(60, 3)).astype(float)
+        y = (rng.random(60) < 0.2 + 0.1 * x[:, rng.integers(3)]).astype(float)
+        p = y.mean()
+        grad, hess = p - y, np.full(60, p * (1 - p))
+
+        def gain(mask, g=grad, h=hess):
+            return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (mask, ~mask)) - g.sum() ** 2 / (h.sum() + 1)
+
+        best = max(gain(x[:, j] > c) for j in range(3) for c in range(5))
+        model = trees.boost(x, y, trees=1, depth=1)
+        feature, threshold = int(model.features[0][0]), model.thresholds[0][0]
+        assert gain(x[:, feature] > threshold) == pytest.approx(best)
+
+
+def test_a_few_labels_give_a_lexicon():
+    toxic = Counter({f"rude{k}": 3 for k in range(6)} | {"the": 10, "odd": 3, "rare": 2})
+    clean = Counter({"the": 58, "odd": 9})
+    pairs = toxicity.rare_terms(toxic, clean)
+    assert sorted(pairs) == [(3, 3)] * 6 + [(3, 12)]
+    bound = toxicity.chance_bound([(3, 3)] * 6, {3: 200, 12: 50}, 10 / 68)
+    assert bound == pytest.approx((10 / 68) ** 3)
+    found = toxicity.make_lexicon(toxic, clean, 10, 58, bound)
+    strong = toxicity.make_lexicon(Counter(rude0=9), Counter(), 10, 58)
+    assert set(found) == {f"rude{k}" for k in range(6)} and 0 < found["rude0"] < strong["rude0"]
+    assert not toxicity.make_lexicon(toxic, clean, 10, 58)
+    assert toxicity.chance_bound([(3, 3)] * 6, {3: 10_000}, 10 / 68) < 0  # chance among so many
+    assert toxicity.chance(3, 3, 0.5) == 0.125 and toxicity.chance(0, 4, 0.3) == pytest.approx(1)
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(2000, 4))

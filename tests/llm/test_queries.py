@@ -33,6 +33,38 @@ def test_query_matches_oracle(spark, sf_dir, name):
     assert assert_same(QUERIES[name](spark, sf_dir), duck(sf_dir), ORACLE_SQL[name]) > 0
 
 
+def test_the_mix_is_dealt_to_shards(spark, sf_dir):
+    runs = [QUERIES["op6_source_mix"](spark, sf_dir).collect() for _ in range(2)]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+    shards = {}
+    for r in runs[0]:
+        places = [tuple(map(int, p.split(":"))) for p in (r.places or "").split()]
+        assert r.taken == r["size"] * len(places) and len(places) <= 2
+        for shard, position in places:
+            shards.setdefault(shard, []).append((position, r["size"]))
+    assert len(shards) == 8  # each place is taken once, and the shards are about equal
+    assert all(sorted(p for p, _ in own) == list(range(len(own))) for own in shards.values())
+    words = [sum(n for _, n in own) for own in shards.values()]
+    assert max(words) < 2 * sum(words) / 8
+
+
+def test_results_stay_when_a_query_runs_again(spark, sf_dir):
+    first = QUERIES["op3_token_store"](spark, sf_dir)
+    QUERIES["op3_token_store"](spark, sf_dir)
+    assert first.count() == 200
+
+
+def test_stages_take_clashing_names_and_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    for name in ("size", "shards", "shard", "copy", "_key", "_doc", "_row", "_gone", "_first", "_idx", "_b", "_units", "_source", "c0"):
+        docs = docs.selectExpr("*", f"'{name}' as `{name}`")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and {tuple(r[5:]) for r in out.collect()} == {tuple(docs.columns[5:])}
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= 40
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["drop_toxic", "drop_lines", "drop_near_copies", "mix_sources", "pack_sequences"]

@@ -130,7 +130,8 @@ def test_run_index_against_all_substrings():
 
 
 def test_runs_compress_copies():
-    text = bytes(random.Random(1).randrange(97, 123) for _ in range(120))
+    rng = random.Random(1)
+    text = bytes(rng.randrange(97, 123) for _ in range(120))
     one, many = RunIndex([text]), RunIndex([text] * 50)
     assert many.n_runs < 2.5 * one.n_runs
 

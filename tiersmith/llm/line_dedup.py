@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import END, cut, line_stream, mix, powers, prefix_hash, prepare, sorted_groups, span_hash, word_spans
+from tiersmith.llm.common import END, cut, line_stream, mix, plain_names, powers, prefix_hash, prepare, sorted_groups, span_hash, word_spans
 
 #: Of fewer words one word is so large a part that near lines are mostly chance.
 MIN_WORDS = 4
@@ -221,13 +221,15 @@ def drop_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     No row goes: a text of which nothing is left is empty, a null text stays
     null. A column ``length``, if there is one, gets the characters that are left.
     """
+    names = df.columns
+    df, new = plain_names(df)
+    doc_id, text, length = new[doc_id], new[text], new.get(length)
     gone = removed_lines(df, min_words, doc_id, text).groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_list("line").alias("_gone"))
     number, row, _ = _row(doc_id, text)
     marked = df.withColumn("_key", row)
     joined = marked.join(gone, number.eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_row")), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in df.columns], "_gone")
-
-    names = df.columns
+    joined = joined.select(*df.columns, "_gone")
+    inner = df.columns
 
     def rebuild(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -236,12 +238,12 @@ def drop_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
                 if gone:
                     out = set(gone)
                     texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in out)
-            columns = {c: batch.column(c) for c in names}
+            columns = {c: batch.column(c) for c in inner}
             columns[text] = pa.array(texts, type=columns[text].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     out = joined.mapInArrow(rebuild, df.schema)
-    if length in df.columns:
+    if length:
         chars = F.length(F.col(text)).cast(df.schema[length].dataType)
         out = out.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(chars))
-    return out
+    return out.toDF(*names)

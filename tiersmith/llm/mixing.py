@@ -22,11 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut, prepare
+from tiersmith.llm.common import cut, plain_names, prepare
 
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Words of a block and of a shard; a small mix has smaller ones, so that it fills LEAST_SHARDS shards with SHARD_BLOCKS blocks each.
 BLOCK_WORDS = 1_000_000
 SHARD_WORDS = 16_000_000
+LEAST_SHARDS = 8
+SHARD_BLOCKS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -115,7 +118,7 @@ def mix(
     text: str = "text",
     row_id: str = "doc_id",
     seed: int = 17,
-    block_words: int = BLOCK_WORDS,
+    block_words: int | None = None,
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """``df`` with size, source_size, target and ``shards``, the shard of each copy that the mix takes.
@@ -123,14 +126,15 @@ def mix(
     A row is taken whole: not at all, or once for each entry of ``shards``, at
     most ``ceil(most)`` times. A source's taken words miss its target by half of
     the smallest row at most that is left in the block in which its last pass
-    ends; rows that are equal in source, id and text stay together. A null text
-    has size 0; a null source is a source of its own; rows of size 0 are taken
-    like others. An empty table gives an empty table. The new columns replace
-    columns of their names.
+    ends; rows that are equal in source, id and text stay together, so a source
+    whose size is in copies of one row can miss its target by half of those
+    copies. A null text has size 0; a null source is a source of its own; rows of
+    size 0 are taken like others. An empty table gives an empty table. The new
+    columns replace columns of their names; no other name matters.
     """
     prepare(df.sparkSession)
-    new = ("size", "source_size", "target", "shards")
-    base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
+    base, names = plain_names(df)
+    source, text, row_id = names[source], names[text], names[row_id]
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(row_id).cast("string"), F.xxhash64(F.col(text))), 1)
     keyed = base.withColumn("_key", key).withColumn("size", word_count(F.col(text)))
     slim = cut(keyed.select(F.col(source).alias("source"), "_key", "size"))  # all but the texts: it is read three times
@@ -139,7 +143,12 @@ def mix(
     targets = source_targets(sources, weights, share, most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     targets = targets.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    targets = cut(targets.withColumn("blocks", F.ceil((F.col("source_size") + 1) / block_words)))
+    targets = cut(targets)
+    goal = targets.agg(F.sum("target")).first()[0] or 0
+    levels = int(np.ceil(np.log2(max(LEAST_SHARDS, goal / shard_words))))
+    if block_words is None:
+        block_words = int(min(BLOCK_WORDS, max(1, goal / (SHARD_BLOCKS << levels))))
+    targets = targets.withColumn("blocks", F.ceil((F.col("source_size") + 1) / block_words))
 
     block = F.shiftright(F.shiftright("_key", 32) * F.col("blocks"), 31)
     placed = slim.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("t.idx", "_key", "size", "rest", "passes", block.alias("block"))
@@ -157,8 +166,6 @@ def mix(
     ended = blocks.join(last, F.col("idx") == F.col("i"), "left")
     n_units = F.col("passes") + F.when(F.col("block") <= F.col("bl"), 1).otherwise(0)
     units = cut(ended.where(n_units > 0).select("idx", "block", F.explode(F.sequence(F.lit(1), n_units)).alias("pass")))
-    goal = targets.agg(F.sum("target")).first()[0] or 0
-    levels = max(0, int(np.ceil(np.log2(max(1.0, goal / shard_words)))))
     quotas = split_quotas(units.groupBy("idx").agg(F.count("*").alias("quota")), levels, seed)
     runs = Window.partitionBy("idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     quotas = quotas.withColumn("upto", F.sum("quota").over(runs))
@@ -180,11 +187,31 @@ def mix(
     in_rest = F.coalesce((F.col("_b") < F.col("_bl")) | F.col("_fit").isNotNull(), F.lit(False))
     copies = F.col("_passes") + F.when(in_rest, 1).otherwise(0)
     shards = F.when(copies > 0, F.transform(F.slice("_units", F.lit(1), copies), lambda u: u["shard"])).otherwise(F.array().cast("array<int>"))
-    return out.select(*[F.col(f"`{c}`") for c in base.columns], "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), shards.alias("shards"))
+    own = [F.col(c).alias(name) for name, c in names.items() if name not in ("size", "source_size", "target", "shards")]
+    return out.select(*own, "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), shards.alias("shards"))
+
+
+def _copies(mixed: DataFrame, seed: int, row_id: str) -> tuple[DataFrame, list[Column], dict[str, str]]:
+    """One row for each copy (shard, copy, and the columns of ``mixed`` by number), and the order of the local shuffle."""
+    rows, names = plain_names(mixed)
+    shards = names.pop("shards")
+    rows = rows.where(F.size(shards) > 0).select(*names.values(), F.posexplode(shards).alias("copy", "shard"))
+    order = [F.xxhash64(F.lit(seed + 2), F.col(names[row_id]).cast("string"), "copy"), F.col(names[row_id]), F.col("copy")]
+    return rows, order, names
 
 
 def deal(mixed: DataFrame, seed: int = 17, row_id: str = "doc_id") -> DataFrame:
-    """One row for each copy that the mix takes, with ``shard`` and ``position``, its place after the local shuffle."""
-    rows = mixed.where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), F.col(row_id).cast("string"), "copy"), row_id, "copy")
-    return rows.withColumn("position", F.row_number().over(order) - 1)
+    """One row for each copy that the mix takes, with ``copy``, ``shard`` and ``position``, its place after the local
+    shuffle. These replace columns of their names; no other name matters. Rows equal in id and copy are in any order."""
+    rows, order, names = _copies(mixed, seed, row_id)
+    place = F.row_number().over(Window.partitionBy("shard").orderBy(*order)) - 1
+    own = [F.col(c).alias(name) for name, c in names.items() if name not in ("copy", "shard", "position")]
+    return rows.withColumn("position", place).select(*own, "copy", "shard", "position")
+
+
+def shuffled(mixed: DataFrame, seed: int = 17, row_id: str = "doc_id") -> DataFrame:
+    """The copies that the mix takes, without the columns of the mix: the rows of a shard stand together, in the order of
+    the local shuffle, so that files written from it hold whole shards. One shuffle moves them."""
+    rows, order, names = _copies(mixed, seed, row_id)
+    rows = rows.repartition("shard").sortWithinPartitions("shard", *order)
+    return rows.select(*[F.col(c).alias(name) for name, c in names.items() if name not in ("size", "source_size", "target")])

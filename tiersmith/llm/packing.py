@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut, prepare
-from tiersmith.llm.tokens import encoder
+from tiersmith.llm.common import cut, plain_names, prepare
+from tiersmith.llm.tokens import encoder, merged
 
 RANK_ROWS = 1_000_000
 
@@ -100,7 +100,7 @@ def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id:
 
     def cut_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer)
-        for batch in it:
+        for batch in merged(it):
             out: list[tuple] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of.encode(batch.column("text").to_pylist()), strict=True):
                 ids += end
@@ -121,9 +121,11 @@ def pack(items: DataFrame, capacity: int, length: str = "length", rank_rows: int
     Items of equal length are interchangeable; they are ranked by a hash of
     their row, rows equal in all columns by the order in which they come. The
     items are checkpointed, since they are used twice. An empty table gives
-    empty columns. A null length, or one outside 1..capacity, is an error.
+    no rows. A null length, or one outside 1..capacity, is an error. The new
+    columns replace columns of their names; no other name matters.
     """
-    items = cut(items)
+    items, new = plain_names(cut(items))
+    length = new[length]
     histogram = {r[0]: r["count"] for r in items.groupBy(length).count().collect()}  # at most ``capacity`` rows
     n_items = sum(histogram.values())
     if any(x is None for x in histogram):
@@ -156,12 +158,17 @@ def pack(items: DataFrame, capacity: int, length: str = "length", rank_rows: int
     placed = ranked.withColumn("_run", run).withColumn("_nth", F.col("_rank") - F.col("_run._from"))
     slots_each = F.size("_run._offsets")
     return placed.select(
-        *[F.col(f"`{c}`") for c in items.columns],
+        *[F.col(c).alias(name) for name, c in new.items() if name not in ("sequence_id", "offset")],
         (F.col("_run._first") + F.floor(F.col("_nth") / slots_each)).cast("long").alias("sequence_id"),
         F.element_at("_run._offsets", (F.col("_nth") % slots_each + 1).cast("int")).cast("long").alias("offset"),
     )
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of all documents with their place in a sequence."""
+    """Pieces of all documents with their place in a sequence.
+
+    A null or empty text is the end id alone, a text of any length is cut into pieces, repeated rows are pieces each
+    and ties are placed in any order; a null id stays null. An empty table gives no rows. Columns of ``df`` other than
+    the two named are not read.
+    """
     return pack(pieces_of(df, tokenizer, end_id, capacity, doc_id, text), capacity)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiersmith.llm import ann, centroids, chat_format, embedding_dedup, line_dedup, mixing, packing, ppm, simhash, span_dedup, spelling, sql, token_store, toxicity
-from tiersmith.llm.common import scratch, table
+from tiersmith.llm.common import cut, scratch, table
 from tiersmith.llm.tokens import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +24,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
-    path = f"{scratch(spark)}/tokens-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    path = f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write_store(token_store.encode_documents(table(spark, sf_dir, "documents"), default_tokenizer(), 0), path)
     return token_store.checked_tokens(spark, path)
 
@@ -38,10 +37,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes from each document."""
+    """Words that the mix takes from each document, and the shard and place of each copy."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    taken = (F.col("size") * F.size("shards")).cast("long")
-    return mixed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.alias("taken"))
+    mixed = cut(mixed.drop("text")).withColumn("row", F.monotonically_increasing_id())  # of a checkpoint: the same each time
+    places = F.array_sort(F.collect_list(F.struct("shard", "position")))
+    dealt = mixing.deal(mixed.select("row", "doc_id", "size", "shards"))
+    dealt = dealt.groupBy(F.col("row").alias("dealt_row")).agg(F.sum("size").alias("words"), places.alias("places"))
+    rows = mixed.join(dealt, F.col("row") == F.col("dealt_row"), "left")
+    return rows.select(
+        "doc_id",
+        "size",
+        F.col("source_size").cast("long").alias("source_size"),
+        F.col("target").cast("double").alias("target"),
+        F.coalesce("words", F.lit(0)).cast("long").alias("taken"),
+        F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["shard"], p["position"])), " ").alias("places"),
+    )
 
 
 @query

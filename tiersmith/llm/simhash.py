@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut, prepare, sorted_groups, token_stream, word_spans
+from tiersmith.llm.common import cut, plain_names, prepare, sorted_groups, token_stream, word_spans
 from tiersmith.llm.components import components, stars
 
 SEED = 42
@@ -164,6 +164,8 @@ def keep_first(df: DataFrame, k: int = 3, radius: int = 3, doc_id: str = "doc_id
     Rows that share that id are one document and stay together. Rows of a null
     id stay only where their component has no other document.
     """
-    found = near_components(fingerprints(df, k, doc_id, text), radius)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return df.join(first.withColumnRenamed("doc_id", "_first"), F.col(doc_id).cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    names = df.columns
+    df, new = plain_names(df)
+    found = near_components(fingerprints(df, k, new[doc_id], new[text]), radius)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    return df.join(first, F.col(new[doc_id]).cast("long").eqNullSafe(F.col("_first")), "left_semi").toDF(*names)

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import prepare, text_bytes
-from tiersmith.llm.tokens import encoder, id_lists
+from tiersmith.llm.common import BATCH_ROWS, prepare, text_bytes
+from tiersmith.llm.tokens import encoder, id_lists, merged
 
 PART_BYTES = 32 << 20
 ROW_GROUP_BYTES = 16 << 20
@@ -42,9 +42,10 @@ def encode_documents(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer)
-        for batch in it:
+        for batch in merged(it):
             lists = id_lists(ids_of.encode(batch.column("text").to_pylist()), end_id)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lengths(lists), crc32s(lists), lists], names=["doc_id", "n_tokens", "ids_crc32", "ids"])
+            ids = batch.column("doc_id").combine_chunks()
+            yield from pa.Table.from_arrays([ids, lengths(lists), crc32s(lists), lists], names=["doc_id", "n_tokens", "ids_crc32", "ids"]).to_batches(BATCH_ROWS)
 
     return ordered.mapInArrow(encode, "doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
 

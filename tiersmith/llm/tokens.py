@@ -1,11 +1,14 @@
 """Token ids of texts by the tokenizers library, which encodes each distinct word once.
 
 The pre-tokenizer of a byte-level BPE starts a new piece at every blank that a
-word follows, whatever stands before it, and each piece is encoded by itself. So
-a text is cut at its blanks, a worker keeps the ids of the words it has seen,
-and new words go to the library in one string: the bytes that each id stands for
-show where a word's ids end. Texts for which this does not hold (blanks before
-other white space, special tokens, other kinds of tokenizers) go to it whole.
+word follows, whatever stands before it, and takes a single line break between
+words as a piece by itself; each piece is encoded alone. So a text is cut at its
+blanks and line breaks, a worker keeps the ids of the words it has seen in one
+array, and new words go to the library in one string: the bytes that each id
+stands for show where a word's ids end. Words of a batch become numbers by a
+dictionary encoding of their whole strings, and ids are gathered for all words at
+once. Texts for which this does not hold (blanks before other white space, special
+tokens, other kinds of tokenizers) go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,13 +16,19 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LOOSE = re.compile(r" (?:\s|\Z)")
+LOOSE_LINE = re.compile(r"\n(?:\s|\Z)")
 MARKS = ".,;:!?"
-KEEP_WORDS = 300_000
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+KEEP_WORDS = 400_000
+#: Characters whose words are numbered at once.
+TAKE_CHARS = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -30,7 +39,11 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
+    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
+
+    A known word is a key: the word itself where a blank stands before it, or a line break and the word. Its ids are
+    ``size`` numbers of ``flat`` from ``start`` on.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,8 +52,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -49,60 +60,167 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()  # a byte-level token has a character for each byte
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         self.n_bytes[list(vocab.values())] = [len(t) for t in vocab]
+        self._keep({}, *(np.zeros(0, dtype=t) for t in (np.uint32, np.int64, np.int64, np.int64)))
+
+    def _keep(self, words: dict[str, int], flat: np.ndarray, start: np.ndarray, size: np.ndarray, hits: np.ndarray) -> None:
+        self.words, self.flat, self.start, self.size, self.hits = words, flat, start, size, hits
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _add(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Know the ids of ``keys``, which stand one after the other in ``ids``."""
+        first = len(self.words)
+        self.words.update(zip(keys, range(first, first + len(keys)), strict=True))
+        starts = len(self.flat) + np.cumsum(size) - size
+        hits = np.zeros(len(keys), dtype=np.int64)
+        self._keep(self.words, *(np.concatenate(x) for x in ((self.flat, ids), (self.start, starts), (self.size, size), (self.hits, hits))))
 
-    def _learn(self, words: list[str]) -> None:
-        """Keep the ids of words, each with a blank before it."""
-        with_blank = [" " + w for w in words]
-        (ids,) = self._whole(["".join(with_blank)])
-        ends = np.cumsum(self.n_bytes[np.frombuffer(ids, dtype="<u4")])
-        wanted = np.cumsum([len(w.encode()) for w in with_blank])
+    def _learn(self, keys: list[str], before: str) -> None:
+        """Have the library encode ``keys``, with ``before`` before each, in one string if its ids can be told apart."""
+        if not keys:
+            return
+        (ids,) = self._whole([before + before.join(keys)])
+        ends = np.cumsum(self.n_bytes[ids])
+        wanted = np.cumsum(pc.binary_length(pa.array(keys, type=pa.string())).to_numpy().astype(np.int64) + len(before))
         at = np.searchsorted(ends, wanted)
-        if at[-1] >= len(ends) or not np.array_equal(ends[at], wanted):
-            self.words.update(zip(words, self._whole(with_blank), strict=True))
+        if at[-1] < len(ends) and np.array_equal(ends[at], wanted):
+            self._add(keys, ids[: at[-1] + 1], np.diff(at, prepend=-1))
             return
-        marks = [0, *(4 * (at + 1)).tolist()]
-        self.words.update(zip(words, (ids[a:b] for a, b in zip(marks, marks[1:], strict=False)), strict=True))
-
-    def _learn_all(self, new: set[str]) -> None:
-        """Keep the ids of new words; one of letters before marks is two pieces, and only the letters may be new."""
-        whole, parts = set(), []
-        for word in new:
-            core = word.rstrip(MARKS)
-            if len(core) < len(word) and core.isalpha() and max(core) < "\u0250":
-                parts.append((word, core, word[len(core) :]))
-                word = core
-            if word not in self.words:
-                whole.add(word)
-        if whole:
-            self._learn(list(whole))
-        tails = {tail for _, _, tail in parts}.difference(self.tails)
-        self.tails.update(zip(tails, self._whole(list(tails)), strict=True))
-        self.words.update((word, self.words[core] + self.tails[tail]) for word, core, tail in parts)
+        each = self._whole([before + k for k in keys])
+        self._add(keys, np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64))
+
+    def _learn_all(self, new: list[str]) -> None:
+        """Know all ``new`` keys. One of letters before marks is two pieces, and only the letters may be new."""
+        plain: dict[str, None] = {}
+        parts = []
+        for key in new:
+            if key[-1] in MARKS:
+                core = key.rstrip(MARKS)
+                if LETTERS.fullmatch(core, core[:1] == "\n"):
+                    parts.append((key, core, key[len(core) :]))
+                    key = core
+                    if key in self.words:
+                        continue
+            plain[key] = None
+        self._learn([k for k in plain if k[:1] != "\n"], " ")
+        self._learn([k for k in plain if k[:1] == "\n"], "")
+        if parts:
+            tails = list({tail for _, _, tail in parts})
+            ids = dict(zip(tails, self._whole(tails), strict=True))
+            cores = np.array([self.words[core] for _, core, _ in parts])
+            own = np.array([len(ids[tail]) for _, _, tail in parts])
+            size = self.size[cores] + own
+            out = np.empty(int(size.sum()), dtype=np.uint32)
+            end = np.cumsum(size)
+            out[_spans(end - size, self.size[cores])] = self.flat[_spans(self.start[cores], self.size[cores])]
+            out[_spans(end - own, own)] = np.concatenate([ids[tail] for _, _, tail in parts])
+            self._add([key for key, _, _ in parts], out, size)
+
+    def _forget(self) -> None:
+        """Keep the words that came up more often; half of the limit stays at most."""
+        least, chosen = 1, np.zeros(0, dtype=np.int64)
+        while least <= max(self.hits, default=0):
+            chosen = np.flatnonzero(self.hits > least)
+            if len(chosen) <= KEEP_WORDS // 2:
+                break
+            least *= 2
+        names = list(self.words)
+        size = self.size[chosen]
+        flat = self.flat[_spans(self.start[chosen], size)]
+        words = {names[i]: k for k, i in enumerate(chosen.tolist())}
+        self._keep(words, flat, np.cumsum(size) - size, size, self.hits[chosen] // 2)
+
+    def _cut(self, text: str) -> str | None:
+        """The text with a blank before each word but the first, or None if it can't be cut."""
+        if not self.by_word or not text or LOOSE.search(text) or (self.special and self.special.search(text)):
+            return None
+        if "\n" in text and text[0] != "\n" and not LOOSE_LINE.search(text) and text.replace("\n", " ").isprintable():
+            return text.replace("\n", " \n")
+        return None if text[0] == "\n" else text
+
+    def _take(self, texts: list[str], heads: list[bool]) -> list[np.ndarray]:
+        """Ids of cut texts; where ``heads`` is set, the first word of a text has no blank before it."""
+        if len(self.words) > KEEP_WORDS:
+            self._forget()
+        lists = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bare = np.flatnonzero(heads)
+        inner = np.ones(len(codes), dtype=bool)
+        inner[bounds[bare]] = False
+        times = np.bincount(codes[inner], minlength=len(names))
+        used = np.flatnonzero(times)
+        keys = names[used].tolist()
+        self._learn_all([k for k in keys if k not in self.words])
+        known = np.full(len(names), len(self.words), dtype=np.int64)  # one past the last for words that only stand first
+        known[used] = np.fromiter(map(self.words.__getitem__, keys), dtype=np.int64, count=len(keys))
+        self.hits[known[used]] += times[used]
+        place = known[codes]
+        start, size, flat = np.append(self.start, 0)[place], np.append(self.size, 0)[place], self.flat
+        if len(bare):
+            first = self._whole(names[codes[bounds[bare]]].tolist())
+            size[bounds[bare]] = own = np.array([len(x) for x in first], dtype=np.int64)
+            start[bounds[bare]] = len(flat) + np.cumsum(own) - own
+            flat = np.concatenate((flat, *first))
+        ids = flat[_spans(start, size)]
+        ends = np.concatenate(([0], np.cumsum(size)))[bounds]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty."""
-        if len(self.words) > KEEP_WORDS:
-            self.words.clear()
-            self.tails.clear()
-        known = self.words
-        cuts: list[list[str] | None] = []
-        new: set[str] = set()
-        for text in texts:
-            if not text or not self.by_word or LOOSE.search(text) or (self.special and self.special.search(text)):
-                cuts.append(None)
-            else:
-                words = text.split(" ")
-                new.update(words[1:])
-                cuts.append(words)
-        new.difference_update(known)
-        self._learn_all(new)
-        whole = self._whole([(c[0] if c else text or "") for c, text in zip(cuts, texts, strict=True)])
-        get = known.__getitem__
-        return [b"".join([first, *map(get, c[1:])]) if c else first for c, first in zip(cuts, whole, strict=True)]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        whole = []
+        held: list[tuple[int, str, bool]] = []
+        chars = 0
+
+        def flush() -> None:
+            if held:
+                for (i, _, _), ids in zip(held, self._take([t for _, t, _ in held], [h for _, _, h in held]), strict=True):
+                    out[i].append(ids)
+                held.clear()
+
+        for i, text in enumerate(texts):
+            cut = self._cut(text or "")
+            if cut is None:
+                whole.append(i)
+                continue
+            at = 0
+            while at <= len(cut):
+                end = cut.find(" ", at + TAKE_CHARS)
+                end = len(cut) if end < 0 else end
+                held.append((i, cut[at:end] if at or end < len(cut) else cut, at == 0))
+                chars += end - at
+                at = end + 1
+                if chars > TAKE_CHARS:
+                    flush()
+                    chars = 0
+        flush()
+        for i, ids in zip(whole, self._whole([texts[i] or "" for i in whole]), strict=True):
+            out[i].append(ids)
+        return [b"".join(x.astype("<u4", copy=False).tobytes() for x in found) for found in out]
+
+
+def merged(it: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.Table]:
+    """Record batches put together to some million characters, so that a word is looked up less often."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in it:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= TAKE_CHARS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the spans [start, start + size), one after the other."""
+    total = int(size.sum())
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
 
 
 _ENCODERS: dict[str, Encoder] = {}

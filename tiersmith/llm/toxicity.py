@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ from tiersmith.llm.common import cut, prepare, remainder, string_buffer
 from tiersmith.llm.trees import Boosted, boost, isotonic
 
 SAMPLE_ROWS = 20_000
-FOLDS = 4
+FOLDS = 10
 TERMS = 5_000
 BEGINNINGS = (4, 5, 6)
+#: Documents of a term that may be in the lexicon, and of one that is tested against chance; share of wrong ones among those.
+LEAST, RARE, FALSE = 3, 60, 0.3
 
 # Words of the second person in the languages of the corpus.
 SECOND_PERSON = frozenset(
@@ -53,24 +56,62 @@ def terms_of(words: Iterable[str]) -> set[str]:
     return terms
 
 
-def make_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
+def chance(t: int, n: int, usual: float) -> float:
+    """Probability of ``t`` or more toxic documents among ``n`` at the usual share."""
+    return sum(comb(n, k) * usual**k * (1 - usual) ** (n - k) for k in range(t, n + 1))
+
+
+def chance_bound(pairs: list[tuple[int, int]], sizes: dict[int, int], usual: float) -> float:
+    """The largest chance that a term may have, for an expected FALSE of wrong ones among the terms up to there.
+
+    ``pairs`` has (toxic documents, documents) of terms in LEAST to RARE documents, ``sizes`` the number of all terms
+    by documents. A term of n documents reaches few different chances, so what is expected is added up by n.
+    """
+    steps = {n: sorted(chance(t, n, usual) for t in range(n + 1)) for n in sizes}
+    found = sorted(chance(t, n, usual) for t, n in pairs)
+    bound = -1.0
+    for k, p in enumerate(found, start=1):
+        wrong = sum(sizes[n] * max((x for x in steps[n] if x <= p), default=0.0) for n in sizes)
+        if wrong <= FALSE * k and (k == len(found) or found[k] > p):
+            bound = p
+    return bound
+
+
+def rare_terms(toxic: Counter, clean: Counter) -> list[tuple[int, int]]:
+    """(toxic documents, documents) of the terms that may be rare and in the lexicon."""
+    pairs = [(t, t + clean.get(term, 0)) for term, t in toxic.items()]
+    return [(t, n) for t, n in pairs if t and LEAST <= n <= RARE]
+
+
+def least_share(n_toxic: int, n_clean: int) -> float:
+    """What the share of toxic documents of a term must reach: three times the usual share, but at most a third of the
+    way from it to 1, or 0.3 if that is more."""
+    usual = n_toxic / max(1, n_toxic + n_clean)
+    return max(0.3, min(3 * usual, usual + (1 - usual) / 3))
+
+
+def make_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, bound: float = -1.0) -> dict[str, float]:
     """Weights of the terms that mark toxic documents beyond chance, at most TERMS of them.
 
     A term counts once for a document. It stays if the lower bound of its share
-    of toxic documents (three standard errors) is above three times the usual
-    share, but at most a third of the way from it to 1, or above 0.3 if that is
-    more. Its weight is the log-odds.
+    of toxic documents (three standard errors) reaches ``least_share``. Its weight
+    is the log-odds.
+
+    With few labels hardly a term gets there. A term of LEAST to RARE documents also
+    stays if its share itself does and its chance is ``bound`` at most, see
+    ``chance_bound``. The weight of such a term shrinks by the ratio of its lower
+    bound to its share.
     """
     usual = n_toxic / max(1, n_toxic + n_clean)
-    least = max(0.3, min(3 * usual, usual + (1 - usual) / 3))
+    least = least_share(n_toxic, n_clean)
+    rows = {term: (t, t + clean.get(term, 0)) for term, t in toxic.items() if t}
     found = []
-    for term, t in toxic.items():
-        n = t + clean.get(term, 0)
+    for term, (t, n) in rows.items():
         p, z2 = t / n, 9.0
         low = (p + z2 / (2 * n) - 3 * np.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-        if low >= least:
+        if low >= least or LEAST <= n <= RARE and p >= least and chance(t, n, usual) <= bound:
             weight = np.log((t + 0.5) / (n_toxic + 1)) - np.log((n - t + 0.5) / (n_clean + 1))
-            found.append((float(low), term, float(weight)))
+            found.append((float(low), term, float(weight if low >= least else weight * low / p)))
     found.sort(key=lambda x: (-x[0], x[1]))
     return {term: weight for _, term, weight in found[:TERMS]}
 
@@ -192,12 +233,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     toxic_sum = sum((F.col(f"n{f}1") for f in range(FOLDS)), F.lit(0))
     clean_sum = sum((F.col(f"n{f}0") for f in range(FOLDS)), F.lit(0))
     # Terms that could enter a lexicon; the sample bounds them.
-    likely = counts.where((toxic_sum >= 3) & (2 * toxic_sum >= clean_sum)).collect()
+    likely = counts.where((toxic_sum >= LEAST) & (2 * toxic_sum >= clean_sum)).collect()
+    by_size = counts.select((toxic_sum + clean_sum).alias("n")).where(F.col("n").between(LEAST, RARE)).groupBy("n").count()
+    n_terms = {r["n"]: r["count"] for r in by_size.collect()}  # RARE rows at most
 
-    def lexicon(without: int | None) -> dict[str, float]:
+    def counted(without: int | None = None) -> tuple[Counter, Counter, int, int]:
         folds = [f for f in range(FOLDS) if f != without]
-        t, c = ({r["term"]: n for r in likely if (n := sum(r[f"n{f}{y}"] for f in folds))} for y in (1, 0))
-        return make_lexicon(Counter(t), Counter(c), *(sum(sizes.get((f, y), 0) for f in folds) for y in (1, 0)))
+        t, c = (Counter({r["term"]: n for r in likely if (n := sum(r[f"n{f}{y}"] for f in folds))}) for y in (1, 0))
+        return t, c, *(sum(sizes.get((f, y), 0) for f in folds) for y in (1, 0))
+
+    toxic, clean, *_ = counted()
+    least = least_share(n_toxic, n_clean)
+    bound = chance_bound([(t, n) for t, n in rare_terms(toxic, clean) if t / n >= least], n_terms, n_toxic / (n_toxic + n_clean))
+
+    def lexicon(without: int | None) -> dict[str, float]:
+        return make_lexicon(*counted(without), bound)
 
     by_fold = [Extractor(lexicon(f)) for f in range(FOLDS)]
 

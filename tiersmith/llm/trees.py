@@ -76,11 +76,14 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of a rising curve from scores to the share of ones: pooled adjacent violators, joined by lines."""
-    order = np.argsort(score, kind="stable")
+    """Points of a rising curve from scores to the share of ones: pooled adjacent violators, joined by lines.
+
+    Rows of equal score are one point from the start, so the curve does not depend on the order of rows.
+    """
+    points, place, rows = np.unique(score, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []  # sum of scores, sum of y, rows
-    for s, v in zip(score[order], y[order], strict=True):
-        blocks.append([float(s), float(v), 1.0])
+    for s, v, n in zip(points, np.bincount(place, y, len(points)), rows, strict=True):
+        blocks.append([float(s * n), float(v), float(n)])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
