@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 LOOSE = re.compile(r" (?:\s|\Z)")
 LOOSE_LINE = re.compile(r"\n(?:\s|\Z)")
 MARKS = ".,;:!?"
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-KEEP_WORDS = 400_000
+LETTERS = "^\n?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
+KEEP_WORDS = 700_000
 #: Characters whose words are numbered at once.
 TAKE_CHARS = 4 << 20
 
@@ -76,13 +76,14 @@ class Encoder:
         hits = np.zeros(len(keys), dtype=np.int64)
         self._keep(self.words, *(np.concatenate(x) for x in ((self.flat, ids), (self.start, starts), (self.size, size), (self.hits, hits))))
 
-    def _learn(self, keys: list[str], before: str) -> None:
-        """Have the library encode ``keys``, with ``before`` before each, in one string if its ids can be told apart."""
-        if not keys:
+    def _learn(self, words: pa.Array, before: str) -> None:
+        """Have the library encode new keys, with ``before`` before each, in one string if its ids can be told apart."""
+        if not len(words):
             return
+        keys = words.to_numpy(zero_copy_only=False).tolist()
         (ids,) = self._whole([before + before.join(keys)])
         ends = np.cumsum(self.n_bytes[ids])
-        wanted = np.cumsum(pc.binary_length(pa.array(keys, type=pa.string())).to_numpy().astype(np.int64) + len(before))
+        wanted = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + len(before))
         at = np.searchsorted(ends, wanted)
         if at[-1] < len(ends) and np.array_equal(ends[at], wanted):
             self._add(keys, ids[: at[-1] + 1], np.diff(at, prepend=-1))
@@ -92,30 +93,33 @@ class Encoder:
 
     def _learn_all(self, new: list[str]) -> None:
         """Know all ``new`` keys. One of letters before marks is two pieces, and only the letters may be new."""
-        plain: dict[str, None] = {}
-        parts = []
-        for key in new:
-            if key[-1] in MARKS:
-                core = key.rstrip(MARKS)
-                if LETTERS.fullmatch(core, core[:1] == "\n"):
-                    parts.append((key, core, key[len(core) :]))
-                    key = core
-                    if key in self.words:
-                        continue
-            plain[key] = None
-        self._learn([k for k in plain if k[:1] != "\n"], " ")
-        self._learn([k for k in plain if k[:1] == "\n"], "")
-        if parts:
-            tails = list({tail for _, _, tail in parts})
-            ids = dict(zip(tails, self._whole(tails), strict=True))
-            cores = np.array([self.words[core] for _, core, _ in parts])
-            own = np.array([len(ids[tail]) for _, _, tail in parts])
-            size = self.size[cores] + own
+        keys = pa.array(new, type=pa.string())
+        cores = pc.utf8_rtrim(keys, MARKS)
+        marked = pc.and_(pc.not_equal(pc.binary_length(cores), pc.binary_length(keys)), pc.match_substring_regex(cores, LETTERS))
+        whole = keys.filter(pc.invert(marked))
+        keys, cores = keys.filter(marked), cores.filter(marked).dictionary_encode()
+        heads = cores.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [k for k in heads if k not in self.words]
+        if fresh:  # the letters of a new key may be a new key of their own
+            whole = pc.unique(pa.concat_arrays([whole, pa.array(fresh, type=pa.string())]))
+        line = pc.starts_with(whole, "\n")
+        self._learn(whole.filter(pc.invert(line)), " ")
+        self._learn(whole.filter(line), "")
+        if len(keys):
+            head = np.array([self.words[k] for k in heads], dtype=np.int64)[cores.indices.to_numpy()]
+            names = keys.to_numpy(zero_copy_only=False).tolist()
+            ends = [k[len(k.rstrip(MARKS)) :] for k in names]
+            kinds = list(set(ends))
+            number = {k: i for i, k in enumerate(kinds)}
+            each = self._whole(kinds)
+            tail = np.array([number[k] for k in ends])
+            lengths = np.array([len(x) for x in each])
+            own, size = lengths[tail], self.size[head] + lengths[tail]
             out = np.empty(int(size.sum()), dtype=np.uint32)
             end = np.cumsum(size)
-            out[_spans(end - size, self.size[cores])] = self.flat[_spans(self.start[cores], self.size[cores])]
-            out[_spans(end - own, own)] = np.concatenate([ids[tail] for _, _, tail in parts])
-            self._add([key for key, _, _ in parts], out, size)
+            out[_spans(end - size, self.size[head])] = self.flat[_spans(self.start[head], self.size[head])]
+            out[_spans(end - own, own)] = np.concatenate(each)[_spans((np.cumsum(lengths) - lengths)[tail], own)]
+            self._add(names, out, size)
 
     def _forget(self) -> None:
         """Keep the words that came up more often; half of the limit stays at most."""
@@ -154,9 +158,15 @@ class Encoder:
         times = np.bincount(codes[inner], minlength=len(names))
         used = np.flatnonzero(times)
         keys = names[used].tolist()
-        self._learn_all([k for k in keys if k not in self.words])
+        get = self.words.get
+        slots = [get(k) for k in keys]
+        new = [i for i, slot in enumerate(slots) if slot is None]
+        if new:
+            self._learn_all([keys[i] for i in new])
+            for i in new:
+                slots[i] = self.words[keys[i]]
         known = np.full(len(names), len(self.words), dtype=np.int64)  # one past the last for words that only stand first
-        known[used] = np.fromiter(map(self.words.__getitem__, keys), dtype=np.int64, count=len(keys))
+        known[used] = slots
         self.hits[known[used]] += times[used]
         place = known[codes]
         start, size, flat = np.append(self.start, 0)[place], np.append(self.size, 0)[place], self.flat
