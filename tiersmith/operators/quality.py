@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tiersmith.functions.numbers import parse_integer
@@ -46,6 +46,7 @@ def parse_or_quarantine(
     policy: str = "default",
     out: str = "parsed",
     target: str = "int",
+    observation: Observation | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Read integer text; returns (good, bad).
 
@@ -53,18 +54,26 @@ def parse_or_quarantine(
     ``bad`` and, by policy: ``default`` takes the default, ``quarantine`` leaves
     the row out of ``good``, ``fail`` stops the job that reads ``good``.
     ``good`` has a ``status`` of parsed, absent or defaulted.
+
+    An ``observation`` counts what is found (n_rows, n_absent, n_malformed) in the
+    job that reads ``good``, without a scan of its own; it is complete once that
+    job has ended.
     """
     read = df.withColumn("_number", parse_integer(F.col(col), target))
     malformed = F.col(col).isNotNull() & F.col("_number").isNull()
+    seen = read
+    if observation is not None:
+        counts = {"n_rows": F.count("*"), "n_absent": F.count_if(F.col(col).isNull()), "n_malformed": F.count_if(malformed)}
+        seen = read.observe(observation, *[c.alias(name) for name, c in counts.items()])
     bad = read.where(malformed).drop("_number")
     status = F.when(F.col(col).isNull(), "absent").when(malformed, "defaulted").otherwise("parsed")
     if policy == "quarantine":
-        rows = read.where(~malformed)
+        rows = seen.where(~malformed)
     elif policy == "fail":
         message = F.concat(F.lit(f"{col} is not an integer: "), F.col(col))
-        rows = read.where(F.when(malformed, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+        rows = seen.where(F.when(malformed, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     elif policy == "default":
-        rows = read
+        rows = seen
     else:
         raise ValueError(f"unknown policy {policy!r}")
     value = F.coalesce("_number", F.lit(default).cast(target))

@@ -10,14 +10,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tiersmith import operators as ops
 from tiersmith.functions import ladder as first_present
 from tiersmith.plans import flows
 from tiersmith.session import ensure_checkpoint_dir
-from tiersmith.sources import create_buckets, read_buckets, update_buckets, upsert_buckets
+from tiersmith.sources import create_buckets, read_buckets, read_packed, update_buckets, upsert_buckets, write_packed
 from tiersmith.sources import tables as t
 from tiersmith.sources.tables import LAYERS, MOUNT_ORDER
 
@@ -639,6 +639,26 @@ def parse_or_quarantine_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("entity", "port_text")
 
 
+@query(
+    "parse_counts",
+    "entities",
+    PORT_SQL
+    + """
+    select grp, count(*) as n, count(*) filter (port is not null) as n_parsed,
+           (select count(*) from read) as n_rows, (select count(*) from read where port_text is null) as n_absent,
+           (select count(*) from read where port_text is not null and port is null) as n_malformed
+    from read join entities using (entity) where entities.port_text is null or port is not null group by grp
+    """,
+)
+def parse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good rows by group, and beside them what one and the same job counted of all rows."""
+    seen = Observation()
+    good, _ = ops.parse_or_quarantine(t.entities(spark, sf_dir), "port_text", PORT, "quarantine", "port", observation=seen)
+    ensure_checkpoint_dir(spark)
+    groups = good.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "parsed").alias("n_parsed")).checkpoint()
+    return groups.withColumns({name: F.lit(seen.get[name]) for name in ("n_rows", "n_absent", "n_malformed")})
+
+
 LOCATION_SQL = r"""
     , parts as (
         select *, lower(regexp_extract(location, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) as scheme,
@@ -1041,6 +1061,15 @@ def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.render_documents(ops.latest_setting(log), list(DEFAULTS), sizing=log)
 
 
+@query("packed_documents", "settings_log", _render_sql(2))
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in the order of their entities, and read back."""
+    log = t.settings_log(spark, sf_dir)
+    path = _state_path(spark, "documents")
+    write_packed(ops.render_documents(ops.latest_setting(log), list(DEFAULTS), part_lines=2, sizing=log), path)
+    return read_packed(spark, path)
+
+
 @query("render_documents_parts", "settings_log", _render_sql(2))
 def render_documents_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = t.settings_log(spark, sf_dir)
