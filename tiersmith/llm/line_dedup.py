@@ -198,9 +198,8 @@ def removed_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     by_key = variants.groupBy("v1", "v2").agg(F.min(F.when(F.col("at") < 0, F.col("place"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("place"))).alias("cut"))
     same_place = firsts.where("n > 1").select("v1", "v2", "at", "first")
     other = by_key.where("whole is not null and cut is not null")
-    # A variant may belong to very many lines: these joins can be split at it, next to the aggregates they could not.
-    near = split_join(variants, same_place, ["v1", "v2", "at"], "inner").select("place", F.col("first").alias("witness")).where("witness < place")
-    added = split_join(variants, other, ["v1", "v2"], "inner").select("place", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("witness")).where("witness < place")
+    near = variants.join(same_place, ["v1", "v2", "at"]).select("place", F.col("first").alias("witness")).where("witness < place")
+    added = variants.join(other, ["v1", "v2"]).select("place", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("witness")).where("witness < place")
     pairs = near.unionAll(added).groupBy("place").agg(F.min("witness").alias("witness"))
 
     spots = fetched.select(place.alias("place"), "words", "h1", "h2")
@@ -214,6 +213,7 @@ def removed_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
 
     near_removed = checked.select("h1", "h2", "words", "other").mapInArrow(verify, "h1 long, h2 long").withColumn("near", F.lit(True))
     gone = unique.join(near_removed, ["h1", "h2"], "left").where("near or n > 1").select("h1", "h2", F.col("place").alias("first"), "near")
+    # A line may occur very often: next to the aggregate of ``unique`` this join could not be split at it.
     return split_join(lines, gone, ["h1", "h2"], "inner").where(F.col("near").isNotNull() | (F.col("first") < place)).select(*PLACE).distinct()
 
 

@@ -26,9 +26,9 @@ LOOSE = re.compile(r" (?:\s|\Z)")
 LOOSE_LINE = re.compile(r"\n(?:\s|\Z)")
 MARKS = ".,;:!?"
 LETTERS = "^\n?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
-KEEP_WORDS = 700_000
+KEEP_WORDS = 300_000
 #: Characters whose words are numbered at once.
-TAKE_CHARS = 4 << 20
+TAKE_CHARS = 2 << 20
 
 
 def default_tokenizer() -> str:
