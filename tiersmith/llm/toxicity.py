@@ -27,6 +27,8 @@ SAMPLE_ROWS = 20_000
 FOLDS = 10
 TERMS = 5_000
 BEGINNINGS = (4, 5, 6)
+#: Terms that a task counts before it hands them on.
+HELD_TERMS = 100_000
 #: Documents of a term that may be in the lexicon, and of one that is tested against chance; share of wrong ones among those.
 LEAST, RARE, FALSE = 3, 60, 0.3
 
@@ -215,13 +217,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = cut(rows.join(F.broadcast(sample), "_id").dropDuplicates(["_id"]))  # ``sample_rows`` texts at most
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], Counter] = {}
+        seen: Counter = Counter()
+
+        def handed() -> pa.RecordBatch:
+            fold, y, term = (pa.array(c, t) for c, t in zip(zip(*seen, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True))
+            return pa.RecordBatch.from_arrays([fold, y, term, pa.array(list(seen.values()), pa.int64())], names=["fold", "y", "term", "n"])
+
         for batch in it:
             for x, y, f in zip(*(batch.column(c).to_pylist() for c in ("_text", "_y", "_fold")), strict=True):
-                seen.setdefault((f, y), Counter()).update(terms_of(words_of(x)))
-        for (f, y), c in seen.items():
-            n = len(c)
-            yield pa.RecordBatch.from_arrays([pa.array([f] * n, pa.int32()), pa.array([y] * n, pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["fold", "y", "term", "n"])
+                seen.update((f, y, term) for term in terms_of(words_of(x)))
+                if len(seen) > HELD_TERMS:
+                    yield handed()
+                    seen.clear()
+        if seen:
+            yield handed()
 
     sizes = {(r["_fold"], r["_y"]): r["count"] for r in texts.groupBy("_fold", "_y").count().collect()}
     n_toxic, n_clean = (sum(v for (_, y), v in sizes.items() if y == k) for k in (1, 0))
