@@ -15,6 +15,7 @@ lines whose halves occur nowhere else need not emit anything.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import END, cut, line_stream, mix, plain_names, powers, prefix_hash, prepare, sorted_groups, span_hash, word_spans
+from tiersmith.llm.common import END, cut, line_stream, mix, plain_names, powers, prefix_hash, prepare, scratch, sorted_groups, span_hash, word_spans
 from tiersmith.operators.joins import split_join
 
 #: Of fewer words one word is so large a part that near lines are mostly chance.
@@ -130,6 +131,13 @@ def half_table(df: DataFrame, min_words: int) -> DataFrame:
     return df.mapInArrow(run, "key long, h1 long")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a new table in the shared folder: computed once for all that read it, and packed tighter than a checkpoint."""
+    path = f"{scratch(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def within_one(a: list[str], b: list[str]) -> bool:
     """Whether one word added, left out or replaced at most makes the word lists equal."""
     if len(a) > len(b):
@@ -155,7 +163,7 @@ def removed_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     lines = cut(line_table(docs))
     unique = cut(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")))
 
-    halves = half_table(docs, min_words)
+    halves = _written(half_table(docs, min_words))
     shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
     likely = halves.join(shared, "key", "left_semi").select("h1").distinct()
     chosen = unique.join(likely, "h1", "left_semi").select("place.*")
