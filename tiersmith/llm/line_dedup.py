@@ -160,8 +160,8 @@ def removed_lines(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     prepare(df.sparkSession)
     docs = _identified(df, doc_id, text)
     place = F.struct(*PLACE)
-    lines = cut(line_table(docs))
-    unique = cut(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")))
+    lines = _written(line_table(docs))
+    unique = _written(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")))
 
     halves = _written(half_table(docs, min_words))
     shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
