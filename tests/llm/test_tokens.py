@@ -39,6 +39,13 @@ def test_words_are_forgotten_when_there_are_too_many(monkeypatch):
     assert [own.encode([t])[0] for t in texts] == [raw(ids(t)) for t in texts]
 
 
+def test_bounds_of_memory_change_no_ids():
+    own = Encoder(PATH, keep_words=5, take_chars=16)
+    texts = [f"one two{i} three{i}. four " * 3 + "end" for i in range(20)]
+    assert own.encode(texts) == [raw(ids(t)) for t in texts]
+    assert own.encode(texts[::-1]) == [raw(ids(t)) for t in texts[::-1]] and len(own.words) < 60
+
+
 TEXTS = [None, "", " ", "a", "Hello world. " * 500, "x <|endoftext|> y", "dé 中文  two\n\nlines", "Hello world. " * 500]
 
 

@@ -88,19 +88,30 @@ def _plan(histogram: dict[int, int], capacity: int, long_first: bool) -> list[Pa
     return out
 
 
-def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces_of(
+    df: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    capacity: int,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep_words: int | None = None,
+    take_chars: int | None = None,
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents as ids with ``end_id`` after them, cut where too long.
 
     A document of more than ``capacity`` ids is cut into pieces of that size;
     what doesn't fill one is the first piece. A null or empty text is the end id alone.
+    ``keep_words`` and ``take_chars`` bound a worker's memory: the words it keeps and
+    the characters it encodes at once (null: those of ``tokens``). They change no result.
     """
     prepare(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer)
-        for batch in merged(it):
+        ids_of = encoder(tokenizer, keep_words, take_chars)
+        for batch in merged(it, chars=take_chars):
             out: list[tuple] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of.encode(batch.column("text").to_pylist()), strict=True):
                 ids += end
@@ -164,11 +175,20 @@ def pack(items: DataFrame, capacity: int, length: str = "length", rank_rows: int
     )
 
 
-def pack_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(
+    df: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    capacity: int,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep_words: int | None = None,
+    take_chars: int | None = None,
+) -> DataFrame:
     """Pieces of all documents with their place in a sequence.
 
     A null or empty text is the end id alone, a text of any length is cut into pieces, repeated rows are pieces each
     and ties are placed in any order; a null id stays null. An empty table gives no rows. Columns of ``df`` other than
-    the two named are not read.
+    the two named are not read. ``keep_words`` and ``take_chars`` are those of ``pieces_of``.
     """
-    return pack(pieces_of(df, tokenizer, end_id, capacity, doc_id, text), capacity)
+    return pack(pieces_of(df, tokenizer, end_id, capacity, doc_id, text, keep_words, take_chars), capacity)

@@ -45,7 +45,8 @@ class Encoder:
     ``size`` numbers of ``flat`` from ``start`` on.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep_words: int | None = None, take_chars: int | None = None):
+        self.keep_words, self.take_chars = keep_words or KEEP_WORDS, take_chars or TAKE_CHARS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -126,7 +127,7 @@ class Encoder:
         least, chosen = 1, np.zeros(0, dtype=np.int64)
         while least <= max(self.hits, default=0):
             chosen = np.flatnonzero(self.hits > least)
-            if len(chosen) <= KEEP_WORDS // 2:
+            if len(chosen) <= self.keep_words // 2:
                 break
             least *= 2
         names = list(self.words)
@@ -145,7 +146,7 @@ class Encoder:
 
     def _take(self, texts: list[str], heads: list[bool]) -> list[np.ndarray]:
         """Ids of cut texts; where ``heads`` is set, the first word of a text has no blank before it."""
-        if len(self.words) > KEEP_WORDS:
+        if len(self.words) > self.keep_words:
             self._forget()
         lists = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
         coded = lists.values.dictionary_encode()
@@ -199,12 +200,12 @@ class Encoder:
                 continue
             at = 0
             while at <= len(cut):
-                end = cut.find(" ", at + TAKE_CHARS)
+                end = cut.find(" ", at + self.take_chars)
                 end = len(cut) if end < 0 else end
                 held.append((i, cut[at:end] if at or end < len(cut) else cut, at == 0))
                 chars += end - at
                 at = end + 1
-                if chars > TAKE_CHARS:
+                if chars > self.take_chars:
                     flush()
                     chars = 0
         flush()
@@ -213,14 +214,14 @@ class Encoder:
         return [b"".join(x.astype("<u4", copy=False).tobytes() for x in found) for found in out]
 
 
-def merged(it: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.Table]:
+def merged(it: Iterator[pa.RecordBatch], text: str = "text", chars: int | None = None) -> Iterator[pa.Table]:
     """Record batches put together to some million characters, so that a word is looked up less often."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in it:
         held.append(batch)
         size += batch.column(text).nbytes
-        if size >= TAKE_CHARS:
+        if size >= (chars or TAKE_CHARS):
             yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
@@ -233,15 +234,16 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep_words: int | None = None, take_chars: int | None = None) -> Encoder:
     """The encoder of this worker; its words stay for the next task."""
-    if path not in _ENCODERS:
+    key = (path, keep_words, take_chars)
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def id_lists(encoded: list[bytes], end_id: int) -> pa.ListArray:
