@@ -49,9 +49,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents with their places in sequences of 1024 ids; a document without words is its end id."""
     prepare(spark)
-    return packing.pack_documents(docs, default_tokenizer(), 2, 1024)
+    return packing.pack_documents(docs, default_tokenizer(), 2, 1024, keep_words=KEEP_WORDS, take_chars=TAKE_CHARS)
 
 
+#: The workers that pack have run the stages before, so they keep fewer words and encode fewer characters at once.
+KEEP_WORDS, TAKE_CHARS = 300_000, 2 << 20
+
 STAGES = [
     ("drop_toxic", drop_toxic),
     ("drop_lines", drop_lines),
