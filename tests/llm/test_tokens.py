@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tiersmith.llm import packing, token_store
-from tiersmith.llm.tokens import Encoder, default_tokenizer
+from tiersmith.llm.common import kept_by, powers
+from tiersmith.llm.tokens import Encoder, default_tokenizer, encoder
 
 PATH = default_tokenizer()
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -137,3 +138,11 @@ def test_packing_spreads_a_hot_length(spark):
     assert packing.pack(items.where("id < 0"), 10).count() == 0
     with pytest.raises(ValueError):
         packing.pack(items.selectExpr("id", "cast(null as int) as length"), 10)
+
+
+def test_a_worker_keeps_what_one_operator_needs():
+    own = encoder(PATH, 10)
+    assert encoder(PATH, 10) is own and kept_by("tokens") == {(PATH, 10, None): own}
+    powers(100)
+    assert kept_by("tokens") and len(powers(1)[0]) >= 100
+    assert kept_by("another") == {} and encoder(PATH, 10) is not own

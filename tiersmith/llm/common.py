@@ -7,6 +7,7 @@ number is a hash of the document id, so it is the same whenever it is computed.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -40,6 +41,26 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by(owner: str) -> dict:
+    """What the tasks of ``owner`` keep in this worker from one to the next.
+
+    A worker lives as long as its executor and serves one operator after the other. What others kept goes when
+    ``owner`` takes its turn, and the memory that they freed goes back to the system.
+    """
+    if owner not in _KEPT:
+        others = bool(_KEPT or _POWERS)
+        _KEPT.clear()
+        _POWERS.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if others else None
+        if trim:
+            trim(0)
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data."""
     prepare(spark)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import END, cut, line_stream, mix, plain_names, powers, prefix_hash, prepare, scratch, sorted_groups, span_hash, word_spans
+from tiersmith.llm.common import END, cut, kept_by, line_stream, mix, plain_names, powers, prefix_hash, prepare, scratch, sorted_groups, span_hash, word_spans
 from tiersmith.operators.joins import split_join
 
 #: Of fewer words one word is so large a part that near lines are mostly chance.
@@ -40,10 +40,12 @@ class Lines:
     """Lines with at least one word of a batch of texts, as spans of a word array."""
 
     def __init__(self, texts: pa.Array):
+        kept_by("lines")
         data, per_row = line_stream(texts)
         ends = np.flatnonzero(data == END)
         starts, stops = word_spans(data)
-        self.words = span_hash(prefix_hash(data), starts, stops)
+        by_byte = prefix_hash(data)
+        self.words = span_hash(by_byte, starts, stops)
         self.sums = prefix_hash(self.words)
         line = np.searchsorted(ends, starts)
         heads = sorted_groups(line)
@@ -57,7 +59,7 @@ class Lines:
         self.text_spans = (begin, ends[number])
         self.data = data
         self.by_words = span_hash(self.sums, self.first, self.last)
-        self.by_bytes = span_hash(prefix_hash(data), *self.text_spans)
+        self.by_bytes = span_hash(by_byte, *self.text_spans)
 
     def half_keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lines and keys of their halves.

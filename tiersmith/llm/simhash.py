@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut, plain_names, prepare, sorted_groups, token_stream, word_spans
+from tiersmith.llm.common import cut, kept_by, plain_names, prepare, sorted_groups, token_stream, word_spans
 from tiersmith.llm.components import components, stars
 
 SEED = 42
@@ -61,6 +61,7 @@ def fingerprints(df: DataFrame, k: int, doc_id: str = "doc_id", text: str = "tex
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def compute(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("simhash")
         for batch in it:
             found = simhash(*token_stream(batch.column("text")), k)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"])

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tiersmith.llm.common import kept_by
+
 LOOSE = re.compile(r" (?:\s|\Z)")
 LOOSE_LINE = re.compile(r"\n(?:\s|\Z)")
 MARKS = ".,;:!?"
@@ -234,16 +236,13 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, keep_words: int | None = None, take_chars: int | None = None) -> Encoder:
     """The encoder of this worker; its words stay for the next task."""
-    key = (path, keep_words, take_chars)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(*key)
-    return _ENCODERS[key]
+    key, kept = (path, keep_words, take_chars), kept_by("tokens")
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(*key)
+    return kept[key]
 
 
 def id_lists(encoded: list[bytes], end_id: int) -> pa.ListArray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.common import cut, prepare, remainder, string_buffer
+from tiersmith.llm.common import cut, kept_by, prepare, remainder, string_buffer
 from tiersmith.llm.trees import Boosted, boost, isotonic
 
 SAMPLE_ROWS = 20_000
@@ -217,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = cut(rows.join(F.broadcast(sample), "_id").dropDuplicates(["_id"]))  # ``sample_rows`` texts at most
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         seen: Counter = Counter()
 
         def handed() -> pa.RecordBatch:
@@ -261,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     by_fold = [Extractor(lexicon(f)) for f in range(FOLDS)]
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         for batch in it:
             fold = batch.column("_fold").to_numpy()
             for f in np.unique(fold):
@@ -284,6 +286,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (remainder(F.col(doc_id), held_out_of) == 0).alias("held_out"), F.col(text).cast("string").alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         extractor = Extractor(model.lexicon)
         for batch in it:
             s = model.score(batch.column("text"), extractor)
@@ -296,6 +299,7 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with all its columns, without the rows whose score is 0.5 or more."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         extractor = Extractor(model.lexicon)
         for batch in it:
             yield batch.filter(pa.array(model.score(batch.column(text), extractor) < 0.5))
