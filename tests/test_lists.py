@@ -59,6 +59,48 @@ def test_a_null_child_has_its_own_list(spark):
         assert {k: [p for _, p in v] for k, v in got.items()} == {(1, None): ["/s", "/n"], (1, 2): second}
 
 
+def shuffled_rows(df):
+    """Rows that the shuffles of an executed ``df`` wrote."""
+    total, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        if kind == "ShuffleExchangeExec":
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+@pytest.mark.parametrize("part_rows", [7, 1000])
+def test_running_lists_are_not_shuffled_item_by_item(spark, part_rows):
+    n = 300  # children of one parent, whose lists have n * (n + 1) / 2 items
+    mounts = [(1, c, 1, "v", f"/{c}") for c in range(n)] + [(2, 1, 1, "none", "/x")]
+    placed = placed_of(spark, mounts, [(1, "v")], [], True).checkpoint()
+    df = ops.attached_lists(placed, part_rows=part_rows)
+    rows = df.collect()
+    lists = {}
+    for r in sorted(rows, key=lambda r: r.part):
+        lists.setdefault((r.parent, r.child), []).extend(m.path for m in r.mounts)
+    assert lists == {(1, c): [f"/{k}" for k in range(c + 1)] for c in range(n)} | {(2, 1): []}
+    assert sum(r.n_items for r in rows) == n * (n + 1) // 2
+    assert shuffled_rows(df) <= len(rows) + 3 * len(mounts) < n * (n + 1) // 4
+
+
+def test_a_list_ends_with_the_mounts_of_its_parent(spark):
+    mounts = [(1, c, 1, "v", f"/{c}") for c in range(5)]
+    placed = placed_of(spark, mounts, [(1, "v")], [], True)
+    asked = spark.createDataFrame([(1, 4, 50), (1, 9, 0), (1, None, 3), (7, 1, 9), (None, 2, 9)], "parent long, child long, last_pos long")
+    got = sorted(((str(r.parent), str(r.child), r.part, r.n_items, [m.path for m in r.mounts]) for r in ops.attached_lists(placed, asked, part_rows=2).collect()))
+    whole = [(0, 2, ["/0", "/1"]), (1, 2, ["/2", "/3"]), (2, 1, ["/4"])]
+    want = [("1", "4", *x) for x in whole] + [("1", "9", 0, 0, []), ("7", "1", 0, 0, []), ("None", "2", 0, 0, [])]
+    assert got == sorted([*want, ("1", "None", 0, 2, ["/0", "/1"]), ("1", "None", 1, 1, ["/2"])])
+
+
 @pytest.mark.parametrize("bucket", [1, 4, 1000])
 def test_interval_join_equals_brute_force(spark, bucket):
     rng = random.Random(bucket)

@@ -129,16 +129,36 @@ def attached_lists(
     placed: DataFrame, children: DataFrame | None = None, cumulative: bool = True, part_rows: int = PART_ROWS
 ) -> DataFrame:
     """The lists of ``attached_items`` as arrays: (parent, child, part, n_items, mounts), ``mounts`` being structs of
-    (name, path) in order. A part holds ``part_rows`` mounts; a child without a match has one empty part."""
+    (name, path) in order. A part holds ``part_rows`` mounts; a child without a match has one empty part.
+
+    With ``cumulative`` a part of a child is the same part of its parent, cut at ``last_pos``. So the mounts are gathered
+    once for each parent, and a child meets arrays: what is shuffled grows with the mounts and the parts of the lists,
+    not with their items.
+    """
     children = attached_children(placed) if children is None else children
-    rows = attached_items(placed, children, cumulative).withColumn("part", part_of(F.col("pos"), part_rows))
-    items = F.array_sort(F.collect_list(F.struct("pos", "name", "path")))
-    lists = rows.groupBy("parent", "child", "part").agg(F.transform(items, lambda i: F.struct(i["name"], i["path"])).alias("mounts"))
-    joined = keyed_join(children.select("parent", "child"), lists, ["parent", "child"], "left")
-    mounts = F.coalesce("mounts", F.array().cast(lists.schema["mounts"].dataType))
+    if cumulative:
+        known = placed.where(F.col("known"))
+        blocks = _gathered(known.select("parent", "pos", "name", "path"), ["parent"], part_rows)
+        final = F.greatest(part_of(F.col("last_pos"), part_rows), F.lit(0))
+        wide = children.select("parent", "child", "last_pos", F.explode(F.sequence(F.lit(0), final)).alias("part"))
+        joined = split_join(wide, blocks, ["parent", "part"], "left")
+        joined = joined.where((F.col("part") == 0) | F.col("mounts").isNotNull())  # as far as the parent has mounts
+        room = F.col("last_pos") - F.col("part").cast("bigint") * part_rows
+        joined = joined.withColumn("mounts", F.slice("mounts", F.lit(1), F.least(room, F.lit(part_rows)).cast("int")))
+    else:
+        blocks = _gathered(attached_items(placed, children, cumulative), ["parent", "child"], part_rows)
+        joined = keyed_join(children.select("parent", "child"), blocks, ["parent", "child"], "left")
+    mounts = F.coalesce("mounts", F.array().cast(blocks.schema["mounts"].dataType))
     return joined.select("parent", "child", F.coalesce("part", F.lit(0)).alias("part"), F.size(mounts).alias("n_items"), mounts.alias("mounts"))
 
 
+def _gathered(items: DataFrame, keys: Sequence[str], part_rows: int) -> DataFrame:
+    """(keys, part, mounts): the (name, path) of each part of ``part_rows`` positions, in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "name", "path")))
+    mounts = F.transform(ordered, lambda i: F.struct(i["name"], i["path"]))
+    return items.withColumn("part", part_of(F.col("pos"), part_rows)).groupBy(*keys, "part").agg(mounts.alias("mounts"))
+
+
 def number_and_join(
     df: DataFrame,
     value: str,

@@ -804,8 +804,9 @@ LISTED_SQL = f"""
 
 def _placed(spark: SparkSession, sf_dir: str, cumulative: bool) -> DataFrame:
     mounts, volumes, shared = t.mounts(spark, sf_dir), t.volumes(spark, sf_dir), t.parent_mounts(spark, sf_dir)
-    ensure_checkpoint_dir(spark)  # the lists read what is placed twice
-    return ops.attach_matching(mounts, volumes, MOUNT_ORDER, cumulative, shared).checkpoint()
+    path = _state_path(spark, "placed")  # the lists read what is placed twice, and not all columns each time
+    ops.attach_matching(mounts, volumes, MOUNT_ORDER, cumulative, shared).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("attached_items", "mounts volumes parent_mounts", ATTACH_SQL + LISTED_SQL + "select * from items")
