@@ -47,6 +47,33 @@ def test_bounds_of_memory_change_no_ids():
     assert own.encode(texts[::-1]) == [raw(ids(t)) for t in texts[::-1]] and len(own.words) < 60
 
 
+LONG = "ofherithandaß çreelleÀÿĀɏ naïveñ Ciónja straße.. Œuvreî, łódźż"
+
+
+def test_new_words_of_letters_need_no_search_for_pieces(monkeypatch):
+    texts = [f"{LONG} {c}{LONG}\n{chr(0xC0 + i % 23)}{c * 3} x" for i, c in enumerate("ÀàßØøÿĀīłŒžǀɏaZ")]
+    monkeypatch.setattr("tiersmith.llm.tokens.LEARN_WORDS", 7)
+    own = Encoder(PATH)
+    searched = []
+    whole = own.tokenizer.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            searched.extend(texts)
+            return whole(texts, add_special_tokens=add_special_tokens)
+
+    own.tokenizer = Counted()
+    assert own.encode(texts) == [raw(ids(t)) for t in texts]
+    words = {w for t in searched for w in t.split(" ")[1:] if w.isalpha()}
+    assert not words
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aZàÀßñÿøØĀɏłŒ×÷ƛªº .\n\t\u00a0\x85\x1c\u3000", max_size=40), max_size=6))
+def test_letters_and_white_space_equal_the_library(texts):
+    assert ENCODER.encode(texts) == [raw(ids(t)) for t in texts]
+
+
 TEXTS = [None, "", " ", "a", "Hello world. " * 500, "x <|endoftext|> y", "dé 中文  two\n\nlines", "Hello world. " * 500]
 
 

@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,27 @@ import pyarrow.compute as pc
 from tiersmith.llm.common import kept_by
 
 LOOSE = re.compile(r" (?:\s|\Z)")
-LOOSE_LINE = re.compile(r"\n(?:\s|\Z)")
 MARKS = ".,;:!?"
 LETTERS = "^\n?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
 KEEP_WORDS = 400_000
+#: New words that the library gets in one string.
+LEARN_WORDS = 16_384
 #: Characters whose words are numbered at once.
 TAKE_CHARS = 4 << 20
 
 
+def _visible() -> str:
+    """The character that stands for each byte in a byte-level vocabulary; a line break stays, and parts words."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    chars = [chr(b if b in own else next(others)) for b in range(0x100)]
+    return "".join(chars[:0x0A] + ["\n"] + chars[0x0B:])
+
+
+VISIBLE = _visible()
+BLANK = VISIBLE[0x20]
+
+
 def default_tokenizer() -> str:
     """Path of the public tokenizer file that the queries use."""
     import public_tokenizers
@@ -50,9 +64,11 @@ class Encoder:
     def __init__(self, path: str, keep_words: int | None = None, take_chars: int | None = None):
         self.keep_words, self.take_chars = keep_words or KEEP_WORDS, take_chars or TAKE_CHARS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)  # the same model, for words that are one piece as they stand
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
         with open(path, encoding="utf-8") as f:
@@ -79,12 +95,22 @@ class Encoder:
         hits = np.zeros(len(keys), dtype=np.int64)
         self._keep(self.words, *(np.concatenate(x) for x in ((self.flat, ids), (self.start, starts), (self.size, size), (self.hits, hits))))
 
-    def _learn(self, words: pa.Array, before: str) -> None:
-        """Have the library encode new keys, with ``before`` before each, in one string if its ids can be told apart."""
+    def _joined(self, keys: list[str], before: str, letters: bool) -> np.ndarray:
+        """Ids of ``keys`` with ``before`` before each, one after the other. A blank and ``letters`` are one piece: written
+        in the characters that stand for their bytes they need no search for pieces."""
+        text = before + before.join(keys)
+        if letters:
+            text = "\n".join(keys)
+            text = BLANK + (text if text.isascii() else text.encode().decode("latin-1").translate(VISIBLE)).replace("\n", f"\n{BLANK}")
+        encode = (self.letters if letters else self.tokenizer).encode_batch_fast
+        return np.array(encode([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def _learn(self, words: pa.Array, before: str, letters: bool = False) -> None:
+        """Have the library encode new keys, with ``before`` before each, in long strings if their ids can be told apart."""
         if not len(words):
             return
         keys = words.to_numpy(zero_copy_only=False).tolist()
-        (ids,) = self._whole([before + before.join(keys)])
+        ids = np.concatenate([self._joined(keys[i : i + LEARN_WORDS], before, letters) for i in range(0, len(keys), LEARN_WORDS)])
         ends = np.cumsum(self.n_bytes[ids])
         wanted = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + len(before))
         at = np.searchsorted(ends, wanted)
@@ -106,8 +132,11 @@ class Encoder:
         if fresh:  # the letters of a new key may be a new key of their own
             whole = pc.unique(pa.concat_arrays([whole, pa.array(fresh, type=pa.string())]))
         line = pc.starts_with(whole, "\n")
-        self._learn(whole.filter(pc.invert(line)), " ")
         self._learn(whole.filter(line), "")
+        whole = whole.filter(pc.invert(line))
+        plain = pc.match_substring_regex(whole, LETTERS)
+        self._learn(whole.filter(pc.invert(plain)), " ")
+        self._learn(whole.filter(plain), " ", letters=True)
         if len(keys):
             head = np.array([self.words[k] for k in heads], dtype=np.int64)[cores.indices.to_numpy()]
             names = keys.to_numpy(zero_copy_only=False).tolist()
@@ -140,11 +169,12 @@ class Encoder:
 
     def _cut(self, text: str) -> str | None:
         """The text with a blank before each word but the first, or None if it can't be cut."""
-        if not self.by_word or not text or LOOSE.search(text) or (self.special and self.special.search(text)):
+        if not self.by_word or not text or (self.special and self.special.search(text)):
             return None
-        if "\n" in text and text[0] != "\n" and not LOOSE_LINE.search(text) and text.replace("\n", " ").isprintable():
+        flat = text.replace("\n", " ")
+        if text[0] != "\n" and flat[-1] != " " and "  " not in flat and flat.isprintable():  # no other white space
             return text.replace("\n", " \n")
-        return None if text[0] == "\n" else text
+        return None if text[0] == "\n" or LOOSE.search(text) else text
 
     def _take(self, texts: list[str], heads: list[bool]) -> list[np.ndarray]:
         """Ids of cut texts; where ``heads`` is set, the first word of a text has no blank before it."""
@@ -161,13 +191,12 @@ class Encoder:
         times = np.bincount(codes[inner], minlength=len(names))
         used = np.flatnonzero(times)
         keys = names[used].tolist()
-        get = self.words.get
-        slots = [get(k) for k in keys]
-        new = [i for i, slot in enumerate(slots) if slot is None]
-        if new:
-            self._learn_all([keys[i] for i in new])
-            for i in new:
-                slots[i] = self.words[keys[i]]
+        slots = np.fromiter(map(self.words.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            unknown = [keys[i] for i in new.tolist()]
+            self._learn_all(unknown)
+            slots[new] = np.fromiter(map(self.words.__getitem__, unknown), dtype=np.int64, count=len(new))
         known = np.full(len(names), len(self.words), dtype=np.int64)  # one past the last for words that only stand first
         known[used] = slots
         self.hits[known[used]] += times[used]
