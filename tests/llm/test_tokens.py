@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tiersmith.llm import packing, token_store
 from tiersmith.llm.common import kept_by, powers
-from tiersmith.llm.tokens import Encoder, default_tokenizer, encoder
+from tiersmith.llm.tokens import Encoder, _apart, default_tokenizer, encoder
 
 PATH = default_tokenizer()
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -68,6 +68,44 @@ def test_new_words_of_letters_need_no_search_for_pieces(monkeypatch):
     assert not words
 
 
+def test_first_words_and_words_before_marks_need_no_search_for_pieces(monkeypatch):
+    texts = [f"{c}one{i} Head{c}### {c}two***\n{c}Line$$$ it's' {c}last.\"" for i, c in enumerate("aàßøĀɏ")]
+    own = Encoder(PATH)
+    searched = []
+    whole = own.tokenizer.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            searched.extend(texts)
+            return whole(texts, add_special_tokens=add_special_tokens)
+
+    own.tokenizer = Counted()
+    assert own.encode(texts) == [raw(ids(t)) for t in texts]
+    assert len(searched) == 2 and "#" not in "".join(searched) and "it's'" in "".join(searched)
+    searched.clear()
+    assert own.encode(texts[::-1]) == [raw(ids(t)) for t in texts[::-1]] and not searched
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr("tiersmith.llm.tokens.HASH_BYTES", 2)
+    own = Encoder(PATH, keep_words=30)
+    texts = [f"same{i} sane{i % 7} sad. sat\nsaw{i} sax" for i in range(40)]
+    for _ in range(2):
+        assert [own.encode([t])[0] for t in texts] == [raw(ids(t)) for t in texts]
+
+
+def test_a_model_that_joins_letters_and_marks_searches_for_pieces():
+    assert _apart({"merges": ["Ġ .", "Ġ a", "a b", "Ġa b"]})
+    for merge in ("b .", "Ġa ,", "Ċ a", "Ã¤ ;"):
+        assert not _apart({"merges": ["Ġ a", merge]})
+    assert not _apart({"merges": [], "ignore_merges": True})
+    own = Encoder(PATH)
+    assert own.by_letters
+    own.by_letters = False
+    texts = ["one two, three.\nfour ä!", " five\nsix", "\tseven eight"]
+    assert own.encode(texts) == [raw(ids(t)) for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="aZàÀßñÿøØĀɏłŒ×÷ƛªº .\n\t\u00a0\x85\x1c\u3000", max_size=40), max_size=6))
 def test_letters_and_white_space_equal_the_library(texts):
