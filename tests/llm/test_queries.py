@@ -1,6 +1,9 @@
 """The registered queries run over whole tables, and the pipeline does what its stages say."""
 
+import os
+
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from oracle import assert_same, duck
 
@@ -83,3 +86,25 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(map(tuple, whole.select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == sorted(
         map(tuple, packed.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
     )
+
+
+def test_stages_leave_room_for_the_next(spark, sf_dir, tmp_path, monkeypatch):
+    """A task holds a row group of the table between two stages, so that has a bound of its own; workers give freed arrays back."""
+    monkeypatch.setattr(corpus_pipeline, "ROW_GROUP_BYTES", 256 << 10)
+    text = "concat_ws(' ', sha2(string(id), 512), sha2(string(-id), 512), sha2(string(id + 0.5), 512), sha2(string(id / 7), 512))"
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", f"{text} as text", "'a' as source")
+    before = spark.conf.get("parquet.block.size", None)
+    try:
+        corpus_pipeline.drop_near_copies(spark, docs, sf_dir).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("parquet.block.size", before) if before else spark.conf.unset("parquet.block.size")
+    files = [pq.ParquetFile(f).metadata for f in sorted(tmp_path.glob("out/*.parquet"))]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 4000
+    assert max(g.total_byte_size for g in groups) < 1 << 20
+
+    def found(batches):
+        for batch in batches:
+            yield batch.assign(x=os.environ.get("MALLOC_MMAP_THRESHOLD_"))[["x"]]
+
+    assert [r.x for r in spark.range(1).mapInPandas(found, "x string").collect()] == [str(1 << 20)]

@@ -41,6 +41,15 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers from now on have one heap, and arrays of 1 MB and more go back to the system when they are freed.
+
+    That costs time, so it is for chains of operators, whose workers would add up what each operator has left.
+    """
+    for name, value in (("MALLOC_ARENA_MAX", "1"), ("MALLOC_MMAP_THRESHOLD_", str(1 << 20)), ("MALLOC_TRIM_THRESHOLD_", str(1 << 20))):
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 _KEPT: dict[str, dict] = {}
 
 
