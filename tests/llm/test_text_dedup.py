@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from llm_rows import documents
 
-from tiersmith.llm import common, line_dedup, simhash, span_dedup
+from tiersmith.llm import common, line_dedup, run_index, simhash, span_dedup
 from tiersmith.llm.components import components, stars
 from tiersmith.llm.run_index import RunIndex
 
@@ -166,6 +166,59 @@ def test_removed_spans(spark, block_bytes, many):
     assert sorted(tuple(r) for r in got.collect()) == brute_spans(rows, 100)
 
 
+def test_a_short_common_line_joins_no_runs():
+    rng = random.Random(4)
+    passage = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = passage(60)
+    texts = [passage(150) + line + passage(150) for _ in range(200)]
+    runs = span_dedup.Block(pa.table({"doc_id": pa.array(range(200), pa.int64()), "text": texts})).runs(100, 32)
+    pairs = set(zip(runs.anchor.tolist(), runs.content.tolist()))
+    assert len(pairs) == len({a for a, _ in pairs})  # no two different runs around one anchor: nothing to send on
+
+
+@pytest.mark.parametrize("anchor", [1, 32, 99, 100])
+def test_equal_windows_have_equal_anchors(anchor):
+    rng = random.Random(3)
+    line = bytes(rng.choice(b"ab") for _ in range(130))
+    texts = [(b"x" * i + line + bytes(rng.choice(b"abc") for _ in range(i))).decode() for i in range(40)] + ["a" * 99, ""]
+    block = span_dedup.Block(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}))
+    runs = block.runs(100, anchor)
+    of_window, seen = {}, 0
+    for doc, start, last, of_run in zip(runs.doc.tolist(), runs.start.tolist(), runs.last.tolist(), runs.anchor.tolist()):
+        for at in range(start, last + 1):
+            of_window.setdefault(block.texts[doc][at : at + 100], set()).add(of_run)
+            seen += 1
+    assert seen == sum(max(0, len(t) - 99) for t in texts) and all(len(a) == 1 for a in of_window.values())
+
+
+def test_places_in_the_order_of_keys():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 500):
+        a = rng.integers(0, 9, n, dtype=np.uint64) << np.uint64(40) | rng.integers(0, 3, n, dtype=np.uint64)
+        b = rng.integers(0, 3, n, dtype=np.uint64)
+        assert span_dedup._order(a, b).tolist() == np.lexsort((b, a)).tolist()
+        assert sorted(span_dedup._with_others(a).tolist()) == [i for i, x in enumerate(a) if (a == x).sum() > 1]
+
+
+def test_messages_grow_with_the_blocks_and_not_much_faster():
+    edges = span_dedup._edges(np.array([0, 1 << 46, (1 << 48) - 1], np.uint64), 48, 4)
+    assert edges.tolist() == [0, 1, 2, 2, 3]
+    assert [span_dedup._n_buckets(n) for n in (1, 10, 100, 128, 1000)] == [2, 20, 64, 64, 500]
+
+
+def test_suffixes_in_order_with_and_without_room_in_the_keys(monkeypatch):
+    rng = random.Random(7)
+    texts = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 90))) for letters in (b"ab", b"\0\xff", bytes(range(256))) for _ in range(20)]
+    texts += texts[:9]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    data = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+    want = [int(p) for _, _, p in sorted((t[i:], k, ends[k] - 1 - len(t) + i) for k, t in enumerate(texts) for i in range(len(t) + 1))]
+    assert run_index.suffix_array(data, ends).tolist() == want
+    numbered = run_index._numbered
+    monkeypatch.setattr(run_index, "_numbered", lambda key, at, bits, _: numbered(key, at, bits, 64))
+    assert run_index.suffix_array(data, ends).tolist() == want
+
+
 def test_spans_of_nothing_and_of_twins(spark):
     assert span_dedup.remove_repeats(documents(spark, [])).count() == 0
     twins = span_dedup.remove_repeats(documents(spark, [(None, "x" * 50 + "y" * 60)] + [(1, "x" * 50 + "y" * 60)] * 2), keep_text=True).collect()

@@ -12,7 +12,14 @@ from __future__ import annotations
 
 import numpy as np
 
-FIRST = 6  # symbols that the first sort key holds
+
+def _numbered(key: np.ndarray, at: np.ndarray, bits: int, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their keys, and the keys in that order. A place below 2 ** ``bits`` is sorted as the end of its key, if both have room in 64 bits."""
+    if key_bits + bits <= 64:
+        both = np.sort((key << np.uint64(bits)) | at)
+        return (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+    order = np.argsort(key)
+    return order, key[order]
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -20,30 +27,36 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
     A text's end comes before every byte, and ends by the order of the texts.
     """
-    n = len(data)
-    text = np.searchsorted(ends, np.arange(n), side="right")
-    end = ends[text] - 1  # place of the end mark
-    symbol = data.astype(np.uint64) + np.uint64(1)
+    n, n_texts = len(data), len(ends)
+    lengths = np.diff(ends, prepend=0)
+    text = np.repeat(np.arange(n_texts, dtype=np.uint64), lengths)
+    end = np.repeat(ends - 1, lengths)  # place of the end mark
+    used = np.bincount(data, minlength=256) > 0
+    symbol = np.cumsum(used).astype(np.uint64)[data]  # 1 is the least byte of the texts
     symbol[ends - 1] = 0
-    key = np.zeros(n, dtype=np.uint64)
-    at = np.arange(n)
-    for step in range(FIRST):
-        inside = at + step <= end
-        key = (key << np.uint64(10)) | np.where(inside, symbol[np.minimum(at + step, n - 1)], np.uint64(0))
-    _, rank = np.unique(key, return_inverse=True)
-    longest, reach = int((ends - np.concatenate(([0], ends[:-1]))).max()), FIRST
-    n_texts = np.uint64(len(ends))
+    at = np.arange(n, dtype=np.uint64)
+    bits, width = n.bit_length(), int(used.sum()).bit_length()
+    reach = max(1, (64 - bits) // width)  # symbols that the first sort key holds
+    key = symbol.copy()
+    for step in range(1, reach):
+        key <<= np.uint64(width)
+        key[: max(0, n - step)] |= np.where(np.arange(step, n) <= end[: max(0, n - step)], symbol[step:], np.uint64(0))
+    key_bits, longest = reach * width, int(lengths.max())
+    rank_bits = (n + n_texts).bit_length()
+    rank = np.empty(n, dtype=np.uint64)
+    done = False
     while True:
-        ahead = at + reach
-        second = np.where(ahead <= end, rank[np.minimum(ahead, n - 1)].astype(np.uint64) + n_texts, text.astype(np.uint64))
-        key = (rank.astype(np.uint64) << np.uint64(32)) | second
-        order = np.argsort(key, kind="stable")
-        if reach >= longest:
+        order, key = _numbered(key, at, bits, key_bits)
+        if done:
             return order
-        fresh = np.empty(n, dtype=np.int64)
-        sorted_key = key[order]
-        fresh[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
-        rank, reach = fresh, 2 * reach
+        rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])), dtype=np.uint64)
+        # The last round tells all suffixes apart, since by then each is compared as far as its end.
+        second = text.copy()
+        inside = np.flatnonzero(np.arange(reach, n) <= end[: max(0, n - reach)])
+        second[inside] = rank[inside + reach] + np.uint64(n_texts)
+        key, key_bits = (rank << np.uint64(rank_bits)) | second, 2 * rank_bits
+        done = reach >= longest
+        reach *= 2
 
 
 class RunIndex:
@@ -53,14 +66,20 @@ class RunIndex:
         self.data = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
         self.ends = np.cumsum([len(t) + 1 for t in texts])
         self.starts = self.ends - np.array([len(t) + 1 for t in texts])
+        self.end = np.repeat(self.ends - 1, self.ends - self.starts)
         self.order = suffix_array(self.data, self.ends)
-        before = np.where(np.isin(self.order, self.starts), -1, self.data[self.order - 1].astype(np.int64))
+        before = np.concatenate(([0], self.data[:-1])).astype(np.int16)
+        before[self.starts] = -1
+        before = before[self.order]
         head = np.ones(len(before), dtype=bool)
         head[1:] = (before[1:] != before[:-1]) | (before[1:] < 0)
         heads = np.flatnonzero(head)
         self.n_runs = len(heads)
         # What stands before a head can't be streamed to, so it is sampled, and so are the ends of the texts.
-        self.position = np.sort(np.concatenate((self.order[heads][before[heads] >= 0] - 1, self.ends - 1)))
+        sampled = np.zeros(len(self.data), dtype=bool)
+        sampled[self.order[heads][before[heads] >= 0] - 1] = True
+        sampled[self.ends - 1] = True
+        self.position = np.flatnonzero(sampled)
         place = np.empty(len(self.order), dtype=np.int64)
         place[self.order] = np.arange(len(self.order))
         place = place[self.position]
@@ -69,7 +88,7 @@ class RunIndex:
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common beginning of the suffixes at ``a`` and ``b`` (-1: none)."""
-        room_of = lambda p: self.ends[np.searchsorted(self.ends, p, side="right")] - 1 - p
+        room_of = lambda p: self.end[p] - p
         out = np.zeros(len(a), dtype=np.int64)
         live = np.flatnonzero(b >= 0)
         room = np.zeros(len(a), dtype=np.int64)
@@ -86,7 +105,7 @@ class RunIndex:
     def matching_statistics(self) -> np.ndarray:
         """For each position the length of its match with the suffix before it in order."""
         at = np.arange(len(self.data))
-        sample = np.searchsorted(self.position, at)
+        sample = np.repeat(np.arange(len(self.position)), np.diff(self.position, prepend=-1))
         return self.match[sample] + (self.position[sample] - at)
 
     def repeated(self, length: int) -> np.ndarray:
